@@ -60,9 +60,9 @@ def numbered(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
     """
     ways = max(64, parallelism(df.sparkSession))
     cell = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(ways)).cast("int"))
-    ranked = cell.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_cell").orderBy(*order)) - 1)
+    ranked = cell.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_cell").orderBy(*order)) - 1)
     counts = cell.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(F.col(key).alias("_key"), F.col("_cell").alias("_cell2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     joined = ranked.join(shift, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cell") == F.col("_cell2")))
-    return joined.withColumn(out, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_cell", "_rank", "_key", "_cell2", "_shift")
+    return joined.withColumn(out, (F.col("_nth") + F.col("_shift")).cast("long")).drop("_cell", "_nth", "_key", "_cell2", "_shift")

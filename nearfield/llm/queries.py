@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality, sharding
-from .common import table
+from . import licenses, mixing, packing, quality, sharding, token_file
+from .common import new_path, table
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op2_token_file(spark, sf_dir):
+    path = new_path(spark, "tokens")
+    token_file.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary())
+    return token_file.read_tokens(spark, path)
 
 
 def op5_sharding(spark, sf_dir):
@@ -28,7 +46,7 @@ def op10_licenses(spark, sf_dir):
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op8_quality, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op5_sharding, op8_quality, op9_mixing, op10_licenses)}
 
 
 def _quality_sql() -> str:
