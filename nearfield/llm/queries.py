@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, quality, sharding, token_file
+from . import licenses, mixing, packing, quality, sharding, suffix_dedup, token_file
 from .common import new_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +31,13 @@ def op5_sharding(spark, sf_dir):
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    cut = suffix_dedup.dedup(table(spark, sf_dir, "documents"), rewrite=False)
+    return cut.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
 def op8_quality(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -46,7 +53,7 @@ def op10_licenses(spark, sf_dir):
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op5_sharding, op8_quality, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op5_sharding, op7_suffix_dedup, op8_quality, op9_mixing, op10_licenses)}
 
 
 def _quality_sql() -> str:
