@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, quality, sharding, suffix_dedup, token_file
+from . import licenses, mixing, near_dup, packing, quality, sharding, suffix_dedup, token_file
 from .common import new_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op2_token_file(spark, sf_dir):
     return token_file.read_tokens(spark, path)
 
 
+def op4_near_dup(spark, sf_dir):
+    return near_dup.linked(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_sharding(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -53,7 +57,7 @@ def op10_licenses(spark, sf_dir):
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op5_sharding, op7_suffix_dedup, op8_quality, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op4_near_dup, op5_sharding, op7_suffix_dedup, op8_quality, op9_mixing, op10_licenses)}
 
 
 def _quality_sql() -> str:
@@ -127,7 +131,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN s USING (r)"""
 
 
+_NEAR_DUP = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id"""
+
+
 ORACLES = {
+    "op4_near_dup": _NEAR_DUP,
     "op8_quality": _quality_sql(),
     "op9_mixing": mixing_sql("SELECT doc_id, size, source_size, target::DOUBLE AS target, size * n AS taken FROM m"),
     "op10_licenses": _licenses_sql(),
