@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, near_dup, packing, quality, sharding, suffix_dedup, token_file
+from . import ann, html_main, licenses, mixing, near_dup, packing, quality, sharding, suffix_dedup, token_file
 from .common import new_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op2_token_file(spark, sf_dir):
     return token_file.read_tokens(spark, path)
 
 
+def op3_html_main(spark, sf_dir):
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_near_dup(spark, sf_dir):
     return near_dup.linked(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -35,6 +39,11 @@ def op5_sharding(spark, sf_dir):
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op6_nearest(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op7_suffix_dedup(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -57,7 +66,7 @@ def op10_licenses(spark, sf_dir):
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op4_near_dup, op5_sharding, op7_suffix_dedup, op8_quality, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op3_html_main, op4_near_dup, op5_sharding, op6_nearest, op7_suffix_dedup, op8_quality, op9_mixing, op10_licenses)}
 
 
 def _quality_sql() -> str:
@@ -144,7 +153,16 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id"""
 
 
+_NEAREST = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+
 ORACLES = {
+    "op6_nearest": _NEAREST,
     "op4_near_dup": _NEAR_DUP,
     "op8_quality": _quality_sql(),
     "op9_mixing": mixing_sql("SELECT doc_id, size, source_size, target::DOUBLE AS target, size * n AS taken FROM m"),
