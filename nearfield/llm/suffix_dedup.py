@@ -136,6 +136,12 @@ def unique_contents(runs: Runs, chosen: np.ndarray, keys: np.ndarray, ids: np.nd
     return chosen[order[new]], index
 
 
+def _ordered(table):
+    """A block's rows by id and text: every stage must see them in one order, whatever the shuffle's."""
+    ids, texts = table.column("_id").to_pylist(), table.column("_text").to_pylist()
+    return table.take(sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or b"")))
+
+
 def _texts(table, texts: str, ids: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts in analysis (empty for rows without an id), ids, and which rows have an id."""
     known = np.array(table.column(ids).is_valid().to_pylist(), bool)
@@ -194,7 +200,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rewri
     dealt = dealt.repartition(parallelism(spark), "_block")
 
     def send_digits(table):
-        raw, ids, _ = _texts(table, "_text", "_id")
+        raw, ids, _ = _texts(_ordered(table), "_text", "_id")
         runs = Runs(raw)
         keys = runs.keys(bits)
         doc = ids[runs.doc]
@@ -234,7 +240,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rewri
         return chosen, keys[chosen]
 
     def send_strings(left, right):
-        raw, ids, _ = _texts(left, "_text", "_id") if left.num_rows else ([], np.zeros(0, np.int64), None)
+        raw, ids, _ = _texts(_ordered(left), "_text", "_id")
         runs = Runs(raw)
         chosen, keys = selected(runs, right, "repeated")
         rows = []
@@ -286,6 +292,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rewri
 
         if not left.num_rows:
             return empty
+        left = _ordered(left)
         raw, ids, known = _texts(left, "_text", "_id")
         runs = Runs(raw)
         data, starts = runs.data, runs.ends - runs.sizes
