@@ -29,8 +29,8 @@ from .tokens import encoder, slices
 
 END_ID = 1
 SCALE_BITS = 20
-LANES = 512
-BLOCK_TOKENS = 1 << 17
+LANES = 2048
+BLOCK_TOKENS = 1 << 19
 SEGMENT_TOKENS = 1 << 21
 CHECKPOINT_STEPS = 128
 LOW = np.uint64(1 << 31)

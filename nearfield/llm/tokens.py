@@ -10,6 +10,7 @@ start of a special token, is encoded whole.
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 
@@ -30,11 +31,24 @@ class WordEncoder:
         probe = ["Ab cd, ef. 1", "ab  CD, eF. 1"]
         if len({self.whole(x) for x in probe}) != 1 or self.separator is None:
             raise ValueError("this tokenizer keeps case or white space, or has no start token: words can't be encoded one by one")
+        for word in ("a", "tion", "tokenizers", "zyxwvutsrqponmlkjihgfedcba" * 3):
+            if self._plain(word.encode()) != self.whole(word):
+                raise ValueError("this tokenizer's model doesn't take plain words as they are")
         self.marks = {m: self.whole(chr(m)) for m in b",."}
         self.cache: dict[bytes, bytes] = {}
 
+    def _plain(self, word: bytes) -> bytes:
+        """Ids of a word of lower-case ASCII letters, which is one piece before the merges: straight from the model."""
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode())], dtype="<u4").tobytes()
+
     def _learn(self, words: list[bytes]) -> None:
-        cache = self.cache
+        cache, model = self.cache, self.tokenizer.model.tokenize
+        plain = [w for w in words if w.isalpha()]
+        for w in plain:
+            ids = [t.id for t in model(w.decode())]
+            cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+        if plain:
+            words = [w for w in words if not w.isalpha()]
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             joined = self.SEPARATOR.join([w.decode("utf-8", "replace") for w in part])
