@@ -35,7 +35,7 @@ DEPTH = 50
 DIGIT = 25
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _POWERS: dict[int, tuple] = {}
 
@@ -79,7 +79,7 @@ class Runs:
         room = self.sizes >= DEPTH
         np.add.at(ok, (self.ends - self.sizes)[room], 1)
         np.add.at(ok, (self.ends - DEPTH + 1)[room], -1)
-        ok = np.cumsum(ok[:-1]) > 0
+        ok = np.cumsum(ok[:-1], dtype=np.int32) > 0
         for at in range(0, len(self.data), SLICE):
             self._slice(at, ok[at : at + SLICE])
         self.first, self.last, self.digit = (np.concatenate(x) for x in (self.first, self.last, self.digit))
@@ -105,7 +105,9 @@ class Runs:
         first, last = first[held], last[held]
         self.first.append(first + at)
         self.last.append(last + at)
-        self.digit.append(grams[anchor[first]])
+        # least hashes crowd near zero: mixed again, they spread over all buckets
+        d = grams[anchor[first]] * np.uint64(0x9E3779B97F4A7C15)
+        self.digit.append((d ^ d >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9))
 
     def keys(self, bits: int) -> np.ndarray:
         """Digits as bucket (``bits`` bits) and 32 bits more."""
@@ -311,14 +313,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rewri
                 p = first[(count > j) & ((masks >> np.uint32(j)) & 1).astype(bool)] + j
                 edge[p] += 1  # a window start comes once
                 np.add.at(edge, p + DEPTH, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-        removed = np.concatenate([[0], np.cumsum(gone)])
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        removed = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = starts[(runs.sizes > 0)]
         begins[inner] = gone[inner]  # a run ends with its document
-        spans = np.concatenate([[0], np.cumsum(begins)])
-        n_removed, n_spans = removed[runs.ends] - removed[starts], spans[runs.ends] - spans[starts]
+        spans = np.concatenate([np.zeros(1, np.int32), np.cumsum(begins, dtype=np.int32)])
+        n_removed, n_spans = (removed[runs.ends] - removed[starts]).astype(np.int64), (spans[runs.ends] - spans[starts]).astype(np.int64)
         originals = left.column("_text").to_pylist()
         kept = []
         for text, k, n, a, e in zip(originals, known, n_removed.tolist(), starts.tolist(), runs.ends.tolist()):
