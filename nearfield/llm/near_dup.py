@@ -6,16 +6,19 @@ about the square root of what independent tables would need. At similarity 0.75
 tables where fewer than 2 of 16 collections agree: with probability 4e-5.
 
 Equal shingle sets are one class from the start. A collection value that no other class has can't be
-part of a shared key, so only shared values are paired into keys. Then
+part of a shared key, so only shared values are paired into keys. Buckets may be as large as a third
+of the corpus, and not all pairs of a bucket can be tried. What is tried loses no link that a bucket holds:
 
-1. every class is verified against the least member of each of its buckets, not against every member;
-2. links found so far give components, and a bucket whose members are in one component is done;
-3. in buckets that are left, members are verified against the least member of every other component
-   there, again and again until a round links nothing, and then against each member of the other
-   components that they could still be linked with.
+1. The shingles of a class that no other bucketed class has can't be in an intersection. With s shared
+   shingles, n and m the set sizes, a link needs 175 * min(s, s') >= 75 * (n + m); classes with
+   100 * s < 75 * n are linked with nothing and leave their buckets.
+2. Every class is verified against the most central member of each of its buckets, the one with the
+   smallest share of shingles of its own.
+3. Links found give components, and a bucket whose members are in one component is done. In the others,
+   members are verified against the most central member of every other component there, again and again
+   until a round links nothing, and then against each member of other components that step 1 allows.
 
-Step 3's last part is exact for whatever is left, so no cap and no sampling is needed. Links are
-confirmed on full shingle sets.
+Links are confirmed on full shingle sets.
 
 Defined cases: text without words has an empty set and is linked with nothing; rows with a null id
 take no part and are kept; rows that repeat an id are one node; an empty table gives an empty result.
@@ -77,29 +80,53 @@ def bucket_members(classes: DataFrame) -> DataFrame:
     return own.where(F.size("s") > 1).select("node", F.explode(pairs).alias("key"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full sets are similar enough. ``texts`` holds (id, raw), each id once."""
+def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, n, hashes): the full set of each of ``nodes`` (node)."""
 
-    def confirm(batches):
+    def collect(batches):
         import pyarrow as pa
 
         for big in batches:
-            for batch in slices(big, 128):
-                known: dict[int, bytes] = {}
-                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                for ids, raw in ((a, "raw_a"), (b, "raw_b")):
-                    known.update(zip(ids, batch.column(raw).to_pylist()))
-                sets = dict(zip(known, shingle_sets(list(known.values()))))
-                keep = []
-                for x, y in zip(a, b):
-                    p, q = sets[x], sets[y]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * both >= SIMILAR * (len(p) + len(q) - both) and len(p) > 0)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("raw").alias("raw_a")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("raw").alias("raw_b")), "b")
-    return both.select("a", "b", "raw_a", "raw_b").mapInArrow(confirm, "a long, b long")
+            for batch in slices(big):
+                sets = shingle_sets(batch.column("raw").to_pylist())
+                n = np.array([len(s) for s in sets], np.int64)
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), hashes], ["node", "n", "hashes"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("raw"))
+    own = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return own.mapInArrow(collect, "node long, n long, hashes array<long>")
+
+
+def with_shared(sets: DataFrame) -> DataFrame:
+    """(node, n, s) of each set: s shingles stand in another set too."""
+    flat = sets.select("node", F.explode("hashes").alias("h"))
+    several = flat.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    counts = flat.join(several, "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+    return sets.select("node", "n").join(counts, "node").select("node", "n", "s")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose full sets are similar enough."""
+
+    def confirm(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            hashes = [batch.column(c) for c in ("ha", "hb")]
+            ends = [h.offsets.to_numpy() for h in hashes]
+            flat = [h.values.to_numpy() for h in hashes]
+            keep = []
+            for k in range(batch.num_rows):
+                p, q = (f[e[k] : e[k + 1]] for f, e in zip(flat, ends))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(100 * both >= SIMILAR * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    return both.select("a", "b", "ha", "hb").mapInArrow(confirm, "a long, b long")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,23 +134,24 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sketch = written(sketched(docs, id_col, text_col), "sketches")
     full = sketch.where("id is not null and n_shingles > 0")
     classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("node"), F.first("u").alias("u"))
-    classes = written(classes.withColumnRenamed("n_shingles", "n"), "classes")
-    members = written(bucket_members(classes).join(classes.select("node", "n"), "node"), "buckets")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    fits = (F.col("n") * 100 >= F.col("m") * SIMILAR) & (F.col("m") * 100 >= F.col("n") * SIMILAR)
+    classes = written(classes, "classes")
+    buckets = written(bucket_members(classes), "buckets")
+    sets = written(sets_of(docs, buckets.select("node").distinct(), id_col, text_col), "sets")
+    able = with_shared(sets).where(F.col("s") * 100 >= F.col("n") * SIMILAR)
+    members = written(buckets.join(able, "node"), "members")
+    fits = F.least("s", "t") * (100 + SIMILAR) >= (F.col("n") + F.col("m")) * SIMILAR
+    central = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), F.col("node").alias("node"), "n", "s")).alias("h")
 
     def checked(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """The pairs that weren't tried yet and could be similar enough by size, and those of them that are linked."""
-        pairs = pairs.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        own = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        return pairs, written(verified(pairs, own), "links")
+        return pairs, written(verified(pairs, sets), "links")
 
-    heads = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"))
-    star = members.join(heads, "key").select(F.col("node").alias("a"), F.col("h.node").alias("b"), "n", F.col("h.n").alias("m")).where("a != b")
+    heads = members.groupBy("key").agg(central).select("key", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.s").alias("t"))
+    star = members.join(heads, "key").where((F.col("node") != F.col("b")) & fits).select(F.col("node").alias("a"), "b")
     tried, links = checked(star, None)
     while True:
         parts = components(links)
@@ -132,20 +160,20 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         left = written(placed.join(bounds.select("key"), "key", "left_semi"), "open")
         if left.isEmpty():
             break
-        heads = left.groupBy("key", "part").agg(F.min(F.struct("node", "n")).alias("h"))
-        other = heads.select("key", F.col("part").alias("other"), F.col("h.node").alias("b"), F.col("h.n").alias("m"))
-        pairs = left.join(other, "key").where("part != other").select(F.col("node").alias("a"), "b", "n", "m")
+        heads = left.groupBy("key", "part").agg(central)
+        other = heads.select("key", F.col("part").alias("other"), F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.s").alias("t"))
+        pairs = left.join(other, (left["key"] == other["key"]) & (F.col("part") != F.col("other")) & fits).select(F.col("node").alias("a"), "b")
         more, found = checked(pairs, tried)
         tried = tried.unionByName(more)
         if found.isEmpty():  # heads link nothing more: every member against the members of the other components
-            other = left.select("key", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"))
-            pairs = left.join(other, "key").where("part < other").select(F.col("node").alias("a"), "b", "n", "m")
+            other = left.select(F.col("key").alias("k"), F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"))
+            pairs = left.join(other, (F.col("key") == F.col("k")) & (F.col("part") < F.col("other")) & fits).select(F.col("node").alias("a"), "b")
             more, found = checked(pairs, tried)
             tried = tried.unionByName(more)
             if found.isEmpty():
                 break
         links = links.unionByName(found)
-    of_class = classes.join(parts, "node", "left").select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("part"))
+    of_class = classes.join(parts, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("part"))
     joined = sketch.join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("part"))).otherwise(F.col("id"))
     return joined.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
