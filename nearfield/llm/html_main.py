@@ -11,8 +11,9 @@ Differencing alone doesn't give right results: copies of an article under neighb
 each other, and menus, adverts and footers that vary from page to page survive. So it decides the open
 lines alone; every page is differenced all the same.
 
-Pages are dealt by range of (host, path), so that a host of any size spreads over tasks; a page at the
-edge of a range is paired inside it.
+Pages are dealt by range of (host, path), so that a host of any size spreads over tasks; each range also
+gets the page just before it and the page just after it, so that pairs don't depend on the ranges. The
+ends of the ranges come from a bounded sample of keys and bear on nothing but the spread.
 
 Defined cases: null or empty html gives ''; a null or odd URL has an empty host and is paired among
 such; truncated markup ends with its last complete text; repeated rows are pages of their own (two
@@ -24,7 +25,7 @@ from __future__ import annotations
 import html
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parallelism
@@ -167,15 +168,40 @@ def _prefix(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
+KEYS = ["host", "path", "url", "page_id"]
+SAMPLE_A_RANGE = 64
+
+
+def in_ranges(parts: DataFrame, ranges: int) -> DataFrame:
+    """``parts`` with range (int) and own (boolean): each row in its range, and in the neighbouring ranges' edges."""
+    key = F.struct(*KEYS)
+    every = max(1, parts.count() // (SAMPLE_A_RANGE * ranges))
+    sample = parts.select(*KEYS).where(F.pmod(F.xxhash64(*KEYS), F.lit(every)) == 0).distinct().orderBy(*KEYS).collect()
+    ends = sample[:: max(1, len(sample) // ranges)][1:]
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(parts.schema[c].dataType).alias(c) for c, v in zip(KEYS, r)]) for r in ends])
+    number = F.size(F.filter(bounds, lambda b: b <= key)) if ends else F.lit(0)
+    ranged = parts.withColumn("range", number.cast("int"))
+    # the first and last key of each range, handed to the ranges after and before it: two rows a range
+    edges = ranged.groupBy("range").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    order = Window.orderBy("range")
+    edges = edges.select("range", F.lag("high").over(order).alias("before"), F.lead("low").over(order).alias("after"))
+    handed = edges.select(F.col("range").alias("to"), F.explode(F.array("before", "after")).alias("k")).where("k is not null").select("to", *[F.col(f"k.{c}").alias(f"_{c}") for c in KEYS])
+    same = F.lit(True)
+    for c in KEYS:
+        same = same & parts[c].eqNullSafe(F.col(f"_{c}"))
+    context = parts.join(F.broadcast(handed), same).select("to", *parts.columns).dropDuplicates(["to", *KEYS])
+    return ranged.withColumn("own", F.lit(True)).unionByName(context.withColumnRenamed("to", "range").withColumn("own", F.lit(False)))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     parts = pages.select(
-        "page_id", "url", "html",
+        F.col("page_id").cast("long").alias("page_id"), "url", "html",
         F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host"),
         F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
     )
-    keys = ["host", "path", "url", "page_id"]
-    ranged = parts.repartitionByRange(2 * parallelism(pages.sparkSession), *keys).sortWithinPartitions(*keys)
+    n = 2 * parallelism(pages.sparkSession)
+    ranged = in_ranges(parts, n).repartitionByRange(n, "range").sortWithinPartitions("range", *KEYS, "own", "html")
 
     def difference(batches):
         import pyarrow as pa
@@ -186,7 +212,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     yield from batch.slice(at, 64).to_pylist()
 
         def settled(page, before, after):
-            mates = [x for x in (before, after) if x is not None and x["host"] == page["host"]]
+            mates = [x for x in (before, after) if x is not None and x["host"] == page["host"] and x["range"] == page["range"]]
             mate = max(mates, key=lambda x: _prefix(x["path"], page["path"]), default=None)
             return page["page_id"], page["url"], main_text(page["lines"], mate and mate["lines"])
 
@@ -194,10 +220,10 @@ def extract(pages: DataFrame) -> DataFrame:
             before = page = None
             for after in rows():
                 after["lines"] = page_lines(after.pop("html"))
-                if page is not None:
+                if page is not None and page["own"]:
                     yield settled(page, before, after)
                 before, page = page, after
-            if page is not None:
+            if page is not None and page["own"]:
                 yield settled(page, before, None)
 
         held: list[tuple] = []
@@ -216,5 +242,4 @@ def extract(pages: DataFrame) -> DataFrame:
         if held:
             yield packed()
 
-    found = ranged.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(difference, "page_id long, url string, text string")
-    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+    return ranged.mapInArrow(difference, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
