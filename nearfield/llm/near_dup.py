@@ -14,9 +14,10 @@ of the corpus, and not all pairs of a bucket can be tried. What is tried loses n
    100 * s < 75 * n are linked with nothing and leave their buckets.
 2. Every class is verified against the most central member of each of its buckets, the one with the
    smallest share of shingles of its own.
-3. Links found give components, and a bucket whose members are in one component is done. In the others,
-   members are verified against the most central member of every other component there, again and again
-   until a round links nothing, and then against each member of other components that step 1 allows.
+3. Links found give components, and a bucket whose members are in one component is done. The members of
+   the others form families (nodes that such buckets connect). A family is cut into blocks of bounded
+   size, every two blocks meet in a cell, and a cell intersects its sets by matrix products over the
+   shingles both blocks hold. Pairs are never written out: a cell returns a link for two components.
 
 Links are confirmed on full shingle sets.
 
@@ -38,6 +39,10 @@ from .tokens import slices
 COLLECTIONS = 16
 ROWS = 2
 SIMILAR = 75
+#: Of a family's blocks: nodes, hashes, and columns of a matrix at a time.
+BLOCK_NODES = 512
+BLOCK_HASHES = 1 << 20
+CHUNK = 4096
 _A = np.random.default_rng(4242).integers(1, 1 << 63, COLLECTIONS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -129,6 +134,64 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(confirm, "a long, b long")
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets in ``a`` with sets in ``b``, over the hashes that both sides hold, CHUNK at a time."""
+    flat = [np.concatenate(x) for x in (a, b)]
+    common = np.intersect1d(*flat)
+    total = np.zeros((len(a), len(b)), np.int64)
+    if not len(common):
+        return total
+    at = []
+    for x, side in zip(flat, (a, b)):
+        owner = np.repeat(np.arange(len(side)), [len(h) for h in side])
+        column = np.minimum(np.searchsorted(common, x), len(common) - 1)
+        held = common[column] == x
+        order = np.argsort(column[held], kind="stable")
+        at.append((owner[held][order], column[held][order]))
+    for low in range(0, len(common), CHUNK):
+        parts = []
+        for (owner, column), side in zip(at, (a, b)):
+            i, j = np.searchsorted(column, [low, low + CHUNK])
+            m = np.zeros((len(side), min(CHUNK, len(common) - low)), np.float32)
+            m[owner[i:j], column[i:j] - low] = 1
+            parts.append(m)
+        total += (parts[0] @ parts[1].T).astype(np.int64)
+    return total
+
+
+def between_parts(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between the components of rows (node, head, part, n); a node has a row for each open bucket's head."""
+    families = components(left.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    nodes = left.select("node", "part", "n").distinct().join(families, "node").withColumnRenamed("component", "family")
+    sizes = nodes.groupBy("family").agg((1 + F.floor(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_HASHES))).cast("int").alias("blocks"))
+    nodes = nodes.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
+    cells = nodes.select("family", "node", "part", "block", F.inline(others))
+    cells = cells.join(sets.select("node", "hashes"), "node")
+
+    def meet(table):
+        import pyarrow as pa
+
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        node, part, block = (table.column(c).to_numpy() for c in ("node", "part", "block"))
+        column = table.column("hashes").combine_chunks()
+        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        hashes = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(rows) and len(columns):
+            both = intersections([hashes[k] for k in rows], [hashes[k] for k in columns])
+            n = np.array([len(h) for h in hashes], np.int64)
+            near = (100 * both >= SIMILAR * (n[rows][:, None] + n[columns][None, :] - both)) & (part[rows][:, None] != part[columns][None, :])
+            for x, y in zip(*np.nonzero(near)):
+                p, q = rows[x], columns[y]
+                out.setdefault((min(part[p], part[q]), max(part[p], part[q])), (int(node[p]), int(node[q])))
+        a, b = zip(*out.values()) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return cells.groupBy("family", "i", "j").applyInArrow(meet, "a long, b long")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     sketch = written(sketched(docs, id_col, text_col), "sketches")
@@ -142,37 +205,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     fits = F.least("s", "t") * (100 + SIMILAR) >= (F.col("n") + F.col("m")) * SIMILAR
     central = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), F.col("node").alias("node"), "n", "s")).alias("h")
 
-    def checked(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The pairs that weren't tried yet and could be similar enough by size, and those of them that are linked."""
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        return pairs, written(verified(pairs, sets), "links")
-
     heads = members.groupBy("key").agg(central).select("key", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.s").alias("t"))
     star = members.join(heads, "key").where((F.col("node") != F.col("b")) & fits).select(F.col("node").alias("a"), "b")
-    tried, links = checked(star, None)
-    while True:
-        parts = components(links)
-        placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        bounds = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
-        left = written(placed.join(bounds.select("key"), "key", "left_semi"), "open")
-        if left.isEmpty():
-            break
-        heads = left.groupBy("key", "part").agg(central)
-        other = heads.select("key", F.col("part").alias("other"), F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.s").alias("t"))
-        pairs = left.join(other, (left["key"] == other["key"]) & (F.col("part") != F.col("other")) & fits).select(F.col("node").alias("a"), "b")
-        more, found = checked(pairs, tried)
-        tried = tried.unionByName(more)
-        if found.isEmpty():  # heads link nothing more: every member against the members of the other components
-            other = left.select(F.col("key").alias("k"), F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"))
-            pairs = left.join(other, (F.col("key") == F.col("k")) & (F.col("part") < F.col("other")) & fits).select(F.col("node").alias("a"), "b")
-            more, found = checked(pairs, tried)
-            tried = tried.unionByName(more)
-            if found.isEmpty():
-                break
-        links = links.unionByName(found)
+    pairs = written(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    links = written(verified(pairs, sets), "links")
+    parts = components(links)
+    placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    bounds = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("head")).where("lo != hi")
+    left = written(placed.join(bounds.select("key", "head"), "key").select("node", "head", "part", "n").distinct(), "open")
+    if not left.isEmpty():
+        parts = components(links.unionByName(between_parts(left, sets)))
     of_class = classes.join(parts, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("part"))
     joined = sketch.join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("part"))).otherwise(F.col("id"))
