@@ -106,8 +106,11 @@ def decode_steps(words: np.ndarray, x: np.ndarray, position: int, first: int, la
 
 
 def encode_segment(ids: np.ndarray) -> tuple[bytes, bytes, list[dict]]:
-    symbols, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    freqs = scaled(counts)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    index = np.zeros(len(counts), np.uint32)
+    index[symbols] = np.arange(len(symbols), dtype=np.uint32)
+    inverse, freqs = index[ids], scaled(counts[symbols])
     f64, starts = freqs.astype(np.uint64), (np.cumsum(freqs) - freqs).astype(np.uint64)
     blocks = []
     for at in range(0, len(ids), BLOCK_TOKENS):

@@ -14,28 +14,26 @@ import struct
 
 import numpy as np
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    SEPARATOR = "<|startoftext|>"
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         self.whole = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         probe = ["Ab cd, ef. 1", "ab  CD, eF. 1"]
-        if len({self.whole(x) for x in probe}) != 1 or self.separator is None:
-            raise ValueError("this tokenizer keeps case or white space, or has no start token: words can't be encoded one by one")
+        if len({self.whole(x) for x in probe}) != 1:
+            raise ValueError("this tokenizer keeps case or white space: words can't be encoded one by one")
         for word in ("a", "tion", "tokenizers", "zyxwvutsrqponmlkjihgfedcba" * 3):
             if self._plain(word.encode()) != self.whole(word):
                 raise ValueError("this tokenizer's model doesn't take plain words as they are")
         self.marks = {m: self.whole(chr(m)) for m in b",."}
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the cache before the last change: words still in use move over
 
     def _plain(self, word: bytes) -> bytes:
         """Ids of a word of lower-case ASCII letters, which is one piece before the merges: straight from the model."""
@@ -43,27 +41,41 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         cache, model = self.cache, self.tokenizer.model.tokenize
-        plain = [w for w in words if w.isalpha()]
-        for w in plain:
-            ids = [t.id for t in model(w.decode())]
+        other = []
+        for w in words:
+            if w.isalpha():
+                ids = [t.id for t in model(w.decode())]
+                cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(w)
+        for at in range(0, len(other), 1000):
+            self._learn_pieces(other[at : at + 1000])
+
+    def _learn_pieces(self, words: list[bytes]) -> None:
+        """Words with other characters: normalized and cut into pieces together, each piece merged by the model."""
+        cache, model = self.cache, self.tokenizer.model.tokenize
+        text = self.tokenizer.normalizer.normalize_str(" ".join([w.decode("utf-8", "replace") for w in words]))
+        parts = text.split(" ")
+        if len(parts) != len(words):  # a word held white space of another kind
+            for w in words:
+                cache[w] = self.whole(w.decode("utf-8", "replace"))
+            return
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        k, end, count = 0, 0, len(pieces)
+        for w, part in zip(words, parts):
+            end += len(part)
+            ids = []
+            while k < count and pieces[k][1][0] < end:
+                ids += [t.id for t in model(pieces[k][0])]
+                k += 1
+            end += 1
             cache[w] = struct.pack(f"<{len(ids)}I", *ids)
-        if plain:
-            words = [w for w in words if not w.isalpha()]
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            joined = self.SEPARATOR.join([w.decode("utf-8", "replace") for w in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [0, *(np.flatnonzero(ids == self.separator) * 4).tolist(), len(ids) * 4 + 0]
-            raw = ids.tobytes()
-            cache[part[0]] = raw[: ends[1]]
-            for k in range(1, len(part)):
-                cache[part[k]] = raw[ends[k] + 4 : ends[k + 1]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes; none for null."""
-        cache, split, special = self.cache, [], {}
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        cache, older, split, special = self.cache, self.older, [], {}
         for k, text in enumerate(texts):
             if text and b"<|" in text:
                 special[k] = self.whole(text.decode("utf-8", "replace"))
@@ -74,10 +86,16 @@ class WordEncoder:
             fresh.update(words)
         missing, cores = [], set()
         for w in fresh:
-            if w not in cache:
+            if w in cache:
+                continue
+            if w in older:
+                cache[w] = older[w]
+            else:
                 missing.append(w)
                 plain = w[:-1] if len(w) > 1 and w[-1] in b",." and (97 <= w[-2] <= 122 or 48 <= w[-2] <= 57) else w
-                if plain not in cache:
+                if plain in older:
+                    cache[plain] = older[plain]
+                elif plain not in cache:
                     cores.add(plain)
         if cores:
             self._learn(sorted(cores))
