@@ -26,10 +26,15 @@ def adjacency(edges: DataFrame, base: DataFrame) -> DataFrame:
     return written(rows, "adjacency")
 
 
-def _start(queries: DataFrame, base: DataFrame, entry: int, metric: str) -> DataFrame:
-    at = base.where(F.col("id") == entry).select(F.col("id").alias("entry"), F.col("vec").alias("evec")).limit(1)
+def _start(queries: DataFrame, base: DataFrame, entry: int | None, metric: str) -> DataFrame:
+    """State before the first step; without ``entry``, each query brings its own in a column of that name."""
     first = F.array(F.struct(METRICS[metric](F.col("qvec"), F.col("evec")).alias("dist"), F.col("entry").alias("id"), F.lit(False).alias("done"))).cast(CAND)
-    return queries.join(F.broadcast(at)).select("qid", "qvec", first.alias("cand"), F.array("entry").alias("seen"), F.lit(0).cast("long").alias("n_expand"))  # one row joined
+    if entry is None:
+        joined = queries.join(base.select(F.col("id").alias("entry"), F.col("vec").alias("evec")), "entry")
+    else:
+        at = base.where(F.col("id") == entry).select(F.col("id").alias("entry"), F.col("vec").alias("evec")).limit(1)
+        joined = queries.withColumn("entry", F.lit(entry).cast("long")).join(F.broadcast(at), "entry")  # one row
+    return joined.select("qid", "qvec", first.alias("cand"), F.array("entry").alias("seen"), F.lit(0).cast("long").alias("n_expand"))
 
 
 def _scored(near: Column, qvec: Column, seen: Column, metric: str) -> Column:
@@ -39,7 +44,7 @@ def _scored(near: Column, qvec: Column, seen: Column, metric: str) -> Column:
     return F.array_distinct(scored).cast(CAND)
 
 
-def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, width: int, k: int, metric: str = "l2", iters: int = 64) -> DataFrame:
+def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int | None, width: int, k: int, metric: str = "l2", iters: int = 64) -> DataFrame:
     """One-shot search: keep the best ``width``, expand the closest open one, until none is left or after ``iters`` steps.
 
     Returns (qid, rank, id, dist, n_dist, n_expand).
@@ -64,6 +69,26 @@ def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, widt
     return top.select("qid", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("id"), F.col("c.dist").alias("dist"), "n_dist", "n_expand")
 
 
+def sharded(queries: DataFrame, base: DataFrame, shards: int, degree: int, width: int, k: int, metric: str = "l2") -> DataFrame:
+    """One-shot search over a graph per shard: (qid, rank, id, dist, n_dist) of the best over all shards.
+
+    Rows are dealt over shards by hash; a shard's graph joins its own rows alone and is entered at its
+    least id. Every query visits every shard, so no graph or walk needs more than a shard's share.
+    """
+    from .exact import knn
+
+    dealt = written(base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "shards")
+    asked = dealt.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "shard")
+    edges = knn(dealt, asked, degree, exclude_self=True, match="shard").select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("id").alias("dst"))
+    entries = dealt.groupBy("shard").agg(F.min("id").alias("entry"))
+    visits = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(entries, "shard").select((F.col("qid") * shards + F.col("shard")).alias("qid"), "qvec", "entry")
+    found = greedy(visits, adjacency(edges, dealt), dealt, None, width, k, metric)
+    merged = found.select(F.floor(F.col("qid") / shards).cast("long").alias("qid"), "id", "dist", "n_dist", F.col("rank").alias("r"))
+    cost = merged.where("r = 1").groupBy("qid").agg(F.sum("n_dist").alias("n_dist"))
+    best = merged.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id"))).where(F.col("rank") <= k)
+    return best.select("qid", "rank", "id", "dist").join(cost, "qid")
+
+
 def best_first(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, beam: int, hops: int, k: int) -> tuple[DataFrame, DataFrame]:
     """Hop-limited best-first search with an unbounded frontier and a result set of ``beam``; squared L2.
 
@@ -101,8 +126,8 @@ def level_beam(queries: DataFrame, edges: DataFrame, codes: DataFrame, entry: in
     """
     from ..functions.vectors import code_distance
 
-    start = codes.where(F.col("id") == entry)
-    now = queries.join(F.broadcast(start)).select("qid", F.lit(1).alias("pos"), "id", code_distance(F.col("qcode"), F.col("code")).alias("d"))
+    start = codes.where(F.col("id") == entry).limit(1)
+    now = queries.withColumn("id", F.lit(entry).cast("long")).join(F.broadcast(start), "id").select("qid", F.lit(1).alias("pos"), "id", code_distance(F.col("qcode"), F.col("code")).alias("d"))
     visited, order = None, Window.partitionBy("qid").orderBy("d", "id")
     for level in range(levels):
         now = written(now, "beam")

@@ -154,6 +154,13 @@ def page_spans(spark, sf_dir):
     return base(spark, sf_dir).select("id", first.alias("page_first"), last.alias("page_last"))
 
 
+@query("SELECT vec_id AS id, vec_id AS page_first, vec_id AS page_last FROM embeddings")
+def page_aligned_spans(spark, sf_dir):
+    """Records that each start on a page of their own."""
+    first, last = P.page_span(F.col("id"), P.PAGE, PACKED)
+    return base(spark, sf_dir).select("id", first.alias("page_first"), last.alias("page_last"))
+
+
 @query(f"SELECT page, count(*) AS n_ids, min(id) AS min_id, max(id) AS max_id FROM (SELECT vec_id AS id, unnest(range(vec_id * {PACKED} // 4096, (vec_id * {PACKED} + {PACKED - 1}) // 4096 + 1)) AS page FROM embeddings) GROUP BY page")
 def ids_on_page(spark, sf_dir):
     first, last = P.page_span(F.col("id"), PACKED, PACKED)
@@ -459,6 +466,30 @@ def oneshot_recall_ladder(spark, sf_dir):
     return M.recall(steps, truth, K, "width").groupBy("width").agg(F.round(F.avg("recall"), DIGITS).alias("recall")).join(cost, "width")
 
 
+@query()
+def ladder_first_enough(spark, sf_dir):
+    """The smallest candidate list whose mean recall reaches 0.9."""
+    return M.first_enough(oneshot_recall_ladder(spark, sf_dir), 0.9)
+
+
+@query()
+def oneshot_search_coded(spark, sf_dir):
+    """Search that walks by codes and scores what it found at full precision."""
+    rows, asked = load(spark, sf_dir)
+    rows = written(rows, "rows")
+    codes = written(coded(rows).select("id", F.col("code").cast("array<float>").alias("vec")), "codes")
+    of = asked.select("qid").join(codes, F.col("qid") == F.col("id")).select("qid", F.col("vec").alias("qvec"))
+    found = S.greedy(of, S.adjacency(graph(rows), codes), codes, ENTRY, 40, 40)
+    return rounded(S.reranked(found.select("qid", "id"), rows, asked, K), "dist")
+
+
+@query()
+def sharded_search(spark, sf_dir):
+    """Four shards with a graph each, every query over all of them."""
+    rows, asked = load(spark, sf_dir)
+    return rounded(S.sharded(asked, rows, 4, 8, 20, K), "dist")
+
+
 def hop_limited(spark, sf_dir, beam: int = 16, hops: int = 8):
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
@@ -532,6 +563,19 @@ def recency_hit_rates(spark, sf_dir):
     return rounded(T.hit_rates(distances, [8, 32, 128]), "hit_pct")
 
 
+def _recency_sql(of: str, capacity: int) -> str:
+    return f"SELECT count(*) AS accesses, count(*) FILTER (before IS NOT NULL AND n < {capacity}) AS hits FROM (SELECT a.before, (SELECT count(DISTINCT b.id) FROM {of} b WHERE b.session = a.session AND b.seq > a.before AND b.seq < a.seq) AS n FROM {of} a)"
+
+
+@query(f"{_TRACE}, r AS (SELECT seq // {_SESSION} AS session, seq, id, lag(seq) OVER (PARTITION BY seq // {_SESSION}, id ORDER BY seq) AS before FROM tr), g AS (SELECT seq // {_SESSION} AS session, seq, id // 4 AS id, lag(seq) OVER (PARTITION BY seq // {_SESSION}, id // 4 ORDER BY seq) AS before FROM tr) SELECT 'record' AS unit, * FROM ({_recency_sql('r', 64)}) UNION ALL SELECT 'page' AS unit, * FROM ({_recency_sql('g', 16)})")
+def page_against_record_hits(spark, sf_dir):
+    """Hits of caches of 64 records and of 16 pages of four records, which take the same bytes."""
+    accesses, session = trace(spark, sf_dir), F.call_function("div", F.col("seq"), F.lit(_SESSION))
+    pages = accesses.withColumn("id", F.call_function("div", F.col("id"), F.lit(4)))
+    both = [T.hit_rates(T.reuse_distances(t, session), [c]).select(F.lit(u).alias("unit"), "accesses", "hits") for u, t, c in (("record", accesses, 64), ("page", pages, 16))]
+    return both[0].unionByName(both[1])
+
+
 @query(f"{_TRACE}, f AS (SELECT id, count(*) AS n, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS total FROM tr GROUP BY id), t AS (SELECT unnest([10, 25, 50, 75, 90]) AS target) SELECT target::INT AS target, count(*) FILTER (place <= floor((100 - target) * total / 100)) AS pinned, sum(n)::BIGINT AS fetches, sum(CASE WHEN place <= floor((100 - target) * total / 100) THEN 0 ELSE n END)::BIGINT AS misses, round(sum(CASE WHEN place <= floor((100 - target) * total / 100) THEN 0 ELSE n END) * 100.0 / sum(n), 6) AS miss_pct FROM f, t GROUP BY target")
 def target_miss_pinning(spark, sf_dir):
     return rounded(T.target_misses(trace(spark, sf_dir), [10, 25, 50, 75, 90]), "miss_pct")
