@@ -25,7 +25,7 @@ GRID = 1000
 LEAST_DOCS = 100
 SPREAD = 4
 #: Metric -> the least distance, in thousandths, of a limit from its group's median.
-MARGIN = {"symbols": 50, "dup_lines": 500, "repeats": 250, "long_words": 600}
+MARGIN = {"symbols": 50, "dup_lines": 500, "repeats": 400, "long_words": 600}
 
 
 def repeated_words(words: Column) -> Column:
