@@ -190,14 +190,14 @@ def layout_offsets(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT vec_id AS id, vec_id * 977 AS logical FROM embeddings WHERE vec_id * 977 < 700000),
+WITH t AS (SELECT vec_id AS id, vec_id * 977 % 700000 AS logical FROM embeddings),
 s AS (SELECT *, logical // 4096 AS n, logical % 4096 AS w, logical // 4096 * 40 // 160 AS before, (logical // 4096 + 1) * 40 // 160 AS after FROM t)
 SELECT id, logical, (CASE WHEN logical >= 655360 THEN 1 WHEN after <> before THEN 0 ELSE 1 END)::INT AS tier,
   (CASE WHEN logical >= 655360 THEN 120 * 4096 + logical - 655360 WHEN after <> before THEN before * 4096 + w ELSE (n - before) * 4096 + w END)::BIGINT AS tier_offset,
   (CASE WHEN logical >= 655360 THEN 700000 - logical ELSE 4096 - w END)::BIGINT AS contiguous FROM s""")
 def stripe_map(spark, sf_dir):
     """160 stripes of 4 KiB, 40 of them in the fast tier, and a slow tail up to 700,000 bytes."""
-    at = base(spark, sf_dir).select("id", (F.col("id") * 977).alias("logical")).where("logical < 700000")
+    at = base(spark, sf_dir).select("id", (F.col("id") * 977 % 700000).alias("logical"))
     place = P.stripe_place(F.col("logical"), 4096, 40, 160, 700000)
     return at.select("id", "logical", place["tier"].cast("int").alias("tier"), place["tier_offset"].cast("long").alias("tier_offset"), place["contiguous"].cast("long").alias("contiguous"))
 
@@ -387,10 +387,10 @@ def page_locality(spark, sf_dir):
     return rounded(G.page_locality(graph(rows, 8), by_norm_order(rows), PACKED, P.bin_capacity(PACKED)), *_PL)
 
 
-@query(f"{_MAP}, pg AS (SELECT src, count(DISTINCT p) AS n FROM (SELECT src, unnest(range(nd * {PACKED} // 4096, (nd * {PACKED} + {PACKED - 1}) // 4096 + 1)) AS p FROM be WHERE src % 3 = 0) GROUP BY src) SELECT count(*) AS n_nodes, round(avg(n), 6) AS mean_pages FROM pg")
+@query(f"{_MAP}, pg AS (SELECT src, count(DISTINCT p) AS n FROM (SELECT src, unnest(range(nd * {PACKED} // 4096, (nd * {PACKED} + {PACKED - 1}) // 4096 + 1)) AS p FROM be) GROUP BY src) SELECT count(*) AS n_nodes, round(avg(n), 6) AS mean_pages FROM pg")
 def pages_per_expand(spark, sf_dir):
     rows = base(spark, sf_dir)
-    return rounded(G.pages_per_expansion(graph(rows, 8), by_norm_order(rows), rows.where("id % 3 = 0"), PACKED), "mean_pages")
+    return rounded(G.pages_per_expansion(graph(rows, 8), by_norm_order(rows), rows, PACKED), "mean_pages")
 
 
 # --- graph search -------------------------------------------------------------------------------------
