@@ -80,6 +80,14 @@ def permutation(order: DataFrame, ids: DataFrame) -> DataFrame:
     return order.select(F.col("id").alias("old_id"), F.col("ord").alias("new_id")).unionByName(rest)
 
 
+def checked_map(id_map: DataFrame, n: int) -> DataFrame:
+    """``id_map``, if it holds each of 0..n-1 once on both sides; an error otherwise."""
+    r = id_map.agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("new_id", "old_id") for f in (F.count_distinct, F.min, F.max)]).first()
+    if n and (r["rows"] != n or any(r[f"count_distinct_{c}"] != n or r[f"min_{c}"] != 0 or r[f"max_{c}"] != n - 1 for c in ("new_id", "old_id"))):
+        raise ValueError("the id map is not a permutation of the rows")
+    return id_map
+
+
 def remapped(edges: DataFrame, id_map: DataFrame) -> DataFrame:
     """(src, pos, dst) in new ids; a neighbour that the map doesn't know becomes 0."""
     a = id_map.select(F.col("old_id").alias("src"), F.col("new_id").alias("_s"))

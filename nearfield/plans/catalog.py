@@ -154,6 +154,24 @@ def page_spans(spark, sf_dir):
     return base(spark, sf_dir).select("id", first.alias("page_first"), last.alias("page_last"))
 
 
+@query(f"WITH {BASE}, p AS (SELECT id, (id * {PACKED} // 4096) AS f, ((id * {PACKED} + {PACKED - 1}) // 4096) AS l, v FROM base WHERE id % 10 = 0) SELECT id AS qid, round(v[1], 6) AS head, (l - f + 1) * 4096 AS aligned_bytes, len(v)::BIGINT * 4 AS buffered_bytes FROM p")
+def point_fetch_bytes(spark, sf_dir):
+    """The queries' rows fetched by id, and the bytes that takes by whole pages or by record."""
+    rows, asked = load(spark, sf_dir)
+    first, last = P.page_span(F.col("qid"), PACKED, PACKED)
+    got = asked.select("qid").join(rows.select(F.col("id").alias("qid"), "vec"), "qid")
+    return got.select("qid", F.round(F.get("vec", F.lit(0)).cast("double"), DIGITS).alias("head"), ((last - first + 1) * P.PAGE).alias("aligned_bytes"), (F.size("vec").cast("long") * 4).alias("buffered_bytes"))
+
+
+@query(f"SELECT vec_id AS id, 4096 + vec_id * {CODE_BYTES} AS code_at, 8192 + vec_id * {DEGREE * 4} AS neighbours_at, 65536 + vec_id * greatest(CASE WHEN 262144 // (SELECT count(*) FROM embeddings) >= {PACKED} THEN 262144 // (SELECT count(*) FROM embeddings) ELSE {PACKED} END, 0) AS vector_at FROM embeddings")
+def section_addresses(spark, sf_dir):
+    """Where a record's code, neighbours and vector lie in sections given by formula; the stride is the section's share or the packed size."""
+    rows = base(spark, sf_dir).select("id")
+    stride = rows.agg(P.stride_of(F.lit(262144), F.count(F.lit(1)), F.lit(PACKED)).alias("stride"))
+    spread = rows.withColumn("one", F.lit(1)).join(F.broadcast(stride.withColumn("one", F.lit(1))), "one")
+    return spread.select("id", (F.col("id") * CODE_BYTES + 4096).alias("code_at"), (F.col("id") * (DEGREE * 4) + 8192).alias("neighbours_at"), (F.col("id") * F.col("stride") + 65536).alias("vector_at"))
+
+
 @query("SELECT vec_id AS id, vec_id AS page_first, vec_id AS page_last FROM embeddings")
 def page_aligned_spans(spark, sf_dir):
     """Records that each start on a page of their own."""
@@ -360,6 +378,15 @@ def graph_remap(spark, sf_dir):
     return G.remapped(graph(rows, 8), by_norm_order(rows))
 
 
+@query(f"{_MAP} SELECT im.new_id AS id, old_id, round(list_sum(v), 6) AS checksum FROM im JOIN base ON base.id = old_id")
+def layout_order(spark, sf_dir):
+    """Rows moved to their new places, written by range of them; the map is checked to be a permutation."""
+    rows = base(spark, sf_dir)
+    id_map = G.checked_map(by_norm_order(rows), rows.count())
+    moved = G.laid_out(rows.withColumn("was", F.col("id")), id_map, 4)
+    return moved.select("id", F.col("was").alias("old_id"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), DIGITS).alias("checksum"))
+
+
 @query(f"{EXACT}, im AS (SELECT id AS old_id, row_number() OVER (ORDER BY -(id * 7919 % 10007), id) - 1 AS new_id FROM base) SELECT qid, rank::INT AS rank, old_id AS id FROM gt JOIN im ON new_id = gt.id")
 def result_ids_translated(spark, sf_dir):
     """Result ids taken as new ids and given back as old ones."""
@@ -508,6 +535,39 @@ def best_first_trace(spark, sf_dir):
     return trace.groupBy("qid").agg(F.count(F.lit(1)).alias("fetches"), F.count_distinct("id").alias("unique_ids"), F.count_distinct("src").alias("expanded"))
 
 
+@query(_level_sql(3, 8) + f", gt AS ({knn_sql(4)}), h AS (SELECT g.qid, count(b.id) AS twice, count(DISTINCT b.id) AS once FROM gt g LEFT JOIN b3 b ON b.qid = g.qid AND b.id = g.id AND b.pos <= 4 GROUP BY g.qid), n AS (SELECT qid, count(DISTINCT id) AS got FROM b3 WHERE pos <= 4 GROUP BY qid) SELECT qid, round(once / 4, 6) AS recall, round(once / least(4, got), 6) AS recall_of_results, round(twice / 4, 6) AS recall_with_repeats FROM h JOIN n USING (qid)")
+def recall_variants(spark, sf_dir):
+    """Recall of coded level search by distinct ids, over what it returned, and with repeats."""
+    found, truth = written(level_found(spark, sf_dir).withColumnRenamed("pos", "rank"), "found"), written(exact(spark, sf_dir, 4), "truth")
+    of, rep = M.recall_at_most(found, truth, 4).withColumnRenamed("recall", "recall_of_results"), M.recall_with_repeats(found, truth, 4).withColumnRenamed("recall", "recall_with_repeats")
+    return rounded(M.recall(found, truth, 4).select("qid", "recall").join(of, "qid").join(rep, "qid"), "recall", "recall_of_results", "recall_with_repeats")
+
+
+@query()
+def beam_sweep(spark, sf_dir):
+    """Recall, fetches and recall per thousand fetches of hop-limited search as the beam grows."""
+    rows, asked = load(spark, sf_dir)
+    rows = written(rows, "rows")
+    adj, truth = S.adjacency(graph(rows, 8), rows), written(knn(rows, asked, K), "truth")
+    results = reads = None
+    for beam in (4, 8, 16):
+        found, steps = S.best_first(asked, adj, rows, ENTRY, beam, 8, K)
+        found, steps = found.withColumn("beam", F.lit(beam)), steps.withColumn("beam", F.lit(beam))
+        results, reads = (found, steps) if results is None else (results.unionByName(found), reads.unionByName(steps))
+    per = M.recall(written(results, "sweep"), truth, K, "beam").groupBy("beam").agg(F.avg("recall").alias("recall"), F.count(F.lit(1)).alias("n"))
+    cost = reads.groupBy("beam").agg(F.count(F.lit(1)).alias("fetches"))
+    joined = per.join(cost, "beam").withColumn("fetches", F.col("fetches") + F.col("n"))  # and the entry, once a query
+    return joined.select("beam", F.round("recall", DIGITS).alias("recall"), "fetches", F.round(F.col("recall") * F.col("n") / (F.col("fetches") / 1000.0), DIGITS).alias("recall_per_kio"))
+
+
+@query()
+def best_first_pinned(spark, sf_dir):
+    """Of a hop-limited search's fetches, those that the 20 largest hubs would have answered from a pinned set."""
+    rows = base(spark, sf_dir)
+    steps = hop_limited(spark, sf_dir)[1]
+    return rounded(T.pinned_hits(steps, G.hubs(graph(rows, 8), 20)), "hit_pct")
+
+
 @query()
 def ef_sweep(spark, sf_dir):
     """Recall of hop-limited search as hops and beam grow together."""

@@ -277,3 +277,20 @@ def test_queries_equal_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"flagship"}))
 def test_other_queries_give_rows(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_recall_variants_and_map_check(spark):
+    truth = spark.createDataFrame([(0, 1, 4), (0, 2, 3)], "qid long, rank int, id long")
+    found = spark.createDataFrame([(0, 1, 4), (0, 2, 4)], "qid long, rank int, id long")
+    assert M.recall_at_most(found, truth, 2).first().recall == 1.0
+    assert M.recall_with_repeats(found, truth, 2).first().recall == 1.0
+    bad = spark.createDataFrame([(0, 1), (0, 0)], "new_id long, old_id long")
+    with pytest.raises(ValueError):
+        G.checked_map(bad, 2)
+
+
+def test_shards_together_find_nearly_all(spark, sf_dir):
+    rows, asked = catalog.load(spark, sf_dir)
+    found = S.sharded(asked, rows, 3, 8, 20, 10)
+    truth = knn(rows, asked, 10)
+    assert np.mean([r.recall for r in M.recall(found, truth, 10).collect()]) >= 0.9
