@@ -28,7 +28,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import bounded_batches, parallelism
 
 #: HTML's element names by role.
 DROPPED = frozenset("script style noscript template iframe object svg math canvas video audio head title nav footer aside form button select option textarea input label dialog menu".split())
@@ -200,6 +200,7 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host"),
         F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
     )
+    bounded_batches(pages.sparkSession)
     n = 2 * parallelism(pages.sparkSession)
     ranged = in_ranges(parts, n).repartitionByRange(n, "range").sortWithinPartitions("range", *KEYS, "own", "html")
 

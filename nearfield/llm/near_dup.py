@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .components import components
 from .shingles import mixed, shingle_sets
 from .tokens import slices
@@ -194,6 +194,7 @@ def between_parts(left: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
+    bounded_batches(docs.sparkSession)
     sketch = written(sketched(docs, id_col, text_col), "sketches")
     full = sketch.where("id is not null and n_shingles > 0")
     classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("node"), F.first("u").alias("u"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import bounded_batches, numbered, written
 from .tokens import encoder, slices
 
 CAPACITY = 2048
@@ -257,4 +257,5 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there; documents are encoded once."""
+    bounded_batches(docs.sparkSession)
     return placed(written(pieces_of(docs, tokenizer_path, capacity, end_id, keep_ids), "pieces"), capacity)

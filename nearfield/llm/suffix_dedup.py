@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import bounded_batches, parallelism
 
 DEPTH = 50
 DIGIT = 25
@@ -192,6 +192,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rewri
     Bytes of a character that was cut in two are dropped from rewritten text; the digest is of the exact bytes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks, bits = 1 + total // BLOCK_BYTES, max(4, (max(total // BUCKET_BYTES, 1)).bit_length())
     place = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col)), F.lit(blocks)).cast("int")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import bounded_batches, parallelism
 from .tokens import encoder, slices
 
 END_ID = 1
@@ -171,6 +171,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if held:
             yield segment()
 
+    bounded_batches(docs.sparkSession)
     n = partitions or parallelism(docs.sparkSession)
     raw = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     in_order = raw.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "raw")

@@ -14,7 +14,7 @@ import struct
 
 import numpy as np
 
-CACHE_WORDS = 350_000
+CACHE_WORDS = 200_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
