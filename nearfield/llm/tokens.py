@@ -12,100 +12,81 @@ from __future__ import annotations
 import os
 import struct
 
-import numpy as np
-
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+TAIL = b".,;:!?*%&$#"
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+class _Known(dict):
+    """word -> ids; a word that isn't there is learnt."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.merge, self.clean, self.cut = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         probe = ["Ab cd, ef. 1", "ab  CD, eF. 1"]
         if len({self.whole(x) for x in probe}) != 1:
             raise ValueError("this tokenizer keeps case or white space: words can't be encoded one by one")
-        for word in ("a", "tion", "tokenizers", "zyxwvutsrqponmlkjihgfedcba" * 3):
-            if self._plain(word.encode()) != self.whole(word):
-                raise ValueError("this tokenizer's model doesn't take plain words as they are")
-        self.marks = {m: self.whole(chr(m)) for m in b",."}
-        self.cache: dict[bytes, bytes] = {}
+        for word in ("a", "tion", "tokenizers", "zyxwvutsrqponmlkjihgfedcba" * 3, "\u00e9t\u00e9-1", "x\u00a0y", "it's"):
+            if self._learn(word.encode()) != self.whole(word):
+                raise ValueError("this tokenizer's parts don't add up to its whole")
+        self._new()
         self.older: dict[bytes, bytes] = {}  # the cache before the last change: words still in use move over
 
-    def _plain(self, word: bytes) -> bytes:
-        """Ids of a word of lower-case ASCII letters, which is one piece before the merges: straight from the model."""
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode())], dtype="<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        cache, model = self.cache, self.tokenizer.model.tokenize
-        other = []
-        for w in words:
-            if w.isalpha():
-                ids = [t.id for t in model(w.decode())]
-                cache[w] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                other.append(w)
-        for at in range(0, len(other), 1000):
-            self._learn_pieces(other[at : at + 1000])
-
-    def _learn_pieces(self, words: list[bytes]) -> None:
-        """Words with other characters: normalized and cut into pieces together, each piece merged by the model."""
-        cache, model = self.cache, self.tokenizer.model.tokenize
-        text = self.tokenizer.normalizer.normalize_str(" ".join([w.decode("utf-8", "replace") for w in words]))
-        parts = text.split(" ")
-        if len(parts) != len(words):  # a word held white space of another kind
-            for w in words:
-                cache[w] = self.whole(w.decode("utf-8", "replace"))
-            return
-        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        k, end, count = 0, 0, len(pieces)
-        for w, part in zip(words, parts):
-            end += len(part)
-            ids = []
-            while k < count and pieces[k][1][0] < end:
-                ids += [t.id for t in model(pieces[k][0])]
-                k += 1
-            end += 1
-            cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+    def _new(self) -> None:
+        self.known, self.marks = _Known(self._recall), {}
+
+    def whole(self, text: str) -> bytes:
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, word: bytes) -> bytes:
+        """A word of lower-case ASCII letters is one piece and goes straight to the merges; others are normalized and cut first."""
+        text = word.decode("utf-8", "replace")
+        if word.isalpha():
+            return _bytes([t.id for t in self.merge(text)])
+        return _bytes([t.id for piece, _ in self.cut(self.clean(text)) for t in self.merge(piece)])
+
+    def _recall(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is not None:
+            return ids
+        plain = word.rstrip(TAIL)
+        if plain and plain != word and (97 <= plain[-1] <= 122 or 48 <= plain[-1] <= 57):
+            # marks that end a word after an ASCII letter or digit are one piece
+            tail = word[len(plain) :]
+            if tail not in self.marks:
+                self.marks[tail] = self.whole(tail.decode())
+            return self.known[plain] + self.marks[tail]
+        return self._learn(word)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes; none for null."""
-        if len(self.cache) > CACHE_WORDS:
-            self.older, self.cache = self.cache, {}
-        cache, older, split, special = self.cache, self.older, [], {}
-        for k, text in enumerate(texts):
-            if text and b"<|" in text:
-                special[k] = self.whole(text.decode("utf-8", "replace"))
-                text = None
-            split.append(text.lower().split() if text else [])
-        fresh: set[bytes] = set()
-        for words in split:
-            fresh.update(words)
-        missing, cores = [], set()
-        for w in fresh:
-            if w in cache:
-                continue
-            if w in older:
-                cache[w] = older[w]
+        if len(self.known) > CACHE_WORDS:
+            self.older = self.known
+            self._new()
+        found, out = self.known.__getitem__, []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif b"<|" in text:
+                out.append(self.whole(text.decode("utf-8", "replace")))
             else:
-                missing.append(w)
-                plain = w[:-1] if len(w) > 1 and w[-1] in b",." and (97 <= w[-2] <= 122 or 48 <= w[-2] <= 57) else w
-                if plain in older:
-                    cache[plain] = older[plain]
-                elif plain not in cache:
-                    cores.add(plain)
-        if cores:
-            self._learn(sorted(cores))
-        for w in missing:
-            if w not in cache:
-                cache[w] = cache[w[:-1]] + self.marks[w[-1]]
-        found = cache.__getitem__
-        out = [b"".join(map(found, words)) for words in split]
-        for k, ids in special.items():
-            out[k] = ids
+                out.append(b"".join(map(found, text.lower().split())))
         return out
 
 
