@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mips_score, squared_l2
-from ..sources.tables import written
+from ..sources.tables import bucketed, written
 
 METRICS = {"l2": squared_l2, "mips": mips_score}
 CAND = "array<struct<dist:double,id:bigint,done:boolean>>"
@@ -20,10 +20,13 @@ STEPS_A_WRITE = 4
 
 
 def adjacency(edges: DataFrame, base: DataFrame) -> DataFrame:
-    """(src, near): each node's neighbours in order with their vectors; neighbours without a vector are left out."""
+    """(src, near): each node's neighbours in order with their vectors; neighbours without a vector are left out.
+
+    Written in buckets of src: every step of a search joins it, and only the queries' state is shuffled to it.
+    """
     vec = base.select(F.col("id").alias("dst"), "vec")
     rows = edges.join(vec, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("dst").alias("id"), "vec"))).alias("near"))
-    return written(rows, "adjacency")
+    return bucketed(rows, "src", "adjacency")
 
 
 def _start(queries: DataFrame, base: DataFrame, entry: int | None, metric: str) -> DataFrame:

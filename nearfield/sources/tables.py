@@ -23,11 +23,25 @@ def queries(rows: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
     return rows.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own where none is set."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="nearfield-"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
 def written(df: DataFrame, name: str = "state") -> DataFrame:
     """Write once to the shared folder (spark.checkpoint.dir) and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="nearfield-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str = "buckets") -> DataFrame:
+    """Write once to the shared folder, bucketed and sorted by ``key``, so that joins on it don't shuffle this side again."""
+    spark = df.sparkSession
+    n, label = int(spark.conf.get("spark.sql.shuffle.partitions")), f"nearfield_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(label)
+    return spark.table(label)
