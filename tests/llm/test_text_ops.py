@@ -361,3 +361,30 @@ def test_empty_tables(spark, no_docs):
     assert mixing.mix(no_docs).count() == 0
     assert quality.assess(no_docs).count() == 0 and quality.keep_good(no_docs).count() == 0
     assert licenses.labelled(no_docs).count() == 0
+
+
+def test_targets_equal_the_iterative_rule(spark):
+    """Capping and resharing again and again, for many sources of very uneven size."""
+    rng = np.random.default_rng(11)
+    for round_ in range(4):
+        sizes = {f"s{k}" if k else None: int(x) for k, x in enumerate((10 ** rng.uniform(0, 5, 25)).astype(int))}
+        sizes["none"] = 0
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        want = water(sizes)
+        for r in mixing.source_targets(df).collect():
+            assert r.target == pytest.approx(want[r.source], rel=1e-9, abs=1e-6)
+
+
+def test_near_dup_cells_with_small_blocks(spark, monkeypatch):
+    """Families cut into many blocks, and matrices into many chunks, give the same components."""
+    monkeypatch.setattr(near_dup, "BLOCK_NODES", 7)
+    monkeypatch.setattr(near_dup, "CHUNK", 16)
+    rng = np.random.default_rng(6)
+    docs = []
+    for i in range(60):
+        own = [f"word{j}" for j in range(90)]
+        for at in rng.choice(90, int(rng.integers(0, 8)), replace=False):
+            own[at] = f"edit{i % 9}at{at}"
+        docs.append((i, " ".join(own)))
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in rows(near_dup.linked(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == brute_near(docs)
