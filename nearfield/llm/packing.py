@@ -25,6 +25,8 @@ from .tokens import encoder, slices
 
 CAPACITY = 2048
 END_ID = 0
+#: Words kept per worker, fewer than by default: in a pipeline, workers go on to other stages with them.
+CACHE_WORDS = 120_000
 NODES = 3000
 WIDTH = 3
 
@@ -41,7 +43,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
         for big in batches:
             for batch in slices(big):
                 rows: list[list] = [[], [], [], [], [], []]
-                ids_of = encoder(tokenizer_path).encode(batch.column("raw").to_pylist())
+                ids_of = encoder(tokenizer_path).encode(batch.column("raw").to_pylist(), CACHE_WORDS)
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):

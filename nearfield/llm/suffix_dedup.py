@@ -33,7 +33,7 @@ from .common import bounded_batches, parallelism
 
 DEPTH = 50
 DIGIT = 25
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 SLICE = 1 << 19
 

@@ -74,9 +74,9 @@ class WordEncoder:
             return self.known[plain] + self.marks[tail]
         return self._learn(word)
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit bytes; none for null."""
-        if len(self.known) > CACHE_WORDS:
+    def encode(self, texts: list[bytes | None], cache_words: int = CACHE_WORDS) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit bytes; none for null. Up to twice ``cache_words`` stay in memory."""
+        if len(self.known) > cache_words:
             self.older = self.known
             self._new()
         found, out = self.known.__getitem__, []
