@@ -16,7 +16,7 @@ from ..sources.tables import bucketed, written
 
 METRICS = {"l2": squared_l2, "mips": mips_score}
 CAND = "array<struct<dist:double,id:bigint,done:boolean>>"
-STEPS_A_WRITE = 4
+STEPS_A_WRITE = 8
 
 
 def adjacency(edges: DataFrame, base: DataFrame) -> DataFrame:
