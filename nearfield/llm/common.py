@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand documents to Python ``rows`` at a time at most: Spark's default of 10,000 is meant for narrower rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
+    if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
 
 
