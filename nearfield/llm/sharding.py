@@ -103,8 +103,8 @@ def shards_for(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) with shard sizes near equal and equal texts together."""
+def _sharded(docs: DataFrame, place, least_capacity: int = 0) -> DataFrame:
+    """Rows with the shard that ``place`` (sizes of the items -> bins) gives their group, numbered within it."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("_hash"))
@@ -112,11 +112,26 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     groups = sized.groupBy("_hash", "_pool").agg(F.sum("size").alias("bytes"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     least = total // HEAVY_PARTS
+    if least_capacity and least_capacity < least:
+        raise ValueError(f"a capacity under 1/{HEAVY_PARTS} of the whole needs a longer list of items than is kept")
     heavy = [(r["_hash"], int(r["bytes"])) for r in groups.where(F.col("bytes") > least).orderBy("_hash").collect()]
     pools = [(r["_pool"], int(r["bytes"])) for r in groups.where(F.col("bytes") <= least).groupBy("_pool").agg(F.sum("bytes").alias("bytes")).orderBy("_pool").collect()]
-    placed = shards_for([n for _, n in heavy + pools], shards)
+    placed = place([n for _, n in heavy + pools])
     own = spark.createDataFrame([(h, s) for (h, _), s in zip(heavy, placed)], "_h long, _own int")
-    pooled = spark.createDataFrame([(p, s) for (p, _), s in zip(pools, placed[len(heavy):])], "_p int, _of_pool int")
+    pooled = spark.createDataFrame([(p, s) for (p, _), s in zip(pools, placed[len(heavy) :])], "_p int, _of_pool int")
     put = sized.join(F.broadcast(own), F.col("_hash") == F.col("_h"), "left").join(F.broadcast(pooled), F.col("_pool") == F.col("_p"), "left")
     put = put.select("doc_id", "size", "text_crc32", F.coalesce("_own", "_of_pool").alias("shard"))
     return numbered(put, "shard", ["doc_id", "text_crc32"], "slot")
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) over ``shards`` shards of near equal size, equal texts together."""
+    return _sharded(docs, lambda sizes: shards_for(sizes, shards))
+
+
+def shard_by_capacity(docs: DataFrame, capacity: int) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) over as few shards of at most ``capacity`` bytes as best fit finds.
+
+    A group above the capacity has a shard of its own; the capacity must be 1/HEAVY_PARTS of the whole at least.
+    """
+    return _sharded(docs, lambda sizes: best_fit_decreasing(sizes, capacity), capacity)

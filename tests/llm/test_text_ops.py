@@ -262,6 +262,16 @@ def test_best_fit_decreasing_takes_the_tightest_bin():
     assert sharding.best_fit_decreasing(sizes, capacity) == want
 
 
+def test_sharding_by_capacity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    total = sum(len((r.text or "").encode()) + 1 for r in docs.collect())
+    sizes = Counter()
+    for r in rows(sharding.shard_by_capacity(docs, 60_000)):
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) <= 60_000 and sum(sizes.values()) == total
+    assert len(sizes) <= -(-total // 60_000) + 1
+
+
 def water(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[k % 3] for k, s in enumerate(names)}
