@@ -16,8 +16,9 @@ of the corpus, and not all pairs of a bucket can be tried. What is tried loses n
    smallest share of shingles of its own.
 3. Links found give components, and a bucket whose members are in one component is done. The members of
    the others form families (nodes that such buckets connect). A family is cut into blocks of bounded
-   size, every two blocks meet in a cell, and a cell intersects its sets by matrix products over the
-   shingles both blocks hold. Pairs are never written out: a cell returns a link for two components.
+   size, those of its largest component apart; every two blocks but those meet in a cell, and a cell
+   intersects its sets by matrix products over the shingles both blocks hold. Pairs are never written
+   out: a cell returns a link for two components.
 
 Links are confirmed on full shingle sets.
 
@@ -163,10 +164,16 @@ def between_parts(left: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between the components of rows (node, head, part, n); a node has a row for each open bucket's head."""
     families = components(left.select(F.col("node").alias("a"), F.col("head").alias("b")))
     nodes = left.select("node", "part", "n").distinct().join(families, "node").withColumnRenamed("component", "family")
-    sizes = nodes.groupBy("family").agg((1 + F.floor(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_HASHES))).cast("int").alias("blocks"))
-    nodes = nodes.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    cells = nodes.select("family", "node", "part", "block", F.inline(others))
+    parts = nodes.groupBy("family", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("h"))
+    sizes = parts.groupBy("family").agg(F.max(F.struct("c", "h", "part")).alias("main"), F.sum("c").alias("c"), F.sum("h").alias("h"))
+    blocks = lambda c, h: (1 + F.floor(F.greatest(c / BLOCK_NODES, h / BLOCK_HASHES))).cast("int")
+    sizes = sizes.select("family", F.col("main.part").alias("main"), blocks(F.col("main.c"), F.col("main.h")).alias("of_main"), blocks(F.col("c") - F.col("main.c"), F.col("h") - F.col("main.h")).alias("of_rest"))
+    # the largest component's blocks come first and don't meet each other
+    nodes = nodes.join(sizes, "family").withColumn("in_main", F.col("part") == F.col("main"))
+    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    nodes = nodes.withColumn("block", F.when(F.col("in_main"), spread(F.col("of_main"))).otherwise(F.col("of_main") + spread(F.col("of_rest"))))
+    met = F.sequence(F.when(F.col("in_main"), F.col("of_main")).otherwise(0), F.col("of_main") + F.col("of_rest") - 1)
+    cells = nodes.select("family", "node", "part", "block", F.inline(F.transform(met, lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))))
     cells = cells.join(sets.select("node", "hashes"), "node")
 
     def meet(table):
