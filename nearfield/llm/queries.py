@@ -161,7 +161,20 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
 
 
+_SUFFIX = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, doc_id, c, substr(h, 1024 * c + 1, 1122) AS h FROM (SELECT r, doc_id, h, unnest(range((length(h) + 1023) // 1024)) AS c FROM d)),
+b AS (SELECT r, doc_id, 512 * c + j AS i, substr(h, 2 * j + 1, 2) AS x, CASE WHEN 2 * j + 100 <= length(h) THEN substr(h, 2 * j + 1, 100) END AS k FROM (SELECT r, doc_id, c, h, unnest(range(least(512, length(h) // 2))) AS j FROM p)),
+m AS (SELECT k, min(doc_id) AS f FROM b WHERE k IS NOT NULL GROUP BY k),
+s AS (SELECT r, i, x, f < doc_id AS hit FROM b LEFT JOIN m USING (k)),
+c AS (SELECT r, i, x, coalesce(i - max(CASE WHEN hit THEN i END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) < 50, FALSE) AS gone FROM s),
+e AS (SELECT r, i, x, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), FALSE) AS begins FROM c),
+t AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM e GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
+
+
 ORACLES = {
+    "op7_suffix_dedup": _SUFFIX,
     "op6_nearest": _NEAREST,
     "op4_near_dup": _NEAR_DUP,
     "op8_quality": _quality_sql(),
