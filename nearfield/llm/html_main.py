@@ -9,7 +9,7 @@ common subsequence, and shared lines are deleted.
 
 Differencing alone doesn't give right results: copies of an article under neighbouring paths delete
 each other, and menus, adverts and footers that vary from page to page survive. So it decides the open
-lines alone; every page is differenced all the same.
+lines alone, and those of every page, whether or not it also has an article or main element.
 
 Pages are dealt by range of (host, path), so that a host of any size spreads over tasks; each range also
 gets the page just before it and the page just after it, so that pairs don't depend on the ranges. The
@@ -152,14 +152,12 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(lines: list[tuple[str, str]], mate: list[tuple[str, str]] | None) -> str:
-    """The page's text: its own zone where markup names one, and open lines that the mate doesn't share otherwise."""
+    """The page's text: the lines of its own zone where markup names one, and the open lines that the mate doesn't share."""
     open_at = [k for k, (zone, _) in enumerate(lines) if zone == OPEN]
     gone: set[int] = set()
     if mate is not None:
         shared = common_lines([lines[k][1] for k in open_at], [x for zone, x in mate if zone == OPEN])
         gone = {open_at[k] for k in shared}
-    if any(zone == TEXT for zone, _ in lines):
-        gone.update(open_at)
     return "\n\n".join(x for k, (_, x) in enumerate(lines) if k not in gone)
 
 

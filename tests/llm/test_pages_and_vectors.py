@@ -42,6 +42,15 @@ def test_open_lines_are_differenced(spark):
     assert html_main.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_open_lines_beside_an_article_are_differenced(spark):
+    """A headline beside the article stays, a line that the nearest page shares goes, on pages with an article too."""
+    body = "<div>Site name</div><h1>%s</h1><article><p>%s</p></article><p>All rights reserved</p>"
+    pages = [(1, "http://h/a/1", body % ("Head one", "same")), (2, "http://h/a/2", body % ("Head two", "same")), (3, "http://other/x", body % ("Head three", "third"))]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Head one\n\nsame" and got[2] == "Head two\n\nsame"
+    assert got[3] == "Site name\n\nHead three\n\nthird\n\nAll rights reserved"
+
+
 def test_pages_of_the_table(spark, sf_dir):
     """The article's blocks by a plain cut of this template."""
     import html
