@@ -8,6 +8,8 @@ cuts lineage. Candidates are ordered by (distance, id).
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +18,17 @@ from ..sources.tables import bucketed, written
 
 METRICS = {"l2": squared_l2, "mips": mips_score}
 CAND = "array<struct<dist:double,id:bigint,done:boolean>>"
+LABELLED = "array<struct<dist:double,id:bigint,done:boolean,own:boolean>>"
 STEPS_A_WRITE = 8
 
 
-def adjacency(edges: DataFrame, base: DataFrame) -> DataFrame:
-    """(src, near): each node's neighbours in order with their vectors; neighbours without a vector are left out.
+def adjacency(edges: DataFrame, base: DataFrame, *also: str) -> DataFrame:
+    """(src, near): each node's neighbours in order with their vectors and columns ``also``; neighbours without a vector are left out.
 
     Written in buckets of src: every step of a search joins it, and only the queries' state is shuffled to it.
     """
-    vec = base.select(F.col("id").alias("dst"), "vec")
-    rows = edges.join(vec, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("dst").alias("id"), "vec"))).alias("near"))
+    vec = base.select(F.col("id").alias("dst"), "vec", *also)
+    rows = edges.join(vec, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("dst").alias("id"), "vec", *also))).alias("near"))
     return bucketed(rows, "src", "adjacency")
 
 
@@ -47,6 +50,10 @@ def _scored(near: Column, qvec: Column, seen: Column, metric: str) -> Column:
     return F.array_distinct(scored).cast(CAND)
 
 
+def _open(cand: str = "cand") -> Column:
+    return F.exists(cand, lambda c: ~c["done"])
+
+
 def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int | None, width: int, k: int, metric: str = "l2", iters: int = 64) -> DataFrame:
     """One-shot search: keep the best ``width``, expand the closest open one, until none is left or after ``iters`` steps.
 
@@ -66,12 +73,54 @@ def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int | Non
         )
         if step % STEPS_A_WRITE == STEPS_A_WRITE - 1:
             state = written(state, "search")
-            if state.where(F.exists("cand", lambda c: ~c["done"])).isEmpty():
+            if state.where(_open()).isEmpty():
                 break
     top = state.select("qid", F.posexplode(F.slice("cand", 1, k)).alias("rank", "c"), F.size("seen").cast("long").alias("n_dist"), "n_expand")
     return top.select("qid", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("id"), F.col("c.dist").alias("dist"), "n_dist", "n_expand")
 
 
+def labelled(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, width: int, k: int, metric: str = "l2") -> DataFrame:
+    """One-shot search for the ``k`` nearest rows with the query's label: (qid, rank, id, dist, n_dist, n_expand).
+
+    Rows of any label are walked. A query's list holds the best ``width``, and where fewer than ``k`` of
+    these have its label, as many more as it takes to hold ``k``; it ends when none is open. So a query gets
+    ``k`` unless fewer with its label can be reached. A null label matches none. ``queries`` holds
+    (qid, qvec, label), ``base`` (id, vec, label), ``adj`` is made with "label".
+    """
+    at = base.where(F.col("id") == entry).select(F.col("id").alias("entry"), F.col("vec").alias("evec"), F.col("label").alias("elabel")).limit(1)
+    same = lambda label: F.coalesce(label == F.col("asked"), F.lit(False)).alias("own")
+    score = lambda vec: METRICS[metric](F.col("qvec"), vec).alias("dist")
+    asked = queries.select("qid", "qvec", F.col("label").alias("asked")).withColumn("entry", F.lit(entry).cast("long")).join(F.broadcast(at), "entry")  # one row
+    first = F.array(F.struct(score(F.col("evec")), F.col("entry").alias("id"), F.lit(False).alias("done"), same(F.col("elabel")))).cast(LABELLED)
+    state = asked.select("qid", "qvec", "asked", first.alias("cand"), F.array("entry").alias("seen"), F.lit(0).cast("long").alias("n_expand"))
+    ended = []
+    for step in count():
+        state = state.withColumn("at", F.get(F.filter("cand", lambda c: ~c["done"]), F.lit(0))["id"])
+        joined = state.join(adj, F.col("at") == F.col("src"), "left")
+        fresh = F.filter("near", lambda x: ~F.array_contains("seen", x["id"]))
+        scored = F.transform(fresh, lambda x: F.struct(score(x["vec"]), x["id"].alias("id"), F.lit(False).alias("done"), same(x["label"])))
+        new = F.coalesce(F.array_distinct(scored).cast(LABELLED), F.array().cast(LABELLED))
+        old = F.transform("cand", lambda c: c.withField("done", c["done"] | F.coalesce(c["id"] == F.col("at"), F.lit(False)))).cast(LABELLED)
+        moved = joined.select("qid", "qvec", "asked", "at", F.array_sort(F.concat(old, new)).alias("all"), F.array_union("seen", new["id"]).alias("seen"), "n_expand")
+        # the place of the k-th with the label, or the whole list
+        kth = F.get(F.filter(F.transform("all", lambda c, i: F.when(c["own"], i + 1)), lambda i: i.isNotNull()), F.lit(k - 1))
+        state = moved.select(
+            "qid", "qvec", "asked", F.slice("all", F.lit(1), F.greatest(F.lit(width), F.coalesce(kth, F.size("all")))).alias("cand"), "seen",
+            (F.col("n_expand") + F.when(F.col("at").isNotNull(), 1).otherwise(0)).alias("n_expand"),
+        )
+        if step % STEPS_A_WRITE == STEPS_A_WRITE - 1:
+            state = written(state, "search")
+            ended.append(state.where(~_open()))
+            state = state.where(_open())
+            if state.isEmpty():
+                break
+    for part in ended:
+        state = state.unionByName(part)
+    own = F.slice(F.filter("cand", lambda c: c["own"]), 1, k)
+    top = state.select("qid", F.posexplode(own).alias("rank", "c"), F.size("seen").cast("long").alias("n_dist"), "n_expand")
+    return top.select("qid", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("id"), F.col("c.dist").alias("dist"), "n_dist", "n_expand")
+
+
 def sharded(queries: DataFrame, base: DataFrame, shards: int, degree: int, width: int, k: int, metric: str = "l2") -> DataFrame:
     """One-shot search over a graph per shard: (qid, rank, id, dist, n_dist) of the best over all shards.
 

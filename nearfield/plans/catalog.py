@@ -471,11 +471,13 @@ def oneshot_search_mips(spark, sf_dir):
 
 @query()
 def label_filtered_search(spark, sf_dir):
-    """Graph search whose results are held to the query's label."""
-    labels = base(spark, sf_dir).select("id", "label")
-    found = oneshot(spark, sf_dir, 40)
-    own = found.join(labels, "id").join(labels.select(F.col("id").alias("qid"), F.col("label").alias("asked")), "qid").where("label = asked")
-    return rounded(own.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id"))).select("qid", "rank", "id", "dist", "label"), "dist")
+    """Graph search for the nearest rows with the query's label, tested as candidates are admitted."""
+    rows, asked = load(spark, sf_dir)
+    rows = written(rows, "rows")
+    labels = rows.select(F.col("id").alias("qid"), "label")
+    asked = asked.join(labels, "qid")
+    found = S.labelled(asked, S.adjacency(graph(rows), rows, "label"), rows, ENTRY, 40, K)
+    return rounded(found.join(labels, "qid").select("qid", "rank", "id", "dist", "label"), "dist")
 
 
 @query()

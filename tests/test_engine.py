@@ -116,6 +116,15 @@ def test_superstep_equals_plain_loop(spark, sf_dir):
     assert got == {q: best_first(q, 6, 5, 5) for q in got}
 
 
+def test_label_filtered_search_finds_k_with_the_label(spark, sf_dir):
+    found = catalog.QUERIES["label_filtered_search"](spark, sf_dir).collect()
+    truth = catalog.QUERIES["exact_knn_label_filtered"](spark, sf_dir).collect()
+    sizes = lambda rows: {q: sum(r.qid == q for r in rows) for q in {r.qid for r in rows}}
+    assert sizes(found) == sizes(truth)
+    true = {(r.qid, r.id) for r in truth}
+    assert sum((r.qid, r.id) in true for r in found) / len(true) >= 0.95
+
+
 def test_recall(spark):
     truth = spark.createDataFrame([(0, 1, 4), (0, 2, 3)], "qid long, rank int, id long")
     found = spark.createDataFrame([(0, 1, 4), (0, 2, 5), (0, 3, 4)], "qid long, rank int, id long")
