@@ -8,6 +8,7 @@ cuts lineage. Candidates are ordered by (distance, id).
 
 from __future__ import annotations
 
+from bisect import insort
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,8 @@ METRICS = {"l2": squared_l2, "mips": mips_score}
 CAND = "array<struct<dist:double,id:bigint,done:boolean>>"
 LABELLED = "array<struct<dist:double,id:bigint,done:boolean,own:boolean>>"
 STEPS_A_WRITE = 8
+#: Nodes that hop-limited search looks up at once.
+AHEAD = 32
 
 
 def adjacency(edges: DataFrame, base: DataFrame, *also: str) -> DataFrame:
@@ -54,13 +57,13 @@ def _open(cand: str = "cand") -> Column:
     return F.exists(cand, lambda c: ~c["done"])
 
 
-def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int | None, width: int, k: int, metric: str = "l2", iters: int = 64) -> DataFrame:
-    """One-shot search: keep the best ``width``, expand the closest open one, until none is left or after ``iters`` steps.
+def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int | None, width: int, k: int, metric: str = "l2", iters: int | None = None) -> DataFrame:
+    """One-shot search: keep the best ``width``, expand the closest open one, until none is left or, if given, after ``iters`` steps.
 
     Returns (qid, rank, id, dist, n_dist, n_expand).
     """
-    state = _start(queries, base, entry, metric)
-    for step in range(iters):
+    state, ended = _start(queries, base, entry, metric), []
+    for step in count() if iters is None else range(iters):
         best = F.filter("cand", lambda c: ~c["done"])
         state = state.withColumn("at", F.get(best, F.lit(0))["id"])
         joined = state.join(adj, F.col("at") == F.col("src"), "left")
@@ -72,9 +75,14 @@ def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int | Non
             (F.col("n_expand") + F.when(F.col("at").isNotNull(), 1).otherwise(0)).alias("n_expand"),
         )
         if step % STEPS_A_WRITE == STEPS_A_WRITE - 1:
+            # queries that are done leave, so that they don't travel on, all to one task
             state = written(state, "search")
-            if state.where(_open()).isEmpty():
+            ended.append(state.where(~_open()))
+            state = state.where(_open())
+            if state.isEmpty():
                 break
+    for part in ended:
+        state = state.unionByName(part)
     top = state.select("qid", F.posexplode(F.slice("cand", 1, k)).alias("rank", "c"), F.size("seen").cast("long").alias("n_dist"), "n_expand")
     return top.select("qid", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("id"), F.col("c.dist").alias("dist"), "n_dist", "n_expand")
 
@@ -141,30 +149,93 @@ def sharded(queries: DataFrame, base: DataFrame, shards: int, degree: int, width
     return best.select("qid", "rank", "id", "dist").join(cost, "qid")
 
 
+def _advanced(best: list, front: list, seen: list, hop: int, got: dict, beam: int, hops: int):
+    """Best-first search as far as the nodes fetched, ``got`` (src -> [(pos, id, dist)]), carry it; with its fetches."""
+    seen_ids, steps = set(seen), []
+    while front and hop < hops and front[0][1] in got:
+        at = front.pop(0)[1]
+        for pos, n, dist in got[at]:
+            steps.append((hop, at, pos, n))
+            if n in seen_ids:
+                continue
+            seen_ids.add(n)
+            seen.append(n)
+            # admitted while the result set has room or it beats the worst there
+            if len(best) < beam or dist < best[-1][0]:
+                insort(best, (dist, n))
+                del best[beam:]
+                insort(front, (dist, n))
+        hop += 1
+    return best, front, seen, hop, steps
+
+
 def best_first(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, beam: int, hops: int, k: int) -> tuple[DataFrame, DataFrame]:
     """Hop-limited best-first search with an unbounded frontier and a result set of ``beam``; squared L2.
 
     Every neighbour is fetched at each expansion, seen or not; a neighbour rejected once isn't considered
     again. Returns results (qid, rank, id, dist) and trace (qid, hop, src, pos, id): the fetches in order.
+
+    A superstep looks up the AHEAD closest nodes of each frontier and expands, one hop after the other, as
+    long as the next is among them; so the hops are those of a search that looks up one at a time.
     """
-    state = _start(queries, base, entry, "l2").select("qid", "qvec", F.col("cand").alias("best"), F.col("cand").alias("front"), "seen")
-    trace = None
-    for hop in range(hops):
-        state = written(state.withColumn("at", F.get("front", F.lit(0))["id"]), "search")
-        step = state.where(F.col("at").isNotNull()).join(adj, F.col("at") == F.col("src"), "left")
-        step = written(step.withColumn("new", _scored(F.col("near"), F.col("qvec"), F.col("seen"), "l2")), "search")
-        fetched = step.select("qid", F.lit(hop).alias("hop"), "src", F.explode("near").alias("n")).select("qid", "hop", "src", F.col("n.pos").alias("pos"), F.col("n.id").alias("id"))
-        trace = fetched if trace is None else trace.unionByName(fetched)
-        # neighbours are taken in order: each is admitted while the result set has room or it beats the worst there
-        taken = F.aggregate(
-            "new", F.struct(F.col("best").alias("best"), F.array().cast(CAND).alias("add")),
-            lambda s, c: F.when((F.size(s["best"]) < beam) | (c["dist"] < F.element_at(s["best"], -1)["dist"]),
-                                F.struct(F.slice(F.array_sort(F.concat(s["best"], F.array(c))), 1, beam).alias("best"), F.concat(s["add"], F.array(c)).alias("add"))).otherwise(s),
-        )
-        step = step.withColumn("t", taken)
-        moved = step.select("qid", "qvec", F.col("t.best").alias("best"), F.array_sort(F.concat(F.slice("front", 2, F.greatest(F.size("front"), F.lit(1))), "t.add")).alias("front"), F.array_union("seen", F.col("new.id")).alias("seen"))
-        state = moved.unionByName(state.where(F.col("at").isNull()).drop("at"))
-    top = state.select("qid", F.posexplode(F.slice("best", 1, k)).alias("rank", "c"))
+    runs = queries.select("qid", "qvec", F.lit(beam).alias("beam"), F.lit(hops).alias("hops"))
+    return _best_first(runs, adj, base, entry, k)
+
+
+def best_first_sweep(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, limits: list[tuple[int, int]], k: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """best_first for several (beam, hops) in the same supersteps; column ``name`` of both tables is the beam."""
+    n = len(limits)
+    each = F.posexplode(F.array(*[F.struct(F.lit(b).alias("beam"), F.lit(h).alias("hops")) for b, h in limits])).alias("_run", "_of")
+    runs = queries.select("*", each).select((F.col("qid") * n + F.col("_run")).alias("qid"), "qvec", "_of.*")
+    beams = F.array(*[F.lit(b) for b, _ in limits])
+    back = lambda df: df.withColumn(name, F.get(beams, F.pmod("qid", F.lit(n)).cast("int"))).withColumn("qid", F.floor(F.col("qid") / n).cast("long"))
+    found, trace = _best_first(runs, adj, base, entry, k)
+    return back(found), back(trace)
+
+
+def _best_first(runs: DataFrame, adj: DataFrame, base: DataFrame, entry: int, k: int) -> tuple[DataFrame, DataFrame]:
+    pair = "array<struct<dist:double,id:bigint>>"
+    schema = f"qid bigint, qvec array<float>, beam int, hops int, hop int, best {pair}, front {pair}, seen array<bigint>, steps array<struct<hop:int,src:bigint,pos:int,id:bigint>>"
+    start = _start(runs, base, entry, "l2").select("qid", "qvec", F.transform("cand", lambda c: F.struct(c["dist"].alias("dist"), c["id"].alias("id"))).alias("best"), "seen")
+    state = start.join(runs.select("qid", "beam", "hops"), "qid").select("qid", "qvec", "beam", "hops", F.lit(0).alias("hop"), "best", F.col("best").alias("front"), "seen", F.array().cast("array<struct<hop:int,src:bigint,pos:int,id:bigint>>").alias("steps"))
+    state = written(state, "search")
+    names = state.columns
+
+    def advance(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                pairs = lambda name: [(c["dist"], c["id"]) for c in r[name]]
+                got = {i: [] for _, i in pairs("front")[:AHEAD]}  # a node without a row in the graph has no neighbours
+                got |= {g["src"]: [(x["pos"], x["id"], x["dist"]) for x in g["near"]] for g in r["got"] or []}
+                best, front, seen, hop, steps = _advanced(pairs("best"), pairs("front"), r["seen"], r["hop"], got, r["beam"], r["hops"])
+                as_rows = lambda cs: [{"dist": d, "id": i} for d, i in cs]
+                out.append({**{c: r[c] for c in ("qid", "qvec", "beam", "hops")}, "hop": hop, "best": as_rows(best), "front": as_rows(front), "seen": seen, "steps": [dict(zip(("hop", "src", "pos", "id"), x)) for x in steps]})
+            types = batch.schema
+            yield pa.RecordBatch.from_pylist(out, pa.schema([types.field(c) for c in names]))
+
+    parts, ended = [], []
+    more = (F.size("front") > 0) & (F.col("hop") < F.col("hops"))
+    while True:
+        ended.append(state.where(~more))
+        state = state.where(more)
+        if state.isEmpty():
+            break
+        asked = state.select("qid", "qvec", F.explode(F.slice("front", 1, AHEAD)["id"]).alias("src"))
+        near = F.transform("near", lambda x: F.struct(x["pos"].alias("pos"), x["id"].alias("id"), squared_l2(F.col("qvec"), x["vec"]).alias("dist")))
+        got = asked.join(adj, "src").groupBy("qid").agg(F.collect_list(F.struct("src", near.alias("near"))).alias("got"))
+        state = written(state.join(got, "qid", "left").mapInArrow(advance, schema), "search")
+        parts.append(state)
+    end = ended[0]
+    for part in ended[1:]:
+        end = end.unionByName(part)
+    trace = (parts or [state])[0]
+    for part in parts[1:]:
+        trace = trace.unionByName(part)
+    trace = trace.select("qid", F.inline("steps")).select("qid", "hop", "src", "pos", "id")
+    top = end.select("qid", F.posexplode(F.slice("best", 1, k)).alias("rank", "c"))
     return top.select("qid", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("id"), F.col("c.dist").alias("dist")), trace
 
 

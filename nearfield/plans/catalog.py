@@ -24,6 +24,7 @@ CODE_BYTES = 32
 RERANK_POOL = 50
 PACKED = 800
 ENTRY = 0
+HOPS = 64
 #: Answers are given to six decimals.
 DIGITS = 6
 
@@ -452,7 +453,7 @@ def level_beam_3_rerank(spark, sf_dir):
     return rounded(S.reranked(level_found(spark, sf_dir).select("qid", "id", "pos"), rows, asked, 4), "dist")
 
 
-def oneshot(spark, sf_dir, width: int = 20, degree: int = DEGREE, iters: int = 64, metric: str = "l2") -> DataFrame:
+def oneshot(spark, sf_dir, width: int = 20, degree: int = DEGREE, iters: int | None = None, metric: str = "l2") -> DataFrame:
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
     adj = S.adjacency(graph(rows, degree), rows)
@@ -519,7 +520,7 @@ def sharded_search(spark, sf_dir):
     return rounded(S.sharded(asked, rows, 4, 8, 20, K), "dist")
 
 
-def hop_limited(spark, sf_dir, beam: int = 16, hops: int = 8):
+def hop_limited(spark, sf_dir, beam: int = 16, hops: int = HOPS):
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
     return S.best_first(asked, S.adjacency(graph(rows, 8), rows), rows, ENTRY, beam, hops, K)
@@ -551,11 +552,7 @@ def beam_sweep(spark, sf_dir):
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
     adj, truth = S.adjacency(graph(rows, 8), rows), written(knn(rows, asked, K), "truth")
-    results = reads = None
-    for beam in (4, 8, 16):
-        found, steps = S.best_first(asked, adj, rows, ENTRY, beam, 8, K)
-        found, steps = found.withColumn("beam", F.lit(beam)), steps.withColumn("beam", F.lit(beam))
-        results, reads = (found, steps) if results is None else (results.unionByName(found), reads.unionByName(steps))
+    results, reads = S.best_first_sweep(asked, adj, rows, ENTRY, [(beam, HOPS) for beam in (4, 8, 16)], K, "beam")
     per = M.recall(written(results, "sweep"), truth, K, "beam").groupBy("beam").agg(F.avg("recall").alias("recall"), F.count(F.lit(1)).alias("n"))
     cost = reads.groupBy("beam").agg(F.count(F.lit(1)).alias("fetches"))
     joined = per.join(cost, "beam").withColumn("fetches", F.col("fetches") + F.col("n"))  # and the entry, once a query
@@ -576,10 +573,7 @@ def ef_sweep(spark, sf_dir):
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
     adj, truth = S.adjacency(graph(rows, 8), rows), written(knn(rows, asked, K), "truth")
-    out = None
-    for ef in (4, 8, 12):
-        found = S.best_first(asked, adj, rows, ENTRY, max(ef, K), ef, K)[0].withColumn("ef", F.lit(ef))
-        out = found if out is None else out.unionByName(found)
+    out = S.best_first_sweep(asked, adj, rows, ENTRY, [(ef, ef) for ef in (100, 200, 400, 800, 1600)], K, "ef")[0]
     return M.recall(written(out, "sweep"), truth, K, "ef").groupBy("ef").agg(F.round(F.avg("recall"), DIGITS).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
 
 

@@ -125,6 +125,24 @@ def test_label_filtered_search_finds_k_with_the_label(spark, sf_dir):
     assert sum((r.qid, r.id) in true for r in found) / len(true) >= 0.95
 
 
+def test_one_shot_search_runs_until_nothing_is_open(spark):
+    """A path of 200 nodes, whose end is the answer."""
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(200)], "id long, vec array<float>")
+    edges = spark.createDataFrame([(i, 1, i + 1) for i in range(199)], "src long, pos int, dst long")
+    asked = spark.createDataFrame([(0, [199.0])], "qid long, qvec array<float>")
+    found = S.greedy(asked, S.adjacency(edges, base), base, 0, 2, 1).collect()
+    assert [(r.id, r.n_dist, r.n_expand) for r in found] == [(199, 200, 200)]
+
+
+def test_hop_limited_search_arrives(spark, sf_dir):
+    """The registered hops reach the neighbours, and so does the least ef of the sweep."""
+    found = catalog.QUERIES["best_first_search"](spark, sf_dir)
+    truth = knn(*catalog.load(spark, sf_dir), 10)
+    assert np.mean([r.recall for r in M.recall(found, truth, 10).collect()]) >= 0.9
+    got = {r.ef: r.recall for r in catalog.QUERIES["ef_sweep"](spark, sf_dir).collect()}
+    assert set(got) == {100, 200, 400, 800, 1600} and min(got.values()) >= 0.95
+
+
 def test_recall(spark):
     truth = spark.createDataFrame([(0, 1, 4), (0, 2, 3)], "qid long, rank int, id long")
     found = spark.createDataFrame([(0, 1, 4), (0, 2, 5), (0, 3, 4)], "qid long, rank int, id long")
