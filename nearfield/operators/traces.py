@@ -2,8 +2,8 @@
 
 A cache of whole records that keeps the most recently used ones hits exactly where fewer distinct
 records than its capacity were touched since the last touch of the same one. So hit rates for any
-number of capacities come from one reuse-distance table, and no cache is stepped through. Sessions
-bound how far a distance can reach.
+number of capacities come from one reuse-distance table, and no cache is stepped through. Distances
+reach over the whole trace, or only within sessions where the caches are emptied between these.
 """
 
 from __future__ import annotations
@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .ordering import numbered
 
+#: Values of the earlier touch that are ranked in one window.
+CELL = 4096
+
 
 def first_touches(trace: DataFrame) -> DataFrame:
     """(qid, fetches, misses) of a cache that never drops anything: only a record's first touch misses."""
@@ -46,6 +50,31 @@ def reuse_distances(trace: DataFrame, session: Column) -> DataFrame:
     return counted.unionByName(rows.where("before is null").select("session", "seq", "id", F.lit(None).cast("long").alias("distance")))
 
 
+def whole_reuse_distances(trace: DataFrame) -> DataFrame:
+    """(seq, id, distance): distinct other records since the last touch of the same one in the whole trace; null at first.
+
+    Of the touches between, those whose record comes again before this touch are left out: they are the
+    earlier touches of pairs that lie within this one's, so a pair counts the pairs that end before it and
+    begin after it. Places are compared bit by bit: at each bit, the pairs of a block's left half are counted
+    for those of its right half, in cells of CELL beginnings whose sums are carried on; no task has a whole block.
+    """
+    rows = numbered(trace.select("seq", "id"), ["seq", "id"], "n")
+    own = Window.partitionBy("id").orderBy("n")
+    rows = written(rows.select("seq", "id", "n", F.lag("n").over(own).alias("before")), "touches")
+    bits = max(1, int(rows.agg(F.max("n")).first()[0] or 0).bit_length())
+    pairs = rows.where("before is not null").select("n", "before", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    left = (F.lit(1) - F.expr("shiftright(n, bit) & 1")).cast("long")
+    pairs = pairs.select("n", "before", "bit", F.expr("shiftright(n, bit + 1)").alias("block"), F.call_function("div", F.col("before"), F.lit(CELL)).alias("cell"), left.alias("left"))
+    to_here = Window.partitionBy("bit", "block", "cell").orderBy(F.col("before").desc())
+    later = Window.partitionBy("bit", "block").orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = pairs.groupBy("bit", "block", "cell").agg(F.sum("left").alias("lefts"))
+    sums = sums.select("bit", "block", "cell", F.coalesce(F.sum("lefts").over(later), F.lit(0)).alias("carried"))
+    inside = pairs.withColumn("here", F.sum("left").over(to_here.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("left = 0")
+    nested = inside.join(sums, ["bit", "block", "cell"]).groupBy("n").agg(F.sum(F.col("here") + F.col("carried")).alias("nested"))
+    distance = F.col("n") - F.col("before") - 1 - F.coalesce("nested", F.lit(0))
+    return rows.join(nested, "n", "left").select("seq", "id", distance.cast("long").alias("distance"))
+
+
 def hit_rates(distances: DataFrame, capacities: list[int]) -> DataFrame:
     """(capacity, accesses, hits, hit_pct) of a cache that keeps the most recently used records."""
     sized = distances.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities])))

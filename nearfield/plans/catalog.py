@@ -632,6 +632,24 @@ def page_against_record_hits(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
+_WHOLE = "w{0} AS (SELECT seq, {1} AS id, lag(seq) OVER (PARTITION BY {1} ORDER BY seq) AS before FROM tr), d{0} AS (SELECT a.seq, a.before, (SELECT count(DISTINCT b.id) FROM w{0} b WHERE b.seq > a.before AND b.seq < a.seq) AS n FROM w{0} a)"
+
+
+@query(f"{_TRACE}, {_WHOLE.format('', 'id')}, c AS (SELECT unnest([8, 32, 128, 512]) AS capacity) SELECT capacity::INT AS capacity, count(*) AS accesses, count(*) FILTER (before IS NOT NULL AND n < capacity) AS hits, round(count(*) FILTER (before IS NOT NULL AND n < capacity) * 100.0 / count(*), 6) AS hit_pct FROM d, c GROUP BY capacity")
+def whole_trace_hit_rates(spark, sf_dir):
+    """Hit rates of caches that keep the most recently used records over the whole trace."""
+    return rounded(T.hit_rates(T.whole_reuse_distances(trace(spark, sf_dir)), [8, 32, 128, 512]), "hit_pct")
+
+
+@query(f"{_TRACE}, {_WHOLE.format('r', 'id')}, {_WHOLE.format('g', 'id // 4')} SELECT 'record' AS unit, count(*) AS accesses, count(*) FILTER (before IS NOT NULL AND n < 64) AS hits FROM dr UNION ALL SELECT 'page' AS unit, count(*) AS accesses, count(*) FILTER (before IS NOT NULL AND n < 16) AS hits FROM dg")
+def whole_trace_page_hits(spark, sf_dir):
+    """Hits over the whole trace of caches of 64 records and of 16 pages of four records."""
+    accesses = trace(spark, sf_dir)
+    pages = accesses.withColumn("id", F.call_function("div", F.col("id"), F.lit(4)))
+    both = [T.hit_rates(T.whole_reuse_distances(t), [c]).select(F.lit(u).alias("unit"), "accesses", "hits") for u, t, c in (("record", accesses, 64), ("page", pages, 16))]
+    return both[0].unionByName(both[1])
+
+
 @query(f"{_TRACE}, f AS (SELECT id, count(*) AS n, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS total FROM tr GROUP BY id), t AS (SELECT unnest([10, 25, 50, 75, 90]) AS target) SELECT target::INT AS target, count(*) FILTER (place <= floor((100 - target) * total / 100)) AS pinned, sum(n)::BIGINT AS fetches, sum(CASE WHEN place <= floor((100 - target) * total / 100) THEN 0 ELSE n END)::BIGINT AS misses, round(sum(CASE WHEN place <= floor((100 - target) * total / 100) THEN 0 ELSE n END) * 100.0 / sum(n), 6) AS miss_pct FROM f, t GROUP BY target")
 def target_miss_pinning(spark, sf_dir):
     return rounded(T.target_misses(trace(spark, sf_dir), [10, 25, 50, 75, 90]), "miss_pct")

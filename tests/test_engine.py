@@ -225,6 +225,17 @@ def test_traces(spark):
     assert p90 == pytest.approx(9.1)
 
 
+def test_whole_reuse_distances_against_a_plain_count(spark, monkeypatch):
+    monkeypatch.setattr(T, "CELL", 16)
+    ids = np.random.default_rng(5).integers(0, 90, 500).tolist()
+    trace = spark.createDataFrame([(0, 3 * k, i) for k, i in enumerate(ids)], "qid long, seq long, id long")
+    want, last = {}, {}
+    for k, i in enumerate(ids):
+        want[3 * k] = len(set(ids[last[i] + 1 : k])) if i in last else None
+        last[i] = k
+    assert {r.seq: r.distance for r in T.whole_reuse_distances(trace).collect()} == want
+
+
 def test_numbering(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = numbered(df, ["k"], "n", 5).orderBy("k").collect()
