@@ -98,3 +98,53 @@ def adaptive_beam(rates: Column, start: int = 32, least: int = 4, most: int = 64
         return F.concat(beams, F.array(nxt.cast("int")))
 
     return F.slice(F.aggregate(rates, F.array(F.lit(start)), step), 2, F.greatest(F.size(rates), F.lit(1)))
+
+
+def adaptive_beams(rates: DataFrame, by: str, start: int = 32, least: int = 4, most: int = 64, block: int = 1 << 16) -> DataFrame:
+    """(by, beam): the beam after each row of ``rates`` (by, rate) in the order of ``by``, as in adaptive_beam.
+
+    Each block of rows is reduced to a map from the beams there can be to the beam after it; only these maps,
+    one row a block, are composed in one place, and each block is then replayed from its own start.
+    """
+
+    def after(beam: int, rate: float | None) -> int:
+        if rate is not None and rate > 0.45:
+            return max(least, beam // 2)
+        return min(most, beam * 2) if rate is not None and rate < 0.25 else beam
+
+    states, fresh = {start}, [start]
+    while fresh:
+        fresh = [x for x in {after(b, r) for b in fresh for r in (0.0, 1.0)} if x not in states]
+        states.update(fresh)
+    states = sorted(states)
+    rows = numbered(rates.select(by, "rate"), [by], "_n")
+    rows = written(rows.withColumn("_block", F.call_function("div", F.col("_n"), F.lit(block))), "rates")
+
+    def ordered(table):
+        return table.sort_by("_n")
+
+    def reduced(table):
+        import pyarrow as pa
+
+        at = list(states)
+        for rate in ordered(table).column("rate").to_pylist():
+            at = [after(b, rate) for b in at]
+        return pa.table({"_b": table.column("_block").slice(0, 1), "to": pa.array([at], pa.list_(pa.int32()))})
+
+    def replayed(table):
+        import pyarrow as pa
+
+        table, beams = ordered(table), []
+        beam = table.column("_start")[0].as_py()
+        for rate in table.column("rate").to_pylist():
+            beam = after(beam, rate)
+            beams.append(beam)
+        return pa.table({by: table.column(by), "beam": pa.array(beams, pa.int32())})
+
+    maps = rows.groupBy("_block").applyInArrow(reduced, "_b long, to array<int>").orderBy("_b").collect()
+    starts, beam = [], start
+    for m in maps:
+        starts.append((m["_b"], beam))
+        beam = m["to"][states.index(beam)]
+    begun = rows.join(rows.sparkSession.createDataFrame(starts, "_b long, _start int"), F.col("_block") == F.col("_b"))
+    return begun.select(by, "rate", "_n", "_block", "_start").groupBy("_block").applyInArrow(replayed, f"{by} {rates.schema[by].dataType.simpleString()}, beam int")

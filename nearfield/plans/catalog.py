@@ -660,11 +660,9 @@ WITH RECURSIVE {BASE}, m AS (SELECT row_number() OVER (ORDER BY id) AS n, id AS
 r AS (SELECT 0::BIGINT AS n, 0::BIGINT AS qid, 32 AS beam UNION ALL SELECT m.n, m.qid, CASE WHEN rate > 0.45 THEN greatest(4, beam // 2) WHEN rate < 0.25 THEN least(64, beam * 2) ELSE beam END FROM r JOIN m ON m.n = r.n + 1)
 SELECT qid, beam::INT AS beam FROM r WHERE n > 0""")
 def adaptive_beam_replay(spark, sf_dir):
-    """The beam after each query, from miss rates given by formula; one session's rates are one array."""
+    """The beam after each query, from miss rates given by formula."""
     rates = load(spark, sf_dir)[1].select("qid", (F.col("qid") * 37 % 100 / 100.0).alias("rate"))
-    session = rates.agg(F.array_sort(F.collect_list(F.struct("qid", "rate"))).alias("s"))
-    beams = session.select(F.arrays_zip(F.col("s.qid").alias("qid"), T.adaptive_beam(F.col("s.rate")).alias("beam")).alias("z"))
-    return beams.select(F.inline("z").alias("qid", "beam"))
+    return T.adaptive_beams(rates, "qid")
 
 
 _PROMOTE = f"{EXACT}, {graph_sql()}, l AS (SELECT unnest([1, 2, 4, 8]) AS top), p AS (SELECT DISTINCT top, g.qid, e.dst AS id FROM gt g, l JOIN edges e ON TRUE WHERE g.rank > 1 AND g.rank <= top + 1 AND e.src = g.id), u AS (SELECT p.*, gt.id IS NOT NULL AS used FROM p LEFT JOIN gt ON gt.qid = p.qid AND gt.id = p.id)"

@@ -236,6 +236,16 @@ def test_whole_reuse_distances_against_a_plain_count(spark, monkeypatch):
     assert {r.seq: r.distance for r in T.whole_reuse_distances(trace).collect()} == want
 
 
+def test_adaptive_beams_by_blocks(spark):
+    rates = [(k, k * 37 % 100 / 100) for k in range(200)]
+    got = T.adaptive_beams(spark.createDataFrame(rates, "qid long, rate double").repartition(3), "qid", block=16)
+    want, beam = [], 32
+    for _, rate in rates:
+        beam = max(4, beam // 2) if rate > 0.45 else min(64, beam * 2) if rate < 0.25 else beam
+        want.append(beam)
+    assert [r.beam for r in got.orderBy("qid").collect()] == want
+
+
 def test_numbering(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = numbered(df, ["k"], "n", 5).orderBy("k").collect()
