@@ -401,6 +401,13 @@ def edge_locality(spark, sf_dir):
     return rounded(G.edge_locality(graph(rows, 8), by_norm_order(rows)), "mean_new", "mean_old", "within_64", "within_256", "within_4096")
 
 
+@query(ORACLES["edge_locality"].replace(" WHERE ns % 64 = 0", ""))
+def edge_locality_whole(spark, sf_dir):
+    """edge_locality over every edge."""
+    rows = base(spark, sf_dir)
+    return rounded(G.edge_locality(graph(rows, 8), by_norm_order(rows), 1), "mean_new", "mean_old", "within_64", "within_256", "within_4096")
+
+
 def _share(a: str, b: str) -> str:
     f, e = lambda x: f"({x} * {PACKED} // 4096)", lambda x: f"(({x} * {PACKED} + {PACKED - 1}) // 4096)"
     return f"(NOT ({e(a)} < {f(b)} OR {e(b)} < {f(a)}))::INT"
@@ -415,6 +422,13 @@ def page_locality(spark, sf_dir):
     return rounded(G.page_locality(graph(rows, 8), by_norm_order(rows), PACKED, P.bin_capacity(PACKED)), *_PL)
 
 
+@query(ORACLES["page_locality"].replace("ns % 8 = 0 AND ", ""))
+def page_locality_whole(spark, sf_dir):
+    """page_locality over every edge but those of a node to itself."""
+    rows = base(spark, sf_dir)
+    return rounded(G.page_locality(graph(rows, 8), by_norm_order(rows), PACKED, P.bin_capacity(PACKED), 1), *_PL)
+
+
 @query(f"{_MAP}, pg AS (SELECT src, count(DISTINCT p) AS n FROM (SELECT src, unnest(range(nd * {PACKED} // 4096, (nd * {PACKED} + {PACKED - 1}) // 4096 + 1)) AS p FROM be) GROUP BY src) SELECT count(*) AS n_nodes, round(avg(n), 6) AS mean_pages FROM pg")
 def pages_per_expand(spark, sf_dir):
     rows = base(spark, sf_dir)

@@ -246,6 +246,11 @@ def test_adaptive_beams_by_blocks(spark):
     assert [r.beam for r in got.orderBy("qid").collect()] == want
 
 
+def test_whole_locality_counts_every_edge(spark, sf_dir):
+    edges = catalog.graph(catalog.base(spark, sf_dir), 8).count()
+    assert [catalog.QUERIES[q](spark, sf_dir).first().n_edges for q in ("edge_locality_whole", "page_locality_whole")] == [edges, edges]
+
+
 def test_numbering(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = numbered(df, ["k"], "n", 5).orderBy("k").collect()
