@@ -2,11 +2,15 @@
 
 Only lengths matter to packing and they are at most ``capacity``, so Spark reduces the pieces to a
 histogram of at most ``capacity`` rows, whatever the corpus. Bin completion works on that: take the
-largest length left, enumerate the undominated fillings of the room beside it, best first, and use a
-pattern as often as its counts allow. Depth-first search goes back over fillings while the waste so
-far leaves a chance to beat the incumbent (best-fit decreasing at first) and stops at the lower bound
-or after ``NODES`` nodes. The plan, a few thousand patterns at most, then tells each piece its place
-by its rank among pieces of its length; ranks are numbered in Spark.
+largest length left and branch on every undominated filling of the room beside it, fullest first, and
+on how many sequences take it, as many as the counts allow first. Fillings are found by sum: sets of
+reachable sums, kept as bits, lead to each filling without a dead end, so that they come one by one
+and none is left out. The incumbent is best-fit decreasing, then the best solution found; a branch
+ends where its waste or the lower bound of what is left can't beat it. The search ends at the lower
+bound, when no branch is open, or after ``nodes`` fillings beyond the first branch; what is returned
+with the plan says which: the plan is optimal where the bound equals its sequences. The plan, a few
+thousand patterns at most, then tells each piece its place by its rank among pieces of its length;
+ranks are numbered in Spark.
 
 Defined cases: null text is empty and makes a piece of the end id alone; repeated rows are packed as
 rows of their own; rows with a null id are packed too; an empty table gives an empty result.
@@ -15,6 +19,8 @@ rows of their own; rows with a null id are packed too; an empty table gives an e
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,8 +33,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Words kept per worker, fewer than by default: in a pipeline, workers go on to other stages with them.
 CACHE_WORDS = 120_000
-NODES = 3000
-WIDTH = 3
+#: Fillings looked at after the first branch has ended.
+NODES = 5000
+#: Frames of the search that keep their enumeration; older ones begin theirs again when the search returns to them.
+LIVE = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -72,144 +80,168 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return int((large + middle + more).max())
 
 
-def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Up to ``width`` undominated fillings of ``room`` from the lengths left, fullest first.
+def reachable(sizes: list[int], counts: list[int], room: int) -> list[int]:
+    """[bits]: bit s of entry i is set where copies of the first i of ``sizes`` add up to s, at most ``room``."""
+    mask, reach = (1 << room + 1) - 1, [1]
+    for size in sizes:
+        sums, left, step = reach[-1], min(counts[size], room // size), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << size * step & mask
+            left -= step
+            step *= 2
+        reach.append(sums)
+    return reach
 
-    A filling is dominated by one that holds an item at least as large in place of its items. A single
-    item is the largest that fits; a second item is always the largest that fits beside the first, and
-    a pair or triple counts only where it fills more than what would dominate it.
-    """
-    have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    largest, forced = int(have[-1]), []
-    left = counts.copy() if room > 3 * largest else counts
-    while room > 3 * largest:  # three more items can't fill it: take the largest first
-        take = min(int(left[largest]), -(-(room - 3 * largest) // largest))
-        left[largest] -= take
-        room -= take * largest
-        forced += [largest] * take
-        have = np.flatnonzero(left[: room + 1])
-        have = have[have > 0]
-        if not len(have):
-            return [tuple(forced)]
-        largest = int(have[-1])
-    fits = np.zeros(room + 1, dtype=np.int64)  # the largest length left that is at most x
-    fits[have] = have
-    fits = np.maximum.accumulate(fits)
-    found = {(largest,): largest}
-    a = have[::-1]
-    b = fits[np.minimum(a, room - a)]
-    same = (b == a) & (left[a] < 2)
-    b = np.where(same, fits[np.maximum(a - 1, 0)], b)
-    total = np.where(b > 0, a + b, 0)
-    for k in np.argsort(-total, kind="stable")[:width]:
-        if total[k] > largest:
-            found[(int(a[k]), int(b[k]))] = int(total[k])
-    if max(found.values()) < room:
-        for first in a[:: max(1, len(a) // 48)][:48]:
-            rest = room - int(first)
-            second = have[(have <= min(first, rest)) & (have * 2 >= rest - have)]
-            if not len(second):
-                continue
-            third = fits[np.minimum(second, rest - second)]
-            need = 1 + (second == first) + (third == second)
-            ok = (third > 0) & (left[second] >= need) & (left[first] >= 1 + (second == first) + (third == first))
-            fill = np.where(ok, first + second + third, 0)
-            k = int(fill.argmax())
-            if fill[k] > max(found.values()):
-                found[(int(first), int(second[k]), int(third[k]))] = int(fill[k])
-    best = sorted(found, key=lambda f: (-found[f], f), reverse=False)[:width]
-    return [tuple(forced) + f for f in best]
 
+def spread(bits: int, n: int) -> int:
+    """Every bit and the ``n`` above it."""
+    width = 1
+    while width <= n:
+        step = min(width, n + 1 - width)
+        bits |= bits << step
+        width += step
+    return bits
 
-def _times(counts: np.ndarray, pattern: tuple[int, ...]) -> int:
-    need = np.bincount(pattern, minlength=len(counts))
-    used = np.flatnonzero(need)
-    return int((counts[used] // need[used]).min())
+
+def dominated(filling: tuple[int, ...], slack: int, counts: list[int], have: int) -> bool:
+    """Whether one more item can take the place of some of the filling's and fill as much or more.
+
+    ``have`` has a bit for each length with counts above 0; ``slack`` is the room that the filling leaves.
+    """
+    one = more = 0  # sums of one item, of several
+    for size in filling:
+        more |= (one | more) << size
+        one |= 1 << size
+    better = spread(more, slack) | (spread((one | 1) << 1, slack - 1) if slack else 0)  # an item beside the others, too
+    for size in set(filling):
+        if counts[size] == filling.count(size):
+            have &= ~(1 << size)
+    return bool(better & have)
+
+
+def fillings(counts: list[int], room: int, least: int = 0) -> Iterator[tuple[int, ...] | None]:
+    """Every undominated filling of ``room`` of at least ``least``, fullest first; None for each dominated one passed over."""
+    sizes = [size for size in range(1, room + 1) if counts[size]]
+    reach = reachable(sizes, counts, room)
+    have = sum(1 << size for size in sizes)
+
+    def of_sum(total: int, upto: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+        for i in range(upto, 0, -1):
+            if not reach[i] >> total & 1:
+                return
+            size = sizes[i - 1]
+            for n in range(min(counts[size], total // size), 0, -1):
+                if reach[i - 1] >> total - n * size & 1:
+                    for rest in of_sum(total - n * size, i - 1):
+                        yield (size,) * n + rest
+
+    sums = reach[-1] >> least << least
+    while sums:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        for filling in of_sum(total, len(sizes)):
+            yield None if dominated(filling, room - total, counts, have) else filling
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on the histogram: each length goes to the open patterns with the tightest room."""
+    """Best-fit decreasing on the histogram: each piece goes to the tightest room that holds it, many alike at a time."""
     rooms: dict[int, list] = {}
     for size in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[size])
-        if size == 0:
-            continue
-        while left:
-            room = min((r for r in rooms if r >= size), default=None)
-            if room is None:
-                rooms.setdefault(capacity, []).append([(), left])
-                room = capacity
-            pattern, n = rooms[room].pop()
-            if not rooms[room]:
+        while left and size:
+            room = min((r for r in rooms if r >= size), default=capacity)
+            pattern, n = rooms[room].pop() if room in rooms else ((), left)
+            if room in rooms and not rooms[room]:
                 del rooms[room]
-            take = min(n, left)
-            left -= take
-            rooms.setdefault(room - size, []).append([(*pattern, size), take])
+            # a sequence that took a piece is the tightest still, as long as it holds one more
+            each = min(room // size, left)
+            take = min(n, left // each)
+            left -= take * each
+            rooms.setdefault(room - each * size, []).append(((*pattern, *[size] * each), take))
             if n > take and pattern:
-                rooms.setdefault(room, []).append([pattern, n - take])
-    return [(pattern, n) for stack in rooms.values() for pattern, n in stack if pattern]
+                rooms.setdefault(room, []).append((pattern, n - take))
+    return [(pattern, n) for stack in rooms.values() for pattern, n in stack]
+
 
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """([(lengths of a sequence, how many such sequences)], bound): every piece is held, and no packing takes fewer than ``bound`` sequences.
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, how many such sequences)] that hold every piece; counts[n] is the number of pieces of length n."""
-    counts = counts.astype(np.int64).copy()
-    whole = int(counts @ np.arange(len(counts)))
-    best = best_fit(counts, capacity)
-    bound = lower_bound(counts, capacity)
+    counts[n] is the number of pieces of length n, from 1 to ``capacity``.
+    """
+    left = counts.astype(np.int64)
+    left[0] = 0
+    whole = int(left @ np.arange(len(left)))
+    best, bound = best_fit(left, capacity), lower_bound(left, capacity)
     fewest = sum(n for _, n in best)
-    if fewest <= bound:
-        return best
-    chosen: list[tuple[tuple[int, ...], int]] = []
-    options: list[list[tuple[int, ...]]] = []
-    waste, used, seen, largest = 0, 0, 0, capacity
-
-    def undo():
-        nonlocal waste, used
-        pattern, times = chosen.pop()
-        np.add.at(counts, list(pattern), times)
-        waste -= times * (capacity - sum(pattern))
-        used -= times
-
-    while True:
-        top = np.flatnonzero(counts)
-        if not len(top):
-            if used < fewest:
-                best, fewest = list(chosen), used
-            if fewest <= bound or seen > nodes:
-                return best
-        else:
-            seen += 1
+    used = waste = looked = 0
+    # one for each choice made: [pattern, times, largest length, fillings tried, their enumeration, pattern that may not come next]
+    frames: list[list] = []
+    ended = False
+
+    def choices(largest: int, avoid: tuple[int, ...] | None) -> Iterator[tuple[int, ...] | None]:
+        mine = left.tolist()
+        mine[largest] -= 1
+        room = capacity - largest
+        # a sequence may waste no more than the incumbent allows for all
+        least = max(0, room - ((fewest - 1) * capacity - whole - waste))
+        for filling in fillings(mine, room, least):
+            yield None if filling is None or (largest, *filling) == avoid else (largest, *filling)
+
+    def take(pattern: tuple[int, ...], times: int) -> None:
+        nonlocal used, waste
+        np.subtract.at(left, list(pattern), times)
+        used += times
+        waste += times * (capacity - sum(pattern))
+
+    def descend() -> None:
+        """Open a frame for the largest length left, unless nothing is left or what is left can't beat the incumbent."""
+        nonlocal best, fewest, ended
+        top = np.flatnonzero(left)
+        if not len(top) and used < fewest:
+            best, fewest = [(f[0], f[1]) for f in frames], used
+        if len(top) and used + lower_bound(left, capacity) < fewest and waste + whole <= (fewest - 1) * capacity:
             largest = int(top[-1])
-            counts[largest] -= 1
-            fills = fillings(counts, capacity - largest, width)
-            counts[largest] += 1
-            options.append([(largest, *f) for f in reversed(fills)])
-        if not len(top):
-            options.append([])
-        while True:  # the next filling that the waste allows, else back
-            while options and not options[-1]:
-                options.pop()
-                if not options:
-                    return best
-                undo()
-            pattern = options[-1].pop()
-            times = _times(counts, pattern)
-            more = times * (capacity - sum(pattern))
-            first = seen <= len(chosen) + 1
-            if first or waste + more <= (fewest - 1) * capacity - whole:
+            avoid = frames[-1][0] if frames and frames[-1][2] == largest else None
+            frames.append([None, 0, largest, 0, choices(largest, avoid), avoid])
+            if len(frames) > LIVE:
+                frames[-1 - LIVE][4] = None
+        else:
+            ended = True
+
+    descend()
+    while frames and fewest > bound and looked <= nodes:
+        frame = frames[-1]
+        pattern, times, largest, tried, source, avoid = frame
+        if pattern is not None:  # back here: take it back, and once less often
+            take(pattern, -times)
+            if times > 1:
+                frame[1] = times - 1
+                take(pattern, times - 1)
+                looked += ended
+                descend()
+                continue
+            frame[0] = None
+        if source is None:
+            source = frame[4] = islice(choices(largest, avoid), tried, None)
+        pattern = None
+        for found in source:
+            frame[3] += 1
+            looked += ended
+            if found is not None or looked > nodes:
+                pattern = found
                 break
-            if seen > 4 * nodes:
-                return best
-            seen += 1
-        np.subtract.at(counts, list(pattern), times)
-        chosen.append((pattern, times))
-        waste += more
-        used += times
-        if seen > nodes and used + lower_bound(counts, capacity) >= fewest:
-            return best
+        if pattern is None:
+            frames.pop()
+            continue
+        need = np.bincount(pattern, minlength=len(left))
+        held = np.flatnonzero(need)
+        frame[0], frame[1] = pattern, int((left[held] // need[held]).min())
+        take(frame[0], frame[1])
+        descend()
+    return best, bound if frames and fewest > bound else fewest
 
 
 def plan_rows(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int, int, int, int, int]]]:
@@ -228,13 +260,17 @@ def plan_rows(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[i
     return rows
 
 
-def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (columns doc_id, piece, length and any others) with sequence_id and offset."""
+def placed(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+    """``pieces`` (columns doc_id, piece, length and any others) with sequence_id and offset.
+
+    n_sequences and least_sequences say how many sequences there are and how many any packing needs; where they are equal, this one is optimal.
+    """
     histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in histogram:
         counts[r["length"]] = r["n"]
-    plan = {size: [np.array(c, dtype=np.int64) for c in zip(*rows)] for size, rows in plan_rows(bin_completion(counts, capacity)).items()}
+    patterns, bound = bin_completion(counts, capacity, nodes)
+    plan = {size: [np.array(c, dtype=np.int64) for c in zip(*rows)] for size, rows in plan_rows(patterns).items()}
     ranked = numbered(pieces, "length", ["doc_id", "piece"], "_rank")
     names = [c for c in pieces.columns]
 
@@ -254,10 +290,11 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return ranked.select(*names, "_rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    put = ranked.select(*names, "_rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return put.withColumns({"n_sequences": F.lit(sum(n for _, n in patterns)).cast("long"), "least_sequences": F.lit(bound).cast("long")})
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, nodes: int = NODES) -> DataFrame:
     """Every piece of every document with its sequence and its place there; documents are encoded once."""
     bounded_batches(docs.sparkSession)
-    return placed(written(pieces_of(docs, tokenizer_path, capacity, end_id, keep_ids), "pieces"), capacity)
+    return placed(written(pieces_of(docs, tokenizer_path, capacity, end_id, keep_ids), "pieces"), capacity, nodes)

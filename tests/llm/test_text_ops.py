@@ -163,31 +163,73 @@ def test_packing_odd_rows(odd_docs, tokenizer):
     assert len(by) <= -(-total // 64) + 1
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_bin_completion_reaches_the_optimum(seed):
-    """Small instances against exhaustive search."""
-    rng = np.random.default_rng(seed)
-    sizes = rng.integers(3, 20, 9).tolist()
-
-    def fewest(left, rooms):
-        if not left:
-            return len(rooms)
-        best = len(rooms) + len(left)
-        for k, room in enumerate(rooms):
-            if room >= left[0] and room not in rooms[:k]:
-                best = min(best, fewest(left[1:], rooms[:k] + [room - left[0]] + rooms[k + 1 :]))
-        return min(best, fewest(left[1:], rooms + [24 - left[0]]))
-
-    counts = np.bincount(sizes, minlength=25)
-    plan = packing.bin_completion(counts, 24)
+def fewest_bins(sizes, capacity):
+    """The optimum over all subsets of the sizes: (bins, what the last one holds) of each."""
+    best = [(0, capacity)] + [(len(sizes) + 1, 0)] * ((1 << len(sizes)) - 1)
+    for m, (bins, last) in enumerate(best):
+        for i, size in enumerate(sizes):
+            if not m >> i & 1:
+                best[m | 1 << i] = min(best[m | 1 << i], (bins, last + size) if last + size <= capacity else (bins + 1, size))
+    return best[-1][0]
+
+
+def held_by(plan, capacity):
     held = Counter()
     for pattern, n in plan:
-        assert sum(pattern) <= 24
+        assert sum(pattern) <= capacity
         for s in pattern:
             held[s] += n
-    assert held == Counter(sizes)
-    assert sum(n for _, n in plan) == fewest(sorted(sizes, reverse=True), [])
-    assert packing.lower_bound(counts, 24) <= fewest(sorted(sizes, reverse=True), [])
+    return held
+
+
+def test_bin_completion_reaches_the_optimum():
+    """Instances of up to 14 pieces against the best over all subsets."""
+    rng = np.random.default_rng(0)
+    cases = [([64, 90, 177, 282, 283, 287, 290, 291, 410, 643, 687, 771, 854, 990], 2048), ([500] * 8, 2048), ([2048, 1, 2047], 2048)]
+    for k in range(500):
+        n = 14 if k % 100 == 0 else int(rng.integers(5, 11))
+        capacity = int(rng.choice([24, 100, 2048]))
+        cases.append((rng.integers(max(1, capacity // int(rng.choice([4, 8, 30]))), capacity * 6 // 10, n).tolist(), capacity))
+    for sizes, capacity in cases:
+        counts = np.bincount(sizes, minlength=capacity + 1)
+        plan, bound = packing.bin_completion(counts, capacity, nodes=10**9)
+        assert held_by(plan, capacity) == Counter(sizes)
+        assert sum(n for _, n in plan) == bound == fewest_bins(sizes, capacity)
+        assert packing.lower_bound(counts, capacity) <= bound <= sum(n for _, n in packing.best_fit(counts, capacity))
+
+
+def test_fillings_are_the_undominated_ones():
+    """Against all multisets: one is dominated where another comes from it by putting one item in the place of several, or of a smaller one."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        room, sizes = 30, Counter(rng.integers(3, 16, 6).tolist())
+        counts = [sizes[s] for s in range(room + 1)]
+        every = {()}
+        for s in sorted(sizes.elements(), reverse=True):
+            every |= {f + (s,) for f in every if sum(f) + s <= room}
+        every = {tuple(sorted(f, reverse=True)) for f in every}
+
+        def beaten(f):
+            for m in range(1 << len(f)):
+                part = [s for k, s in enumerate(f) if m >> k & 1]
+                for x in sizes:
+                    fits = sum(f) - sum(part) + x <= room and counts[x] > f.count(x)
+                    if fits and (x > sum(part) or x == sum(part) and len(part) > 1):
+                        return True
+            return False
+
+        got = [f for f in packing.fillings(counts, room) if f is not None]
+        assert sorted(got) == sorted(f for f in every if not beaten(f))
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
+def test_packing_stops_within_its_budget():
+    """Best fit decreasing isn't optimal here, and the search may end before it is: the plan is whole and the bound holds."""
+    rng = np.random.default_rng(3)
+    counts = np.bincount(rng.choice(rng.integers(100, 1200, 7), 500), minlength=2049)
+    plan, bound = packing.bin_completion(counts, 2048, nodes=50)
+    assert held_by(plan, 2048) == Counter({s: n for s, n in enumerate(counts.tolist()) if n})
+    assert packing.lower_bound(counts, 2048) <= bound <= sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts, 2048))
 
 
 def test_token_file_round_trip(spark, odd_docs, tokenizer, monkeypatch):
