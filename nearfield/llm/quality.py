@@ -2,11 +2,12 @@
 
 Each document gets base figures (words, symbols, repeated lines, repeated 3-word windows). Four
 ratios of them go, in whole thousandths, into quantile sketches: counts on a fixed grid of GRID + 1
-bins per metric, kept per language and source. Such sketches merge by adding counts, so a group of
-fewer than LEAST_DOCS documents borrows the merged sketch of its language, or that of the whole.
-A group's limit for a metric is median + SPREAD * (third quartile - first quartile) + MARGIN, so a
-source is held against its own habits; a document is joined to its group's limits and rejected
-where it passes one of them, or where it breaks a base rule.
+bins per metric, kept per language and source. Such sketches merge by adding counts, so those of a
+language and of the whole come from the same counts. What a group is used to in a metric is median +
+SPREAD * (third quartile - first quartile); a group's own value counts with its documents, that of its
+language with PRIOR documents beside it, and that of the whole likewise with the language's: groups of
+any size are held against their own habits as far as they have shown them. A document is joined to its
+group's limits and rejected where it lies more than MARGIN above one of them, or breaks a base rule.
 
 Defined cases: null or blank text has no words and fails the base rule; null language or source is a
 group of its own; repeated rows are judged alike; an empty table gives an empty result.
@@ -22,38 +23,50 @@ from .common import SPACE_RUN, let, words_of, written
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 GRID = 1000
-LEAST_DOCS = 100
+PRIOR = 20
 SPREAD = 4
 #: Metric -> the least distance, in thousandths, of a limit from its group's median.
 MARGIN = {"symbols": 50, "dup_lines": 500, "repeats": 400, "long_words": 600}
 
 
-def repeated_words(words: Column) -> Column:
+def repeated_words(words: Column, hash_bits: int = 64) -> Column:
     """How many words stand in a 3-word window that occurs twice or more in the text.
 
-    Each window's 64-bit hash is shifted left by the bits a position needs and the position put there;
-    sorting these longs brings equal windows side by side. Positions of equal neighbours, sorted, cover
-    min(3, gap) words each.
+    The upper bits of each window's hash and its position make a long; sorting these brings equal windows
+    side by side. Positions of equal neighbours, sorted, cover min(3, gap) words each. Neighbours whose hashes
+    agree are held against each other word by word; where two differ, the text's windows are sorted by
+    their words instead, so that the count is exact.
     """
 
     def counted(w: Column) -> Column:
         n = F.size(w)
         bits = F.length(F.bin(n.cast("long"))).cast("int")
-        keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))
+        hashed = lambda i: F.call_function("shiftrightunsigned", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), F.lit(64 - hash_bits))
+        keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", hashed(i), bits).bitwiseOR(i.cast("long")))
+        plain = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("long").alias("at")))
 
-        def from_sorted(s: Column) -> Column:
+        def from_hashes(s: Column) -> Column:
             high = lambda x: F.call_function("shiftright", x, bits)
-            low = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+            low = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
             m = F.size(s) - 1
             twins = F.filter(F.zip_with(F.slice(s, 1, m), F.slice(s, 2, m), lambda a, b: F.when(high(a) == high(b), F.array(low(a), low(b)))), lambda x: x.isNotNull())
+            unlike = lambda t: F.exists(F.array(*[F.get(w, F.get(t, F.lit(0)) + k) != F.get(w, F.get(t, F.lit(1)) + k) for k in range(3)]), lambda x: x)
+            return let(twins, lambda t: F.when(F.exists(t, unlike), let(F.array_sort(plain), from_words)).otherwise(places(t)))
+
+        def from_words(s: Column) -> Column:
+            m = F.size(s) - 1
+            same = lambda a, b: (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"])
+            return places(F.filter(F.zip_with(F.slice(s, 1, m), F.slice(s, 2, m), lambda a, b: F.when(same(a, b), F.array(a["at"].cast("int"), b["at"].cast("int")))), lambda x: x.isNotNull()))
+
+        def places(twins: Column) -> Column:
             return let(F.array_sort(F.array_distinct(F.flatten(twins))), covered)
 
         def covered(at: Column) -> Column:
             m = F.size(at) - 1
-            gaps = F.zip_with(F.slice(at, 1, m), F.slice(at, 2, m), lambda a, b: F.least(b - a, F.lit(3).cast("long")))
+            gaps = F.zip_with(F.slice(at, 1, m), F.slice(at, 2, m), lambda a, b: F.least(b - a, F.lit(3)).cast("long"))
             return F.when(m < 0, F.lit(0).cast("long")).otherwise(F.aggregate(gaps, F.lit(3).cast("long"), lambda total, x: total + x))
 
-        return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(F.array_sort(keys), from_sorted))
+        return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(F.array_sort(keys), from_hashes))
 
     return let(words, counted)
 
@@ -113,8 +126,9 @@ def limits(sketch: DataFrame) -> DataFrame:
     lang = lang.select(F.col("lang").alias("_lang"), F.col("metric").alias("_m"), F.col("docs").alias("n_lang"), limit().alias("of_lang"))
     whole = whole.select(F.col("metric").alias("_w"), limit().alias("of_all"))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_m"))).join(whole, F.col("metric") == F.col("_w"))
-    chosen = F.when(F.col("n_own") >= LEAST_DOCS, F.col("own")).when(F.col("n_lang") >= LEAST_DOCS, F.col("of_lang")).otherwise(F.col("of_all"))
-    picked = joined.select("lang", "source", "metric", chosen.alias("limit"))
+    wide = (F.col("n_lang") * F.col("of_lang") + PRIOR * F.col("of_all")) / (F.col("n_lang") + PRIOR)
+    blended = (F.col("n_own") * F.col("own") + PRIOR * wide) / (F.col("n_own") + PRIOR)
+    picked = joined.select("lang", "source", "metric", blended.alias("limit"))
     return picked.groupBy(F.col("lang").alias("_glang"), F.col("source").alias("_gsource")).agg(*[(F.max(F.when(F.col("metric") == m, F.col("limit"))) + add).alias(f"limit_{m}") for m, add in MARGIN.items()])
 
 
