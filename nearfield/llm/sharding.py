@@ -1,26 +1,28 @@
 """Best-fit-decreasing sharding of indivisible groups.
 
-Equal texts form a group that stays together. Group sizes are summed by Spark; groups heavier than
-1/HEAVY_PARTS of the whole (at most HEAVY_PARTS of them) are items by themselves, and the others are
-pooled into LIGHT_POOLS items by their hash. So the packed list holds at most
-HEAVY_PARTS + LIGHT_POOLS entries whatever the input, and the map from item to shard can be broadcast.
+Equal texts form a group that stays together. Best fit only looks at sizes, so Spark reduces the groups
+to a histogram of sizes, rounded up to SIZE_BITS significant bits: at most 2^(SIZE_BITS - 1) sizes an
+octave, whatever the corpus, and sizes under 2^SIZE_BITS are exact. Every group is an item by itself.
 
 Items, largest first, enter the bin with the tightest remaining capacity that holds them; the bins
-stand in a balanced tree by remaining capacity. ``shards_for`` finds the least capacity with which
-that fills no more than the wanted shards.
+stand in a balanced tree by remaining capacity. A bin that took an item is the tightest still as long
+as it holds another of the size, so items of one size are placed many at a time: a run says which of
+them, by rank, go to which bin. ``shards_for`` finds the least capacity with which that fills no more
+than the wanted shards. Groups are then ranked within their size by hash and joined to the runs.
 
 Defined cases: null text counts as empty; repeated rows are placed together; an empty table gives an
-empty result; a group larger than a fair share fills a shard by itself.
+empty result; a group larger than a fair share fills a shard by itself; other columns are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, written
 
-LIGHT_POOLS = 1 << 16
+SIZE_BITS = 16
+#: Groups of more than this part of all rows, so fewer than this many, are joined by broadcast.
 HEAVY_PARTS = 1 << 12
 
 
@@ -67,71 +69,82 @@ class CapacityTree:
         return node[0]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item; an item above the capacity gets a bin of its own."""
-    tree, bins, placed = CapacityTree(), 0, [0] * len(sizes)
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        found = tree.take(sizes[k]) if sizes[k] <= capacity else None
-        room, number = found or (max(capacity, sizes[k]), bins)
-        bins += found is None
-        placed[k] = number
-        tree.add(room - sizes[k], number)
-    return placed
+def best_fit_decreasing(counts: dict[int, int], capacity: int, most: int | None = None) -> list[tuple[int, int, int, int]] | None:
+    """[(size, first, n, bin)]: of the items of a size, the ``n`` from rank ``first`` on enter that bin.
 
-
-def shards_for(sizes: list[int], shards: int) -> list[int]:
-    """Best-fit-decreasing at the least capacity, to one part in 2^20, that needs no more than ``shards`` bins."""
-    if not sizes:
+    ``counts`` holds how many items there are of each size. An item above the capacity gets a bin of its
+    own. None, if that needs more than ``most`` bins.
+    """
+    tree, bins, runs = CapacityTree(), 0, []
+    for size in sorted(counts, reverse=True):
+        first = 0
+        while first < counts[size]:
+            found = tree.take(size) if size <= capacity else None
+            room, number = found or (max(capacity, size), bins)
+            bins += found is None
+            if most is not None and bins > most:
+                return None
+            n = min(counts[size] - first, room // size)
+            runs.append((size, first, n, number))
+            tree.add(room - n * size, number)
+            first += n
+    return runs
+
+
+def shards_for(counts: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
+    """The runs of best-fit decreasing at the least capacity, to one part in 2^20, that needs no more than ``shards`` bins."""
+    if not counts:
         return []
-    low = max(-(-sum(sizes) // shards), max(sizes))
-    high, best = max(2 * low, max(sizes)), None
+    low = max(-(-sum(size * n for size, n in counts.items()) // shards), max(counts))
+    high, best = low, best_fit_decreasing(counts, low, shards)
+    while best is None:
+        low, high = high + 1, high + max(1, high >> 4)
+        best = best_fit_decreasing(counts, high, shards)
     step = max(1, low >> 20)
-    while best is None or high - low > step:
-        middle = (low + high) // 2 if best is not None else low
-        placed = best_fit_decreasing(sizes, middle)
-        if max(placed) < shards:
-            best, high = placed, middle
-            if middle == low:
-                break
-        else:
-            if best is None:
-                best = best_fit_decreasing(sizes, high)
-                while max(best) >= shards:
-                    high *= 2
-                    best = best_fit_decreasing(sizes, high)
+    while high - low > step:
+        middle = (low + high) // 2
+        placed = best_fit_decreasing(counts, middle, shards)
+        if placed is None:
             low = middle + 1
+        else:
+            best, high = placed, middle
     return best
 
 
-def _sharded(docs: DataFrame, place, least_capacity: int = 0) -> DataFrame:
-    """Rows with the shard that ``place`` (sizes of the items -> bins) gives their group, numbered within it."""
+def rounded_up(size: Column) -> Column:
+    """``size`` with SIZE_BITS significant bits, rounded up."""
+    shift = F.greatest(F.length(F.bin(size)) - SIZE_BITS, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", F.call_function("shiftright", size + F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1, shift), shift)
+
+
+def _sharded(docs: DataFrame, place) -> DataFrame:
+    """Rows with the shard that ``place`` (histogram of sizes -> runs) gives their group, numbered within it."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    sized = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("_hash"))
-    sized = written(sized.withColumn("_pool", F.pmod("_hash", F.lit(LIGHT_POOLS)).cast("int")), "sharding")
-    groups = sized.groupBy("_hash", "_pool").agg(F.sum("size").alias("bytes"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    least = total // HEAVY_PARTS
-    if least_capacity and least_capacity < least:
-        raise ValueError(f"a capacity under 1/{HEAVY_PARTS} of the whole needs a longer list of items than is kept")
-    heavy = [(r["_hash"], int(r["bytes"])) for r in groups.where(F.col("bytes") > least).orderBy("_hash").collect()]
-    pools = [(r["_pool"], int(r["bytes"])) for r in groups.where(F.col("bytes") <= least).groupBy("_pool").agg(F.sum("bytes").alias("bytes")).orderBy("_pool").collect()]
-    placed = place([n for _, n in heavy + pools])
-    own = spark.createDataFrame([(h, s) for (h, _), s in zip(heavy, placed)], "_h long, _own int")
-    pooled = spark.createDataFrame([(p, s) for (p, _), s in zip(pools, placed[len(heavy) :])], "_p int, _of_pool int")
-    put = sized.join(F.broadcast(own), F.col("_hash") == F.col("_h"), "left").join(F.broadcast(pooled), F.col("_pool") == F.col("_p"), "left")
-    put = put.select("doc_id", "size", "text_crc32", F.coalesce("_own", "_of_pool").alias("shard"))
-    return numbered(put, "shard", ["doc_id", "text_crc32"], "slot")
+    sized = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("hash"))
+    sized = written(sized, "sharding")
+    groups = sized.groupBy("hash").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.select("hash", "n", rounded_up(F.col("bytes")).alias("class")), "groups")
+    counts = {r["class"]: r["count"] for r in groups.groupBy("class").count().collect()}  # bounded by SIZE_BITS
+    runs = spark.createDataFrame([(size, first, first + n, number) for size, first, n, number in place(counts)], "class long, first long, last long, shard int")
+    ranked = numbered(groups, "class", ["hash"], "nth").join(runs, "class").where((F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("last")))
+    put = written(ranked.select("hash", "n", "shard"), "shards")
+    least = (groups.agg(F.sum("n")).first()[0] or 0) // HEAVY_PARTS
+    heavy, light = put.where(F.col("n") > least), put.where(F.col("n") <= least)
+    known = sized.join(F.broadcast(heavy.select("hash", "shard")), "hash", "left")  # fewer than HEAVY_PARTS rows
+    names = ["doc_id", "size", "text_crc32", "shard"]
+    rest = known.where("shard is null").drop("shard").join(light.select("hash", "shard"), "hash")
+    return numbered(known.where("shard is not null").select(names).unionByName(rest.select(names)), "shard", ["doc_id", "text_crc32"], "slot")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) over ``shards`` shards of near equal size, equal texts together."""
-    return _sharded(docs, lambda sizes: shards_for(sizes, shards))
+    return _sharded(docs, lambda counts: shards_for(counts, shards))
 
 
 def shard_by_capacity(docs: DataFrame, capacity: int) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) over as few shards of at most ``capacity`` bytes as best fit finds.
 
-    A group above the capacity has a shard of its own; the capacity must be 1/HEAVY_PARTS of the whole at least.
+    A group above the capacity has a shard of its own.
     """
-    return _sharded(docs, lambda sizes: best_fit_decreasing(sizes, capacity), capacity)
+    return _sharded(docs, lambda counts: best_fit_decreasing(counts, capacity))
