@@ -11,9 +11,9 @@ segment and the longest document.
 
 Files are Parquet containers written by Spark, since the store may be one that only Spark reaches.
 
-Defined cases: null text is empty and holds the end id alone; rows with a null id are left out (they
-have no place in the order); rows that repeat an id are written next to each other; an empty table
-gives files without rows and an empty result.
+Defined cases: null text is empty and holds the end id alone; rows with a null id come after all
+others; rows that repeat an id are written next to each other, by hash of the text and then by the text,
+so that reruns give the same places; an empty table gives files without rows and an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 
 SEGMENT = (
-    "part int, segment int, first_id long, tokens long, doc_ids binary, doc_tokens binary, symbols binary, freqs binary, "
+    "part int, segment int, first_id long, tokens long, doc_ids binary, known binary, doc_tokens binary, symbols binary, freqs binary, "
     "blocks array<struct<tokens:int,words:binary,states:binary,stops:binary,words_crc:long,ids_crc:long>>"
 )
 
@@ -145,7 +145,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def encode(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_tokens", pa.binary()), ("symbols", pa.binary()), ("freqs", pa.binary()),
+        schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("tokens", pa.int64()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("doc_tokens", pa.binary()), ("symbols", pa.binary()), ("freqs", pa.binary()),
                             ("blocks", pa.list_(pa.struct([("tokens", pa.int32()), ("words", pa.binary()), ("states", pa.binary()), ("stops", pa.binary()), ("words_crc", pa.int64()), ("ids_crc", pa.int64())])))])
         end = np.array([end_id], dtype="<u4").tobytes()
         held, doc_ids, lengths, size, number, part = [], [], [], 0, 0, 0
@@ -154,7 +154,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             ids = np.frombuffer(b"".join(held), "<u4")
             symbols, freqs, blocks = encode_segment(ids)
             row = {"part": part, "segment": number, "first_id": doc_ids[0], "tokens": len(ids), "symbols": symbols, "freqs": freqs, "blocks": blocks,
-                   "doc_ids": zlib.compress(np.array(doc_ids, "<i8").tobytes()), "doc_tokens": zlib.compress(np.array(lengths, "<i8").tobytes())}
+                   "doc_ids": zlib.compress(np.array([i or 0 for i in doc_ids], "<i8").tobytes()), "known": zlib.compress(np.packbits([i is not None for i in doc_ids]).tobytes()), "doc_tokens": zlib.compress(np.array(lengths, "<i8").tobytes())}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for big in batches:
@@ -173,8 +173,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     bounded_batches(docs.sparkSession)
     n = partitions or parallelism(docs.sparkSession)
-    raw = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    in_order = raw.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "raw")
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    raw = raw.withColumn("tie", F.xxhash64("raw"))
+    order = [F.col("doc_id").asc_nulls_last(), "tie"]
+    in_order = raw.repartitionByRange(n, *order).sortWithinPartitions(*order, "raw").select(F.spark_partition_id().alias("part"), "doc_id", "raw")
     in_order.mapInArrow(encode, SEGMENT).write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).parquet(path)
 
 
@@ -189,10 +191,11 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
                 r = batch.to_pylist()[0]
                 ids = decode_segment(r["symbols"], r["freqs"], r["blocks"]).astype("<u4").tobytes()
                 docs, n = (np.frombuffer(zlib.decompress(r[c]), "<i8") for c in ("doc_ids", "doc_tokens"))
+                known = np.unpackbits(np.frombuffer(zlib.decompress(r["known"]), np.uint8))[: len(docs)].astype(bool)
                 ends = np.cumsum(n)
                 parts = [ids[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist())]
-                columns = [np.full(len(docs), r["part"], np.int32), np.full(len(docs), r["segment"], np.int32), docs, ends - n, n, np.array([zlib.crc32(p) for p in parts], np.int64)]
-                arrays = [pa.array(c) for c in columns] + ([pa.array(parts, pa.binary())] if keep_ids else [])
+                columns = [np.full(len(docs), r["part"], np.int32), np.full(len(docs), r["segment"], np.int32), pa.array(docs, mask=~known), ends - n, n, np.array([zlib.crc32(p) for p in parts], np.int64)]
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns] + ([pa.array(parts, pa.binary())] if keep_ids else [])
                 yield pa.RecordBatch.from_arrays(arrays, ["part", "segment", "doc_id", "within", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
 
     file = spark.read.schema(SEGMENT).parquet(path)
