@@ -23,7 +23,8 @@ of the corpus, and not all pairs of a bucket can be tried. What is tried loses n
 Links are confirmed on full shingle sets.
 
 Defined cases: text without words has an empty set and is linked with nothing; rows with a null id
-take no part and are kept; rows that repeat an id are one node; an empty table gives an empty result.
+take no part and are kept; rows that repeat an id with unlike texts are documents of their own; of a
+group's rows with its least id ``keep_one`` keeps one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ _A = np.random.default_rng(4242).integers(1, 1 << 63, COLLECTIONS * ROWS, dtype=
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_a, set_b, u): size and 128-bit hash of each set, and its collections."""
+    """(id, h, n_shingles, set_a, set_b, u): hash of the text, size and 128-bit hash of its set, and its collections."""
 
     def sketch(batches):
         import pyarrow as pa
@@ -70,10 +71,10 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                             key = mixed(key) + x
                         u[full, k] = mixed(key)
                 u = pa.FixedSizeListArray.from_arrays(pa.array(u.ravel().view(np.int64)), COLLECTIONS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), u], ["id", "n_shingles", "set_a", "set_b", "u"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), u], ["id", "h", "n_shingles", "set_a", "set_b", "u"])
 
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    return raw.mapInArrow(sketch, "id long, n_shingles long, set_a long, set_b long, u array<long>")
+    return raw.withColumn("h", F.xxhash64("raw")).mapInArrow(sketch, "id long, h long, n_shingles long, set_a long, set_b long, u array<long>")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def bucket_members(classes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, hashes): the full set of each of ``nodes`` (node)."""
+    """(node, n, hashes): the full set of each of ``nodes`` (node, id, h), by the text with that id and hash."""
 
     def collect(batches):
         import pyarrow as pa
@@ -100,8 +101,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
                 hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), hashes], ["node", "n", "hashes"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("raw"))
-    own = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw")).withColumn("h", F.xxhash64("raw"))
+    own = texts.join(nodes, ["id", "h"]).select("node", "raw").dropDuplicates(["node"])
     return own.mapInArrow(collect, "node long, n long, hashes array<long>")
 
 
@@ -199,15 +200,16 @@ def between_parts(left: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.groupBy("family", "i", "j").applyInArrow(meet, "a long, b long")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row."""
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, n_shingles, part, component_id, kept) of every row; rows of a component share ``part``."""
     bounded_batches(docs.sparkSession)
     sketch = written(sketched(docs, id_col, text_col), "sketches")
     full = sketch.where("id is not null and n_shingles > 0")
-    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("node"), F.first("u").alias("u"))
-    classes = written(classes, "classes")
+    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "h")).alias("of"), F.first("u").alias("u"))
+    # ids may repeat with unlike texts, so classes have numbers of their own
+    classes = written(classes.select("*", "of.id", "of.h").drop("of").withColumn("node", F.monotonically_increasing_id()), "classes")
     buckets = written(bucket_members(classes), "buckets")
-    sets = written(sets_of(docs, buckets.select("node").distinct(), id_col, text_col), "sets")
+    sets = written(sets_of(docs, classes.select("node", "id", "h").join(buckets.select("node").distinct(), "node"), id_col, text_col), "sets")
     able = with_shared(sets).where(F.col("s") * 100 >= F.col("n") * SIMILAR)
     members = written(buckets.join(able, "node"), "members")
     fits = F.least("s", "t") * (100 + SIMILAR) >= (F.col("n") + F.col("m")) * SIMILAR
@@ -223,13 +225,30 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     left = written(placed.join(bounds.select("key", "head"), "key").select("node", "head", "part", "n").distinct(), "open")
     if not left.isEmpty():
         parts = components(links.unionByName(between_parts(left, sets)))
-    of_class = classes.join(parts, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("part"))
+    of_class = classes.select("set_a", "set_b", "n_shingles", "id", "node").join(parts, "node", "left")
+    least = of_class.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    of_class = of_class.join(least, "component", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("part"), F.coalesce("least", "id").alias("of"))
     joined = sketch.join(of_class, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("part"))).otherwise(F.col("id"))
-    return joined.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("of"))).otherwise(F.col("id"))
+    return joined.select("id", "h", "n_shingles", "part", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row."""
+    return _linked(docs, id_col, text_col).select("id", "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group of near duplicates."""
-    gone = linked(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay: one of each group of near duplicates."""
+    found = _linked(docs, id_col, text_col).where("id is not null and n_shingles > 0")
+    texts = found.groupBy("id", "h", "part", "kept").agg(F.count(F.lit(1)).alias("rows"))
+    # of a group's rows with its least id, the text of least hash stays
+    first = texts.where("kept").groupBy("id", "part").agg(F.min("h").alias("first"))
+    texts = texts.join(first, ["id", "part"], "left").withColumn("stays", F.col("kept") & (F.col("h") == F.col("first")))
+    texts = written(texts.where("not stays or rows > 1").select("id", "h", "stays"), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("binary")).alias("h"))
+    kept = rows.join(texts, ["id", "h"], "left_anti")
+    repeated = texts.where("stays")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(rows.join(repeated, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]))
+    return kept.select("row.*")
