@@ -45,10 +45,7 @@ def op6_nearest(spark, sf_dir):
 
 
 def op7_suffix_dedup(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    cut = suffix_dedup.dedup(table(spark, sf_dir, "documents"), rewrite=False)
-    return cut.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"), rewrite=False).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op8_quality(spark, sf_dir):
@@ -56,10 +53,8 @@ def op8_quality(spark, sf_dir):
 
 
 def op9_mixing(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     found = mixing.copies(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return found.selectExpr("row.doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
 def op10_licenses(spark, sf_dir):
@@ -95,7 +90,7 @@ base AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(arr
 f AS (SELECT *, {binned} FROM base),
 long AS ({long}),
 own AS ({quant('lang, source,')}), bylang AS ({quant('lang,')}), whole AS ({quant('')}),
-chosen AS (SELECT own.lang, own.source, own.metric, CASE WHEN own.docs >= {quality.LEAST_DOCS} THEN own.lim WHEN bylang.docs >= {quality.LEAST_DOCS} THEN bylang.lim ELSE whole.lim END AS lim
+chosen AS (SELECT own.lang, own.source, own.metric, (own.docs * own.lim + {quality.PRIOR} * ((bylang.docs * bylang.lim + {quality.PRIOR} * whole.lim)::DOUBLE / (bylang.docs + {quality.PRIOR}))) / (own.docs + {quality.PRIOR}) AS lim
   FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.metric = bylang.metric JOIN whole ON own.metric = whole.metric),
 j AS (SELECT *, n_words < {quality.MIN_WORDS} OR n_repeat_words * 100 > n_words * 50 AS base_failed, {above} AS above FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT above AS kept FROM j"""
@@ -112,28 +107,24 @@ v AS (SELECT *, (sum(source_size) OVER () * {mixing.SHARE}::DOUBLE - coalesce(su
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
 t AS (SELECT source, source_size, coalesce(least(cap, max(level) FILTER (level * w < cap) OVER () * w), cap) AS target FROM v),
 r AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':7'), 1, 13))::BIGINT / {2**mixing.DRAW_BITS}::DOUBLE AS draw
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':7'), 1, 13))::BIGINT / {2**mixing.DRAW_BITS}::DOUBLE AS draw
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 m AS (SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS n FROM r)
 {select}"""
 
 
 def _licenses_sql() -> str:
-    listed = [(text, label, 1) for text, label in licenses.PHRASES.items()] + [(text, label, 0) for label, text in licenses.TEMPLATES.items()]
-    pairs = []
-    for number, (text, label, phrase) in enumerate(listed):
-        words = text.split()
-        pairs += [f"('{a}', '{b}', {number}, '{label}', {phrase}, {place}, {len(words) - 1})" for place, (a, b) in enumerate(zip(words, words[1:]))]
+    show = lambda x: "NULL" if x is None else str(int(x)) if isinstance(x, int) else f"'{x}'"
+    grams = ", ".join(f"({', '.join(map(show, row))})" for row in licenses.template_grams())
     return f"""
-WITH tp(a, b, template, label, phrase, place, pairs) AS (VALUES {', '.join(pairs)}),
+WITH tp(w1, w2, w3, w4, template, label, phrase, place, grams, shift) AS (VALUES {grams}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT r, unnest(range(1, len(w))) AS p, w FROM d WHERE len(w) > 1),
-h AS (SELECT r, p - 1 AS pos, tp.* FROM g JOIN tp ON w[p] = a AND w[p + 1] = b),
-v AS (SELECT r, template, label, phrase, pairs, pos - place AS diagonal, list(DISTINCT place) AS places, min(pos) AS fro FROM h GROUP BY ALL),
-o AS (SELECT *, CASE WHEN phrase = 1 OR lag(diagonal) OVER z IS NULL OR diagonal - lag(diagonal) OVER z > {licenses.MAX_SHIFT} THEN 1 ELSE 0 END AS fresh FROM v WINDOW z AS (PARTITION BY r, template ORDER BY diagonal)),
-n AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM o),
-e AS (SELECT r, template, label, phrase, pairs, span, min(fro) AS first_word, len(list_distinct(flatten(list(places)))) AS held FROM n GROUP BY ALL),
-k AS (SELECT *, held / pairs AS score FROM e WHERE CASE WHEN phrase = 1 THEN held = pairs ELSE held / pairs >= {licenses.LEAST_SCORE} END),
+h AS (SELECT r, p - 1 AS pos, tp.* FROM g JOIN tp ON w[p] = w1 AND w[p + 1] = w2 AND (w3 IS NULL OR w[p + 2] = w3 AND w[p + 3] = w4)),
+v AS (SELECT DISTINCT r, template, label, phrase, grams, shift, pos - place AS diagonal, place FROM h),
+a AS (SELECT r, template, label, phrase, grams, shift, diagonal, diagonal + min(place) AS first_word FROM v GROUP BY r, template, label, phrase, grams, shift, diagonal),
+e AS (SELECT a.r, a.label, a.phrase, a.first_word, count(DISTINCT v.place) / any_value(a.grams) AS score FROM a JOIN v ON a.r = v.r AND a.template = v.template AND v.diagonal BETWEEN a.diagonal AND a.diagonal + a.shift GROUP BY a.r, a.template, a.label, a.phrase, a.diagonal, a.first_word),
+k AS (SELECT * FROM e WHERE CASE WHEN phrase = 1 THEN score = 1 ELSE score >= {licenses.LEAST_SCORE} END),
 s AS (SELECT r, count(*) FILTER (phrase = 1) AS n_base, min(first_word) FILTER (phrase = 1) AS first_word, max(first_word) FILTER (phrase = 1) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM k GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score

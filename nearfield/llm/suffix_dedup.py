@@ -9,8 +9,9 @@ Pass 1 sorts that digit alone: each block of documents sends its distinct digits
     A group with a single document ends here; in ordinary text that is nearly everything.
 Pass 2 sorts the windows of the groups left through their whole depth. Windows of a run share their
     digit and travel as one string of at most 2 * DEPTH - DIGIT bytes, once per block and content,
-    with the least doc_id. Equal groups after this pass are exactly the repeated windows (equality is
-    that of two 64-bit hashes, within one digit). The bucket answers which windows a smaller document has.
+    with the least doc_id. The bucket sorts them by the bytes themselves, eight at a time from the most
+    significant, and only groups of several windows go on to the next eight: equal groups after the last
+    pass are exactly the repeated windows. The bucket answers which windows a smaller document has.
 Last, each block marks the bytes covered and cuts them.
 
 The blocks' texts are dealt once and that exchange is reused by all three stages. Buckets are sized by
@@ -18,7 +19,7 @@ bytes of corpus; a string that a third of all documents share comes to its bucke
 
 Defined cases: null text is empty; texts under DEPTH bytes lose nothing; rows with a null id neither
 lose nor claim anything; rows that repeat an id don't cut each other; an empty table gives an empty
-result; other columns are carried along.
+result; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import bounded_batches, parallelism
 
 DEPTH = 50
 DIGIT = 25
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 SLICE = 1 << 19
 
@@ -126,6 +128,31 @@ class Runs:
         return h
 
 
+def byte_groups(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes of windows, first of each group among them) of the DEPTH-byte windows at ``at`` that equal another.
+
+    Most-significant-digit passes over digits of eight bytes, the last one overlapping; windows alone in their group leave.
+    """
+    digits = np.lib.stride_tricks.sliding_window_view(data, 8)
+    live, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    start = np.zeros(0, np.int64)
+    for offset in [*range(0, DEPTH - 8, 8), DEPTH - 8]:
+        if not len(live):
+            break
+        key = digits[at[live] + offset].view(">u8").ravel().astype(np.uint64)
+        order = np.argsort(key) if offset == 0 else np.lexsort((key, group))
+        live, key, group = live[order], key[order], group[order]
+        new = np.ones(len(live), bool)
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        start = np.flatnonzero(new)
+        several = np.diff(np.append(start, len(live))) > 1
+        keep = np.repeat(several, np.diff(np.append(start, len(live))))
+        group = (np.cumsum(new) - 1)[keep]
+        live = live[keep]
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+    return live, start
+
+
 def unique_contents(runs: Runs, chosen: np.ndarray, keys: np.ndarray, ids: np.ndarray):
     """(order of distinct contents as run indexes with the least id each, index of each chosen run's content), sorted by key."""
     h = runs.content(chosen)
@@ -133,6 +160,14 @@ def unique_contents(runs: Runs, chosen: np.ndarray, keys: np.ndarray, ids: np.nd
     k, c = keys[order], h[order]
     new = np.ones(len(order), bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    # two windows, at most DEPTH - DIGIT apart, hold a whole run: those of equal hash must agree byte by byte
+    windows, alike = np.lib.stride_tricks.sliding_window_view(runs.data, DEPTH), np.flatnonzero(~new)
+    for low in range(0, len(alike), 1 << 16):
+        k = alike[low : low + (1 << 16)]
+        a, b = chosen[order[k - 1]], chosen[order[k]]
+        for end in (runs.first, runs.last):
+            new[k] |= (windows[end[a]] != windows[end[b]]).any(1)
+        new[k] |= runs.last[a] - runs.first[a] != runs.last[b] - runs.first[b]
     index = np.empty(len(order), np.int64)
     index[order] = np.cumsum(new) - 1
     return chosen[order[new]], index
@@ -186,20 +221,23 @@ STRINGS = "_block int, _bucket int, rest binary, extra binary, doc binary, raw b
 ANSWERS = "_block int, _bucket int, rest binary, masks binary"
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = True) -> DataFrame:
-    """``docs`` with _n_bytes, _n_removed, _n_spans, _kept_sha256; on ``rewrite`` the text without the removed bytes.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes cut from the text; bytes of a character that was cut in two are dropped."""
+    return removed(docs, id_col, text_col).select("row.*")
 
-    Bytes of a character that was cut in two are dropped from rewritten text; the digest is of the exact bytes.
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = True) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept_sha256) of each row; the digest is of the exact bytes that stay.
+
+    ``row`` holds the columns of ``docs`` with the text cut as ``dedup`` does, or the id alone without ``rewrite``.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks, bits = 1 + total // BLOCK_BYTES, max(4, (max(total // BUCKET_BYTES, 1)).bit_length())
-    place = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col)), F.lit(blocks)).cast("int")
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).cast("int")
     columns = docs.columns
-    dealt = docs.select(place.alias("_block"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), *[c for c in columns if rewrite or c == id_col and c != text_col])
-    if text_col in dealt.columns:
-        dealt = dealt.drop(text_col)
+    dealt = docs.select(place.alias("_block"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.struct(*[c for c in columns if c == id_col or rewrite and c != text_col]).alias("_row"))
     dealt = dealt.repartition(parallelism(spark), "_block")
 
     def send_digits(table):
@@ -263,28 +301,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rewri
         data = np.concatenate(raw)
         ends = np.cumsum(e + DEPTH)
         begins = ends - e - DEPTH
-        h1, h2 = np.empty(int((e + 1).sum()), np.uint64), np.empty(int((e + 1).sum()), np.uint64)
         lead = np.cumsum(e + 1) - (e + 1)  # index of each string's first window
-        at = np.repeat(begins - lead, e + 1) + np.arange(len(h1))  # where each window starts in the data
-        for low in range(0, len(data), SLICE):
-            a, b = np.searchsorted(at, [low, low + SLICE])
-            part = data[low : low + SLICE + DEPTH - 1]
-            h1[a:b] = window_hashes(part, DEPTH)[at[a:b] - low]
-            h2[a:b] = window_hashes(part, DEPTH, 1)[at[a:b] - low]
+        n = int((e + 1).sum())
+        at = np.repeat(begins - lead, e + 1) + np.arange(n)  # where each window starts in the data
         owner = np.repeat(d, e + 1)
-        order = np.argsort(h1)
-        s1, s2 = h1[order], h2[order]
-        mixed = np.flatnonzero((s1[1:] == s1[:-1]) & (s2[1:] != s2[:-1]))
-        if len(mixed):
-            order = np.lexsort((h2, h1))
-            s1, s2 = h1[order], h2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
-        start = np.flatnonzero(new)
-        least = np.minimum.reduceat(owner[order], start)
-        covered = np.empty(len(order), bool)
-        covered[order] = least[np.cumsum(new) - 1] < owner[order]
-        bit = (np.arange(len(h1)) - np.repeat(lead, e + 1)).astype(np.uint64)
+        live, start = byte_groups(data, at)
+        covered = np.zeros(n, bool)
+        if len(live):
+            least = np.minimum.reduceat(owner[live], start)
+            covered[live] = np.repeat(least, np.diff(np.append(start, len(live)))) < owner[live]
+        bit = (np.arange(n) - np.repeat(lead, e + 1)).astype(np.uint64)
         masks = np.add.reduceat(covered.astype(np.uint64) << bit, lead).astype("<u4")
         cut = np.cumsum([0, *map(len, rest)])
         rows = [(block, bucket, *_packed(r, masks[cut[k] : cut[k + 1]])) for k, (block, bucket, r) in enumerate(zip(table.column("_block").to_pylist(), table.column("_bucket").to_pylist(), rest))]
@@ -315,32 +341,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rewri
                 edge[p] += 1  # a window start comes once
                 np.add.at(edge, p + DEPTH, -1)
             gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
-        removed = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
+        bytes_gone = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = starts[(runs.sizes > 0)]
         begins[inner] = gone[inner]  # a run ends with its document
         spans = np.concatenate([np.zeros(1, np.int32), np.cumsum(begins, dtype=np.int32)])
-        n_removed, n_spans = (removed[runs.ends] - removed[starts]).astype(np.int64), (spans[runs.ends] - spans[starts]).astype(np.int64)
+        n_removed, n_spans = (bytes_gone[runs.ends] - bytes_gone[starts]).astype(np.int64), (spans[runs.ends] - spans[starts]).astype(np.int64)
         originals = left.column("_text").to_pylist()
         kept = []
         for text, k, n, a, e in zip(originals, known, n_removed.tolist(), starts.tolist(), runs.ends.tolist()):
             kept.append(data[a:e][~gone[a:e]].tobytes() if n else (text or b""))
-        out = {c: left.column(c) for c in left.column_names if c not in ("_block", "_id", "_text")}
+        out = [left.column("_row"), pa.array([len(t or b"") for t in originals], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
         if rewrite:
-            out[text_col] = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(originals, kept)], pa.string())
-        out |= {"_n_bytes": pa.array([len(t or b"") for t in originals], pa.int64()), "_n_removed": pa.array(n_removed, pa.int64()), "_n_spans": pa.array(n_spans, pa.int64()), "_kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
-        return pa.table([out[n] for n in names], names)
-
-    stats = "_n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string"
-    carried = [(c, docs.schema[c].dataType.simpleString()) for c in columns if rewrite or c == id_col]
-    schema = ", ".join(f"`{c}` {t if c != text_col else 'string'}" for c, t in carried) + ", " + stats
-    names = [c for c, _ in carried] + ["_n_bytes", "_n_removed", "_n_spans", "_kept_sha256"]
+            out.append(pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(originals, kept)], pa.string()))
+        return pa.table(out, names)
+
+    names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * rewrite
+    schema = StructType([StructField(n, t) for n, t in zip(names, [dealt.schema["_row"].dataType, LongType(), LongType(), LongType(), StringType(), StringType()])])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    empty = to_arrow_schema(spark.createDataFrame([], schema).schema).empty_table()
+    empty = to_arrow_schema(schema).empty_table()
     digits = dealt.groupBy("_block").applyInArrow(send_digits, DIGITS)
     flags = digits.groupBy("_bucket").applyInArrow(find_repeated, FLAGS)
     strings = dealt.groupBy("_block").cogroup(flags.groupBy("_block")).applyInArrow(send_strings, STRINGS)
     answers = strings.groupBy("_bucket").applyInArrow(answer, ANSWERS)
-    return dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(cut_out, schema)
+    found = dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(cut_out, schema)
+    if not rewrite:
+        return found
+    whole = F.struct(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns])
+    return found.select(whole.alias("row"), *names[1:-1])
