@@ -1,8 +1,9 @@
 """Main text of web pages by page differencing, with the markup's own zones as a guard.
 
 A page is cut into text lines (the text of a block element). Lines in script, style, menus, headers
-outside an article, footers, sidebars, forms, and elements named as notices, adverts or comments are
-template by their markup; lines in an article or main element are text by theirs. For lines that the
+outside an article, footers, sidebars, forms, and elements whose class, id or role is a whole name of
+notices, adverts or comments (fewer names count inside an article) are template by their markup; lines
+in an article or main element are text by theirs. For lines that the
 markup leaves open, pages are differenced: pages are put in order of host and URL path, each is paired
 with the neighbour whose path shares the longer prefix, both pages' open lines are aligned by longest
 common subsequence, and shared lines are deleted.
@@ -27,21 +28,24 @@ import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import bounded_batches, parallelism
 
 #: HTML's element names by role.
-DROPPED = frozenset("script style noscript template iframe object svg math canvas video audio head title nav footer aside form button select option textarea input label dialog menu".split())
+DROPPED = frozenset("script style noscript template iframe object svg canvas video audio head title nav footer aside form button select option textarea input label dialog menu".split())
 BLOCKS = frozenset("p div section article main header footer nav aside ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption pre blockquote figure figcaption form fieldset address details summary hr body html head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 MAIN = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id and role that name template parts.
-NAMED = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|alert|popup|modal|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|footer|masthead|comments?|reply|replies|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|search|pagination|toolbar|skip|contentinfo|complementary)(?:$|[\s_\-\d])",
-    re.I,
-)
+#: Class, id and role names of template parts; a name may end in one of the SUFFIXES.
+PARTS = r"(?:ads?|advert\w*|banner|promos?|promotion|sponsor\w*|cookies?|consent|popup|modal|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widget|footer|comments?|reply|replies|disqus|share|sharing|social|newsletter|subscribe|signup|login|pagination|toolbar|contentinfo|complementary)"
+#: More of them outside an article, where such a name doesn't stand for a part of the text.
+OUTER = r"(?:side|notices?|alert|masthead|related|search|skip)"
+SUFFIXES = r"(?:[-_](?:area|banner|bar|block|body|box|buttons?|container|content|form|inner|item|links?|list|notice|outer|panel|section|slot|unit|wrap|wrapper|\d+))*"
+NAMED = re.compile(rf"(?:^|\s){PARTS}{SUFFIXES}(?:\s|$)", re.I)
+NAMED_OUTSIDE = re.compile(rf"(?:^|\s)(?:{PARTS}|{OUTER}){SUFFIXES}(?:\s|$)", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -111,7 +115,7 @@ def page_lines(page: str | None) -> list[tuple[str, str]]:
         inner = zone
         if zone != TEMPLATE:
             said = " ".join(x for g in NAMES.findall(m[3]) for x in g if x)
-            if name in DROPPED or name == "header" and zone != TEXT or said and name not in MAIN and name not in ("body", "html") and NAMED.search(said) or m[3] and HIDDEN.search(m[3]):
+            if name in DROPPED or name == "header" and zone != TEXT or said and name not in MAIN and name not in ("body", "html") and (NAMED if zone == TEXT else NAMED_OUTSIDE).search(said) or m[3] and HIDDEN.search(m[3]):
                 inner = TEMPLATE
             elif name in MAIN or "main" == said.lower():
                 inner = TEXT
@@ -134,20 +138,25 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     p, q = a[start : len(a) - end], b[start : len(b) - end]
     both = set(p) & set(q)
     at, q = [k for k, x in enumerate(p) if x in both], [x for x in q if x in both]
-    n, m = len(at), len(q)
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if p[at[i]] == q[j] else max(table[i + 1][j], table[i][j + 1])
-    i = j = 0
-    while i < n and j < m:
-        if p[at[i]] == q[j]:
-            shared.add(start + at[i])
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
+    # row by row of the table as bits: bit j is unset where the length grows from j to j + 1
+    where: dict[str, int] = {}
+    for j, x in enumerate(q):
+        where[x] = where.get(x, 0) | 1 << j
+    ones = row = (1 << len(q)) - 1
+    table = []
+    for k in at:
+        met = row & where[p[k]]
+        row = (row + met | row - met) & ones
+        table.append(row)
+    i, j = len(at) - 1, len(q) - 1
+    while i >= 0 and j >= 0:
+        if table[i] >> j & 1:
+            j -= 1
+        elif i and not table[i - 1] >> j & 1:
+            i -= 1
         else:
-            j += 1
+            shared.add(start + at[i])
+            i, j = i - 1, j - 1
     return shared
 
 
@@ -176,9 +185,13 @@ def in_ranges(parts: DataFrame, ranges: int) -> DataFrame:
     every = max(1, parts.count() // (SAMPLE_A_RANGE * ranges))
     sample = parts.select(*KEYS).where(F.pmod(F.xxhash64(*KEYS), F.lit(every)) == 0).distinct().orderBy(*KEYS).collect()
     ends = sample[:: max(1, len(sample) // ranges)][1:]
-    bounds = F.array(*[F.struct(*[F.lit(v).cast(parts.schema[c].dataType).alias(c) for c, v in zip(KEYS, r)]) for r in ends])
-    number = F.size(F.filter(bounds, lambda b: b <= key)) if ends else F.lit(0)
-    ranged = parts.withColumn("range", number.cast("int"))
+    # one row of two keys a range at most, beside every page; the range is found by halving
+    kind = StructType([parts.schema[c] for c in KEYS])
+    bounds = parts.sparkSession.createDataFrame([(0, ends)], StructType([StructField("_one", IntegerType()), StructField("_ends", ArrayType(kind))]))
+    steps = F.array(*[F.lit(1 << k) for k in range(len(ends).bit_length() - 1, -1, -1)]) if ends else F.array().cast("array<int>")
+    further = lambda at, step: F.when((at + step <= len(ends)) & (F.get("_ends", at + step - 1) <= key), at + step).otherwise(at)
+    beside = parts.withColumn("_one", F.lit(0)).join(F.broadcast(bounds), "_one")
+    ranged = beside.select(*parts.columns, F.aggregate(steps, F.lit(0), further).alias("range"))
     # the first and last key of each range, handed to the ranges after and before it: two rows a range
     edges = ranged.groupBy("range").agg(F.min(key).alias("low"), F.max(key).alias("high"))
     order = Window.orderBy("range")

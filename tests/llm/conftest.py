@@ -2,6 +2,9 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
+#: Names that the operators use for columns of their own.
+CLASHING = "row copies target source_size _copy _size _gone _block _target _source_size _id _text _cell _rank _n_bytes id h node part raw nth hash class shard slot keep found text_crc32 n_words kept limit c p".split()
+
 
 def make(spark, rows, schema=SCHEMA):
     return spark.createDataFrame(rows, schema)
@@ -31,8 +34,9 @@ def odd_docs(spark):
         (12, "a b c d e f g\n" * 40, "en", "d", 1),
         (13, "### *** $$$ ### " * 40 + varied, "en", "d", 1),
     ]
-    extra = [(*r, float(k), "key", k) for k, r in enumerate(rows)]
-    return make(spark, extra, SCHEMA + ", size double, `key` string, _row int")
+    rows += [(4, varied + " and more " * 20, "fr", "b", 5), (14, near, None, None, None), (14, near, None, None, None)]
+    extra = [(*r, float(k), "key", k, *[f"{name}{k % 3}" for name in CLASHING]) for k, r in enumerate(rows)]
+    return make(spark, extra, SCHEMA + ", size double, `key` string, _row int, " + ", ".join(f"`{name}` string" for name in CLASHING))
 
 
 @pytest.fixture(scope="session")

@@ -57,10 +57,46 @@ def brute_suffix(docs):
 
 def test_suffix_dedup_odd_rows(odd_docs):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    got = suffix_dedup.dedup(odd_docs)
-    assert set(odd_docs.columns) <= set(got.columns)
-    found = Counter((r["doc_id"], r["_n_bytes"], r["_n_removed"], r["_n_spans"], r["_kept_sha256"]) for r in got.collect())
+    got = suffix_dedup.removed(odd_docs)
+    found = Counter((r["row"]["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect())
     assert found == brute_suffix(docs)
+    cut = suffix_dedup.dedup(odd_docs)
+    assert cut.columns == odd_docs.columns
+    others = [c for c in odd_docs.columns if c != "text"]
+    assert sorted(map(repr, cut.select(others).collect())) == sorted(map(repr, odd_docs.select(others).collect()))
+
+
+def test_byte_groups_are_equal_windows():
+    rng = np.random.default_rng(4)
+    text = bytes(rng.choice([97, 98], 300).astype(np.uint8)) * 3
+    data = np.frombuffer(text, np.uint8)
+    at = rng.permutation(len(data) - suffix_dedup.DEPTH + 1)
+    live, start = suffix_dedup.byte_groups(data, at)
+    want = defaultdict(set)
+    for k, p in enumerate(at.tolist()):
+        want[text[p : p + suffix_dedup.DEPTH]].add(k)
+    ends = [*start.tolist()[1:], len(live)]
+    got = [set(live[a:b].tolist()) for a, b in zip(start.tolist(), ends)]
+    assert sorted(map(sorted, got)) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_suffix_dedup_does_not_trust_hashes(spark, monkeypatch):
+    """With hashes of a few bits, which agree for most strings, the answers are the same."""
+    plain = suffix_dedup.window_hashes
+    monkeypatch.setattr(suffix_dedup.Runs, "content", lambda self, chosen: np.zeros(len(chosen), np.uint64))
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda data, length, which=0: plain(data, length, which) & np.uint64(3 << 40))
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(6)]
+    texts += [texts[0][:150] + texts[1][40:], texts[2], texts[3][30:120]]
+    raw = [t.encode() for t in texts]
+    runs, ids = suffix_dedup.Runs(raw), np.arange(len(raw))
+    chosen = np.arange(len(runs.first))
+    distinct, index = suffix_dedup.unique_contents(runs, chosen, runs.keys(4), ids)
+    for k in chosen.tolist():
+        a, b = runs.first[k], runs.last[k] + suffix_dedup.DEPTH
+        c = distinct[index[k]]
+        assert runs.data[a:b].tobytes() == runs.data[runs.first[c] : runs.last[c] + suffix_dedup.DEPTH].tobytes()
 
 
 def test_suffix_dedup_many_blocks(spark, sf_dir, monkeypatch):
@@ -83,12 +119,14 @@ def test_suffix_runs_across_slices():
 # --- near duplicates
 
 
-def brute_near(docs):
+def brute_components(docs):
+    """{(id, text): (size, first (id, text) of the component)}."""
+
     def shingles(t):
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
-    sets = {i: shingles(t) for i, t in docs if i is not None}
+    sets = {(i, t): shingles(t) for i, t in docs if i is not None}
     parent = {i: i for i in sets}
 
     def root(x):
@@ -96,29 +134,36 @@ def brute_near(docs):
             x = parent[x]
         return x
 
-    ids = sorted(sets)
+    ids = sorted(sets, key=lambda x: (x[0], x[1] or ""))
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
+                x, y = sorted((root(a), root(b)), key=ids.index)
                 parent[y] = x
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    return {x: (len(sets[x]), root(x)) for x in ids}
+
+
+def brute_near(docs):
+    """{id: (size, component)}, for ids that come once."""
+    return {i: (n, c) for (i, _), (n, (c, _)) in brute_components(docs).items()}
 
 
 def test_near_dup_odd_rows(odd_docs):
-    want = brute_near([(r.doc_id, r.text) for r in odd_docs.collect()])
+    docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    parts = brute_components(docs)
+    want = Counter((i, *((parts[i, t][0], parts[i, t][1][0], i == parts[i, t][1][0]) if i is not None else (None, None, True))) for i, t in docs)
     got = rows(near_dup.linked(odd_docs))
-    assert len(got) == odd_docs.count()
-    for r in got:
-        if r["id"] is None:
-            assert r["kept"] and r["component_id"] is None
-        else:
-            assert (r["n_shingles"], r["component_id"]) == want[r["id"]]
-            assert r["kept"] == (r["id"] == r["component_id"])
+    assert Counter((r["id"], *((r["n_shingles"], r["component_id"], r["kept"]) if r["id"] is not None else (None, r["component_id"], r["kept"]))) for r in got) == want
     kept = near_dup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r["doc_id"] for r in rows(kept) if r["doc_id"] is not None) == sorted(r["id"] for r in got if r["kept"] and r["id"] is not None)
+    # a row of each component; rows without words or id stay
+    found = [(r["doc_id"], r["text"]) for r in rows(kept)]
+    one = [parts[x][1] for x in found if x[0] is not None and parts[x][0]]
+    assert len(one) == len(set(one)) and set(one) == {c for n, c in parts.values() if n}
+    assert all(x[0] == parts[x][1][0] for x in found if x[0] is not None and parts[x][0])
+    rest = lambda pairs: Counter(x for x in pairs if x[0] is None or not parts[x][0])
+    assert rest(found) == rest(docs)
 
 
 def test_near_dup_family_of_edits(spark):
@@ -159,8 +204,7 @@ def test_packing_odd_rows(odd_docs, tokenizer):
             assert offset == at
             at += length
         assert at <= 64
-    total = sum(r["length"] for r in got)
-    assert len(by) <= -(-total // 64) + 1
+    assert {(r["n_sequences"], r["least_sequences"]) for r in got} == {(len(by), len(by))}
 
 
 def fewest_bins(sizes, capacity):
@@ -237,13 +281,19 @@ def test_token_file_round_trip(spark, odd_docs, tokenizer, monkeypatch):
     monkeypatch.setattr(token_file, "BLOCK_TOKENS", 4096)
     path = new_path(spark, "tokens")
     token_file.write_tokens(odd_docs, path, vocabulary())
-    got = sorted(rows(token_file.read_tokens(spark, path, keep_ids=True)), key=lambda r: (r["doc_id"], r["start"]))
-    start = 0
-    for r, (_, text) in zip(got, sorted(((r.doc_id, r.text) for r in odd_docs.where("doc_id is not null").collect()), key=lambda x: x[0])):
-        ids = np.array(ids_of(tokenizer, text) + [1], "<u4")
-        assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
-        start += len(ids)
-    assert len(got) == odd_docs.where("doc_id is not null").count()
+    got = sorted(rows(token_file.read_tokens(spark, path, keep_ids=True)), key=lambda r: r["start"])
+    start, want = 0, Counter()
+    for r in odd_docs.collect():
+        want[r.doc_id, np.array(ids_of(tokenizer, r.text) + [1], "<u4").tobytes()] += 1
+    for r in got:
+        assert (r["start"], 4 * r["n_tokens"], r["ids_crc32"]) == (start, len(r["ids"]), zlib.crc32(r["ids"]))
+        start += r["n_tokens"]
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
+    order = [r["doc_id"] for r in got]
+    assert order == sorted(order, key=lambda i: (i is None, i or 0)) and None in order
+    again = new_path(spark, "tokens")
+    token_file.write_tokens(odd_docs.repartition(7), again, vocabulary())
+    assert sorted(map(repr, rows(token_file.read_tokens(spark, again)))) == sorted(repr({k: v for k, v in r.items() if k != "ids"}) for r in got)
 
 
 def test_entropy_code_is_near_the_entropy_and_detects_damage():
@@ -272,7 +322,7 @@ def test_words_are_encoded_as_in_whole_texts(tokenizer):
 
 def test_sharding(spark, odd_docs, sf_dir):
     for docs in (odd_docs, table(spark, sf_dir, "documents")):
-        got = rows(sharding.shard_by_bytes(docs.select("doc_id", "text")))
+        got = rows(sharding.shard_by_bytes(docs))
         texts = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
         assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == texts
         slots, of = defaultdict(list), defaultdict(set)
@@ -290,18 +340,43 @@ def test_sharding(spark, odd_docs, sf_dir):
     assert max(sizes.values()) <= max(1.02 * sum(sizes.values()) / 8, max(groups.values()))
 
 
+def plain_best_fit(sizes, capacity):
+    """Item by item, over a list of rooms: the rooms left."""
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        fits = [(r, j) for j, r in enumerate(rooms) if r >= size]
+        j = min(fits)[1] if fits else len(rooms)
+        rooms += [max(capacity, size)] * (not fits)
+        rooms[j] -= size
+    return sorted(rooms)
+
+
 def test_best_fit_decreasing_takes_the_tightest_bin():
-    assert sharding.best_fit_decreasing([6, 5, 4, 4, 1], 10) == [0, 1, 0, 1, 1]
     rng = np.random.default_rng(0)
-    sizes, capacity = rng.integers(1, 100, 500).tolist(), 250
-    rooms, want = [], [0] * 500
-    for k in sorted(range(500), key=lambda k: (-sizes[k], k)):
-        fits = [(r, j) for j, r in enumerate(rooms) if r >= sizes[k]]
-        j = min(fits)[1] if fits else len(rooms)
-        rooms += [capacity] * (not fits)
-        rooms[j] -= sizes[k]
-        want[k] = j
-    assert sharding.best_fit_decreasing(sizes, capacity) == want
+    for capacity in (100, 250, 3000):
+        for _ in range(20):
+            sizes = rng.integers(1, rng.integers(2, 130), int(rng.integers(1, 400))).tolist()
+            counts, rooms, held = Counter(sizes), {}, Counter()
+            for size, first, n, number in sharding.best_fit_decreasing(counts, capacity):
+                assert first == held[size]
+                held[size] += n
+                rooms[number] = rooms.get(number, max(capacity, size)) - n * size
+            assert held == counts and sorted(rooms.values()) == plain_best_fit(sizes, capacity)
+            runs = sharding.shards_for(counts, 8)
+            loads = Counter()
+            for size, _, n, number in runs:
+                loads[number] += size * n
+            assert len(loads) <= 8 and sum(loads.values()) == sum(sizes)
+            # no lower capacity that plain best fit meets within an eighth
+            assert max(loads.values()) <= max(-(-sum(sizes) // 8), max(sizes)) + max(sizes)
+
+
+def test_sizes_are_rounded_up_to_their_leading_bits(spark):
+    sizes = [1, 65_535, 65_536, 65_537, 131_072, 131_073, (1 << 45) - 1, (1 << 45) + 1]
+    df = spark.createDataFrame([(x,) for x in sizes], "size long")
+    for x, up in df.select("size", sharding.rounded_up(df["size"])).collect():
+        unit = 1 << max(0, x.bit_length() - sharding.SIZE_BITS)
+        assert up == -(-x // unit) * unit
 
 
 def test_sharding_by_capacity(spark, sf_dir):
@@ -333,26 +408,28 @@ def test_mixing(odd_docs):
     got = rows(mixing.copies(odd_docs))
     sizes = Counter()
     for r in got:
-        assert r["_size"] == len(WORD.findall(r["text"] or ""))
-        sizes[r["source"]] += r["_size"]
+        assert r["size"] == len(WORD.findall(r["row"]["text"] or ""))
+        sizes[r["row"]["source"]] += r["size"]
     want = water(sizes)
     for r in got:
-        assert r["_source_size"] == sizes[r["source"]]
-        assert r["_target"] == pytest.approx(want[r["source"]])
-        rate = r["_target"] / r["_source_size"] if r["_source_size"] else 0
-        assert int(rate) <= r["_copies"] <= int(rate) + 1 and r["_copies"] <= 2
+        assert r["source_size"] == sizes[r["row"]["source"]]
+        assert r["target"] == pytest.approx(want[r["row"]["source"]])
+        rate = r["target"] / r["source_size"] if r["source_size"] else 0
+        assert int(rate) <= r["copies"] <= int(rate) + 1 and r["copies"] <= 2
     mixed = mixing.mix(odd_docs)
     assert mixed.columns == odd_docs.columns
-    assert mixed.count() == sum(r["_copies"] for r in got)
-    assert Counter(map(repr, mixed.collect())) == Counter(map(repr, mixing.mix(odd_docs).collect()))
+    assert mixed.count() == sum(r["copies"] for r in got)
+    assert Counter(map(repr, mixed.collect())) == Counter(map(repr, mixing.mix(odd_docs.repartition(5)).collect()))
+    for r in got:
+        assert sum(repr(r["row"]) == repr(m) for m in mixed.collect()) % max(1, r["copies"]) == 0
 
 
 def test_mixing_is_near_its_targets(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), ["a", "b", "c"][i % 3]) for i in range(9000)], "doc_id long, text string, source string")
     taken, target = Counter(), {}
     for r in rows(mixing.copies(docs)):
-        taken[r["source"]] += r["_size"] * r["_copies"]
-        target[r["source"]] = r["_target"]
+        taken[r["row"]["source"]] += r["size"] * r["copies"]
+        target[r["row"]["source"]] = r["target"]
     assert all(abs(taken[s] - target[s]) < 0.03 * target[s] for s in target)
 
 
@@ -376,6 +453,16 @@ def test_quality(odd_docs):
     assert Counter(r["doc_id"] for r in rows(kept)) == Counter(r["doc_id"] for r in got if r["kept"])
 
 
+def test_repeated_words_with_colliding_hashes(spark):
+    """Hashes of two bits agree for unlike windows; the count is that of the words."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f"], int(n))) for n in (3, 4, 9, 30, 80, 200)] + ["a b c a b c", " ".join(f"w{i}" for i in range(50))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for bits in (2, 64):
+        got = df.select("text", quality.repeated_words(quality.words_of(df["text"]), bits).alias("n")).collect()
+        assert [r.n for r in got] == [brute_quality(r.text)[4] for r in got]
+
+
 def test_quality_limits_follow_the_source(spark):
     """Symbols that a source has everywhere are its habit; the same share elsewhere is rejected."""
     plain = " ".join(f"word{i}" for i in range(80))
@@ -402,6 +489,47 @@ def test_licenses(spark, odd_docs):
     assert by[50]["labels"] == "mit" and by[50]["base_labels"] == "" and by[50]["score"] < 1
 
 
+def brute_labels(text):
+    """Labels and score from every gram's diagonal, template by template."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    listed = [(t, label, 2, True) for t, label in licenses.PHRASES.items()] + [(t, label, 2, False) for label, t in licenses.TEMPLATES.items()]
+    listed += [(t, label, licenses.LONG_GRAM, False) for label, t in licenses.WHOLE.items()]
+    labels, best = set(), 0.0
+    for t, label, k, phrase in listed:
+        t = t.split()
+        n = len(t) - k + 1
+        at = defaultdict(list)
+        for p in range(n):
+            at[tuple(t[p : p + k])].append(p)
+        votes = defaultdict(set)
+        for p in range(len(w) - k + 1):
+            for place in at.get(tuple(w[p : p + k]), ()):
+                votes[p - place].add(place)
+        shift = 0 if phrase else min(licenses.MAX_SHIFT, 2 + n // 16)
+        for d in votes:
+            score = len(set().union(*(votes[x] for x in range(d, d + shift + 1) if x in votes))) / n
+            if score == 1 if phrase else score >= licenses.LEAST_SCORE:
+                labels.add(label)
+                best = max(best, score)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_spans(spark):
+    """Whole texts, edited and embedded, and grams of a template strewn over a text, which make no span."""
+    gpl = licenses.TEMPLATES["gpl"].split()
+    strewn = " ".join(f"{a} {b} x{k}" for k, (a, b) in enumerate(zip(gpl, gpl[1:])))
+    filler = " ".join(f"filler{k}" for k in range(40))
+    whole = [f"{filler} {t} {filler}" for t in licenses.WHOLE.values()]
+    edited = [" ".join(x for k, x in enumerate(t.split()) if k % 45 != 20) for t in licenses.WHOLE.values()]
+    cut = [" ".join(t.split()[: len(t.split()) // 2]) for t in licenses.WHOLE.values()]
+    texts = [strewn, *whole, *edited, *cut, *[" ".join(f"{x} new{k}" if k % 40 == 7 else x for k, x in enumerate(t.split())) for t in licenses.WHOLE.values()]]
+    got = {r["doc_id"]: r for r in rows(licenses.labelled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for i, t in enumerate(texts):
+        labels, score = brute_labels(t)
+        assert got[i]["labels"] == labels and got[i]["score"] == pytest.approx(score), t
+    assert got[0]["labels"] == "" and all(set(label.split(",")) <= set(got[k + 1]["labels"].split(",")) for k, label in enumerate(licenses.WHOLE))
+
+
 def test_empty_tables(spark, no_docs):
     assert suffix_dedup.dedup(no_docs).count() == 0
     assert near_dup.linked(no_docs).count() == 0 and near_dup.keep_one(no_docs).count() == 0
