@@ -2,12 +2,19 @@
 
 Unit vectors are projected by PROJECTIONS Gaussian directions. For two vectors at distance d, the
 squared projected distance over d^2 follows the chi-square law with PROJECTIONS degrees of freedom,
-whatever the dimension. Rows are dealt over shards of about SHARD_ROWS by hash; a shard holds a kd-tree
-of its projections. A query takes projected neighbours in increasing distance from the tree, verifies
-them on the original vectors, and stops when the next one lies so far out that a vector nearer than
-the k-th found would only be there with probability 1 - STOP. The bound holds per neighbour and shard.
+whatever the dimension. The upper levels of the kd-tree, at most MOST_CELLS leaves, are fitted on about
+SAMPLE_ROWS rows and deal all rows over cells; a cell holds the lower levels over its own rows. A query
+takes projected neighbours in increasing distance from the tree, verifies them on the original vectors,
+and stops when the next one lies so far out that a vector nearer than the k-th found would only be
+there with probability 1 - STOP. The bound holds per neighbour and cell.
 
-Queries meet shards in cells of SHARD_ROWS rows by QUERY_ROWS queries, so no task grows with either
+A query searches its own cell first. The k-th it finds there says which other cells can hold a nearer
+one by the same test, from their boxes; it visits these with the k-th in hand, so that it stops sooner
+there. Where rows lie close to others, few cells are left; rows without near neighbours, such as
+independent random ones, visit most, as any search at this confidence must.
+
+A cell of more than SHARD_ROWS rows (cells don't grow in number beyond the bound, and a vector may come
+very often) is cut by hash, and a cell's queries into blocks of QUERY_ROWS, so no task grows with either
 table. Equal vectors are one point of a tree with its k + 1 least ids.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
@@ -24,10 +31,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 PROJECTIONS = 8
 SHARD_ROWS = 4096
 QUERY_ROWS = 2048
 LEAF_ROWS = 64
+SAMPLE_ROWS = 16384
+MOST_CELLS = 1024
 LEAVES_A_STEP = 8
 STOP = 0.999
 TIE = 1e-12
@@ -46,6 +57,30 @@ def chi_square_cdf(x: float, m: int = PROJECTIONS) -> float:
     return 1.0 - math.exp(-min(x / 2, 700.0)) * total
 
 
+class Cells:
+    """The upper levels of the kd-tree, fitted on a sample of projections: halved at the median of the widest side."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.depth = max(0, math.ceil(math.log2(leaves)))
+        n = (1 << self.depth) - 1
+        self.side, self.cut = np.zeros(n, np.int64), np.zeros(n)
+        parts = {0: np.arange(len(sample))}
+        for node in range(n):
+            at = parts.pop(node)
+            part = sample[at]
+            if len(at):
+                self.side[node] = int(np.argmax(part.max(0) - part.min(0)))
+                self.cut[node] = float(np.median(part[:, self.side[node]]))
+            right = part[:, self.side[node]] > self.cut[node]
+            parts[2 * node + 1], parts[2 * node + 2] = at[~right], at[right]
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(points), np.int64), np.arange(len(points))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[rows, self.side[node]] > self.cut[node])
+        return node - ((1 << self.depth) - 1)
+
+
 def kd_leaves(points: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """An order of the points, and (begin, end) of each leaf in it: halved at the median of the widest side."""
     order, stack, leaves = np.arange(len(points)), [(0, len(points))], []
@@ -80,8 +115,8 @@ class Shard:
         boxes = [self.projected[a:b] for a, b in leaves]
         self.low, self.high = np.array([b.min(0) for b in boxes]), np.array([b.max(0) for b in boxes])
 
-    def search(self, own_id: int, query: np.ndarray, k: int, stop: float) -> list[int]:
-        """Indexes of distinct vectors that hold the k nearest rows found."""
+    def search(self, own_id: int, query: np.ndarray, k: int, stop: float, known: float | None = None) -> list[int]:
+        """Indexes of distinct vectors that hold the k nearest rows found, or those as near as ``known``, the cosine of a k-th found elsewhere."""
         unit = query / np.sqrt((query**2).sum())
         at = unit @ self.basis
         gap = np.maximum(self.low - at, 0) + np.maximum(at - self.high, 0)
@@ -99,11 +134,11 @@ class Shard:
             waiting, waiting_d = waiting[~ready], waiting_d[~ready]
             found, cos = np.concatenate([found, batch]), np.concatenate([cos, self.unit[batch] @ unit])
             best = np.argsort(-cos, kind="stable")[: k + 1]
-            rows, kth = 0, None
+            rows, kth = 0, known
             for j in best.tolist():
                 rows += len(self.ids[found[j]]) - int(own_id in self.ids[found[j]])
                 if rows >= k:
-                    kth = cos[j]
+                    kth = cos[j] if known is None else max(cos[j], known)
                     break
             if kth is not None:
                 keep = cos >= kth - TIE
@@ -129,34 +164,107 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(ok).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.size(vec).alias("dim"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", stop: float = STOP) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row of ``queries``, itself left out."""
-    base, asked = usable(rows, id_col, vec_col), usable(queries, id_col, vec_col)
-    shards, blocks = 1 + base.count() // SHARD_ROWS, 1 + asked.count() // QUERY_ROWS
-    deal = lambda col, n: F.pmod(F.xxhash64(col, F.lit(5)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = base.withColumn("shard", deal(F.col("id"), shards)).withColumn("block", every(blocks))
-    asked = asked.withColumn("block", deal(F.col("id"), blocks)).withColumn("shard", every(shards))
+def matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return np.array(column.flatten()).reshape(len(column), -1)
+
+
+def projected(vectors: np.ndarray) -> np.ndarray:
+    raw = vectors.astype(np.float64)
+    return (raw / np.sqrt((raw**2).sum(1))[:, None]) @ directions(raw.shape[1])
+
 
-    def matrix(table):
-        return np.array(table.column("id").to_pylist(), np.int64), np.array(table.column("vec").combine_chunks().flatten()).reshape(table.num_rows, -1)
+def in_cells(rows: DataFrame, trees: dict[int, Cells]) -> DataFrame:
+    """``rows`` (id, vec, dim) with the cell and the projections p of each."""
 
-    def cell(left, right):
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                points = projected(matrix(part.column("vec")))
+                cell = trees[dim].of(points) if dim in trees else np.zeros(len(points), np.int64)
+                p = pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), PROJECTIONS).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), p], [*part.schema.names, "cell", "p"])
+
+    return rows.mapInArrow(place, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, dim int, cell int, p array<double>")
+
+
+def searched(base: DataFrame, asked: DataFrame, cells: DataFrame, k: int, stop: float) -> DataFrame:
+    """(query_id, vec_id, score) of what each row of ``asked`` (id, vec, dim, cell, known) finds in its cell."""
+    blocks = asked.groupBy("dim", "cell").agg((1 + F.floor(F.count(F.lit(1)) / QUERY_ROWS)).cast("int").alias("blocks"))
+    cells = F.broadcast(cells.select("dim", "cell", "parts").join(blocks, ["dim", "cell"]))  # at most MOST_CELLS rows a vector length
+    deal = lambda n: F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = base.select("id", "vec", "dim", "cell").join(cells, ["dim", "cell"]).select("id", "vec", "dim", "cell", deal("parts").alias("part"), every("blocks").alias("block"))
+    right = asked.join(cells, ["dim", "cell"]).select("id", "vec", "known", "dim", "cell", deal("blocks").alias("block"), every("parts").alias("part"))
+
+    def meet(left, right):
         import pyarrow as pa
 
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            shard = Shard(*matrix(left), k)
-            for own, query in zip(*matrix(right)):
-                query = query.astype(np.float64)
-                for j in shard.search(int(own), query, k, stop):
+            shard = Shard(np.array(left.column("id").to_pylist(), np.int64), matrix(left.column("vec")), k)
+            for own, query, known in zip(right.column("id").to_pylist(), matrix(right.column("vec")).astype(np.float64), right.column("known").to_pylist()):
+                for j in shard.search(own, query, k, stop, known):
                     score = exact_cosine(query, shard.raw[j])
                     for i in [x for x in shard.ids[j].tolist() if x != own]:
-                        for column, value in zip(out, (int(own), i, score)):
+                        for column, value in zip(out, (own, i, score)):
                             column.append(value)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    keys = ["dim", "shard", "block"]
-    found = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double")
+    keys = ["dim", "cell", "part", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", stop: float = STOP) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row of ``queries``, itself left out."""
+    base, asked = usable(rows, id_col, vec_col), usable(queries, id_col, vec_col)
+    n = base.count()
+    sample = base.where(F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(max(1, n // SAMPLE_ROWS))) == 0).limit(2 * SAMPLE_ROWS).select("dim", "vec").toArrow()
+    leaves, trees = min(MOST_CELLS, 1 + n // SHARD_ROWS), {}
+    dims = np.array(sample.column("dim").to_pylist(), np.int64)
+    for dim in np.unique(dims).tolist():
+        trees[dim] = Cells(projected(matrix(sample.filter(dims == dim).column("vec"))), leaves)
+    base, asked = written(in_cells(base, trees), "cells"), written(in_cells(asked, trees), "asked")
+    box = [f(F.get("p", F.lit(j))).alias(f"{f.__name__}_{j}") for f in (F.min, F.max) for j in range(PROJECTIONS)]
+    cells = base.groupBy("dim", "cell").agg((1 + F.floor(F.count(F.lit(1)) / SHARD_ROWS)).cast("int").alias("parts"), *box)
+    cells = written(cells, "boxes")
+    boxes = {}
+    for r in cells.collect():  # at most MOST_CELLS rows a vector length
+        boxes.setdefault(r["dim"], []).append((r["cell"], *[r[f"{f}_{j}"] for f in ("min", "max") for j in range(PROJECTIONS)]))
+
+    def visit(batches):
+        """The other cells that may hold a nearer row than the query's k-th."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows, cell = [], []
+                for i, (dim, own, p, known) in enumerate(zip(*(part.column(c).to_pylist() for c in ("dim", "cell", "p", "known")))):
+                    table = np.array(boxes.get(dim, np.zeros((0, 1 + 2 * PROJECTIONS))))
+                    low, high = table[:, 1 : 1 + PROJECTIONS], table[:, 1 + PROJECTIONS :]
+                    reach = (np.maximum(low - p, 0) + np.maximum(p - high, 0)) ** 2
+                    far = 0.0 if known is None else max(2 - 2 * known, 0.0)
+                    for number, r in zip(table[:, 0].astype(int).tolist(), reach.sum(1).tolist()):
+                        over = known is not None and (r > 1e-9 if far == 0 else chi_square_cdf(r / far) >= stop)
+                        if number != own and not over:
+                            rows.append(i)
+                            cell.append(number)
+                taken = part.select(["id", "vec", "dim", "known"]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32())], ["id", "vec", "dim", "known", "cell"])
+
+    first = written(searched(base, asked.withColumn("known", F.lit(None).cast("double")), cells, k, stop), "found")
+    kth = best(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("known"))
+    kind = asked.schema["vec"].dataType.simpleString()
+    visits = asked.join(kth, "id", "left").select("id", "vec", "dim", "cell", "p", "known").mapInArrow(visit, f"id long, vec {kind}, dim int, known double, cell int")
+    further = searched(base, written(visits, "visits"), cells, k, stop)
+    return best(first.unionByName(further), k).select("query_id", "rank", "vec_id", "score")

@@ -140,6 +140,31 @@ def test_recall_and_ties(spark):
     assert got[0] == want[0] and [i for _, i in got[0]] == [3, 6, 9, 12, 15]
 
 
+def test_recall_over_cells_parts_and_blocks(spark, monkeypatch):
+    """Many cells, a cell of a third of all rows that is cut into parts, several blocks of queries; clustered rows visit few cells."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 200)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 32)
+    rng = np.random.default_rng(21)
+    centers = rng.standard_normal((60, 32))
+    rows = [(i, ((centers[i % 60] if i % 5 else 0) + (0.05 if i % 5 else 1) * rng.standard_normal(32)).astype(np.float32).tolist()) for i in range(4000)]
+    rows += [(i, rows[7][1]) for i in range(4000, 6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    raw = np.array([v for _, v in rows], np.float64)
+    unit = raw / np.linalg.norm(raw, axis=1)[:, None]
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 25 = 0"), 5).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert len(got) == 240 and all(sorted(x) == [1, 2, 3, 4, 5] for x in got.values())
+    hits = 0
+    for q, found in got.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        kth = np.sort(score)[-5]
+        hits += sum(s >= kth - 1e-9 for _, s in found.values())
+        assert all(abs(score[i] - s) < 1e-9 for i, s in found.values())
+    assert hits >= 0.98 * 5 * len(got)
+
+
 def test_nearest_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in ann.nearest(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()]
