@@ -9,9 +9,9 @@ Pass 1 sorts that digit alone: each block of documents sends its distinct digits
     A group with a single document ends here; in ordinary text that is nearly everything.
 Pass 2 sorts the windows of the groups left through their whole depth. Windows of a run share their
     digit and travel as one string of at most 2 * DEPTH - DIGIT bytes, once per block and content,
-    with the least doc_id. The bucket sorts them by the bytes themselves, eight at a time from the most
-    significant, and only groups of several windows go on to the next eight: equal groups after the last
-    pass are exactly the repeated windows. The bucket answers which windows a smaller document has.
+    with the least doc_id. The bucket's digits are a window's hash and then its bytes, eight at a time from
+    the most significant; only groups of several windows go on to the next digit, and equal groups after the
+    last are exactly the repeated windows. The bucket answers which windows a smaller document has.
 Last, each block marks the bytes covered and cuts them.
 
 The blocks' texts are dealt once and that exchange is reused by all three stages. Buckets are sized by
@@ -129,28 +129,36 @@ class Runs:
 
 
 def byte_groups(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(indexes of windows, first of each group among them) of the DEPTH-byte windows at ``at`` that equal another.
+    """(indexes of windows, first of each group among them) of the DEPTH-byte windows at ``at``, ascending, that equal another.
 
-    Most-significant-digit passes over digits of eight bytes, the last one overlapping; windows alone in their group leave.
+    The first digit is the window's hash, the others are its bytes, eight at a time, the last eight overlapping. Windows
+    alone in their group leave, and a digit that all of a group share needs no sorting.
     """
-    digits = np.lib.stride_tricks.sliding_window_view(data, 8)
-    live, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    start = np.zeros(0, np.int64)
+    first = np.empty(len(at), np.uint64)
+    for low in range(0, len(data), SLICE):
+        a, b = np.searchsorted(at, [low, low + SLICE])
+        first[a:b] = window_hashes(data[low : low + SLICE + DEPTH - 1], DEPTH)[at[a:b] - low]
+    live = np.argsort(first)
+    live, sizes = _several(live, first[live][1:] != first[live][:-1])
+    digits = np.lib.stride_tricks.sliding_window_view(data, 8) if len(data) >= 8 else None
     for offset in [*range(0, DEPTH - 8, 8), DEPTH - 8]:
         if not len(live):
             break
-        key = digits[at[live] + offset].view(">u8").ravel().astype(np.uint64)
-        order = np.argsort(key) if offset == 0 else np.lexsort((key, group))
+        key = digits[at[live] + offset].view(np.uint64).ravel()
+        if (key == np.repeat(key[np.cumsum(sizes) - sizes], sizes)).all():
+            continue
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((key.byteswap(), group))
         live, key, group = live[order], key[order], group[order]
-        new = np.ones(len(live), bool)
-        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        start = np.flatnonzero(new)
-        several = np.diff(np.append(start, len(live))) > 1
-        keep = np.repeat(several, np.diff(np.append(start, len(live))))
-        group = (np.cumsum(new) - 1)[keep]
-        live = live[keep]
-        start = np.flatnonzero(np.diff(group, prepend=-1))
-    return live, start
+        live, sizes = _several(live, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))
+    return live, np.cumsum(sizes) - sizes
+
+
+def _several(live: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``live`` whose group holds others, and the sizes of their groups; ``cut`` says where one differs from the one before."""
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(live)), bool), cut]))
+    sizes = np.diff(np.append(start, len(live)))
+    return live[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
 
 
 def unique_contents(runs: Runs, chosen: np.ndarray, keys: np.ndarray, ids: np.ndarray):
