@@ -4,6 +4,11 @@ A query is one row: its vector, its candidates, and the ids it has seen, all bou
 own limits. A step takes the best open candidate, joins the graph on it for the neighbours with their
 vectors, and folds their distances in with array functions. State is written every few steps, which
 cuts lineage. Candidates are ordered by (distance, id).
+
+A node's neighbours lie beside it with what is needed to score them, so that a step shuffles the queries'
+state once and nothing else. With full vectors that is degree times the corpus; for a corpus where this is
+too much, walk by codes (pass them as ``base``) and rerank. The entry, which every query asks for first,
+is one row and is broadcast; queries that are done within a round are spread over all tasks.
 """
 
 from __future__ import annotations
@@ -46,6 +51,15 @@ def _start(queries: DataFrame, base: DataFrame, entry: int | None, metric: str)
     return joined.select("qid", "qvec", first.alias("cand"), F.array("entry").alias("seen"), F.lit(0).cast("long").alias("n_expand"))
 
 
+def _visited(state: DataFrame, adj: DataFrame, entry: int | None, first: bool) -> DataFrame:
+    """``state`` joined to the neighbours of its node ``at``."""
+    if first and entry is not None:
+        return state.join(F.broadcast(adj.where(F.col("src") == entry)), F.col("at") == F.col("src"), "left")  # one row
+    # a query that is done looks nothing up: its key matches no node, and there are many such keys
+    key = F.coalesce("at", -1 - F.pmod(F.xxhash64("qid"), F.lit(1 << 20)))
+    return state.withColumn("key", key).join(adj, (F.col("key") == F.col("src")) & F.col("at").isNotNull(), "left").drop("key")
+
+
 def _scored(near: Column, qvec: Column, seen: Column, metric: str) -> Column:
     """New neighbours as candidates, each id once."""
     fresh = F.filter(F.coalesce(near, F.array().cast("array<struct<pos:int,id:bigint,vec:array<float>>>")), lambda x: ~F.array_contains(seen, x["id"]))
@@ -66,7 +80,7 @@ def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int | Non
     for step in count() if iters is None else range(iters):
         best = F.filter("cand", lambda c: ~c["done"])
         state = state.withColumn("at", F.get(best, F.lit(0))["id"])
-        joined = state.join(adj, F.col("at") == F.col("src"), "left")
+        joined = _visited(state, adj, entry, step == 0)
         new = _scored(F.col("near"), F.col("qvec"), F.col("seen"), metric)
         old = F.transform("cand", lambda c: F.struct(c["dist"].alias("dist"), c["id"].alias("id"), (c["done"] | F.coalesce(c["id"] == F.col("at"), F.lit(False))).alias("done"))).cast(CAND)
         moved = joined.select("qid", "qvec", "at", old.alias("old"), new.alias("new"), "seen", "n_expand")
@@ -104,7 +118,7 @@ def labelled(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, wi
     ended = []
     for step in count():
         state = state.withColumn("at", F.get(F.filter("cand", lambda c: ~c["done"]), F.lit(0))["id"])
-        joined = state.join(adj, F.col("at") == F.col("src"), "left")
+        joined = _visited(state, adj, entry, step == 0)
         fresh = F.filter("near", lambda x: ~F.array_contains("seen", x["id"]))
         scored = F.transform(fresh, lambda x: F.struct(score(x["vec"]), x["id"].alias("id"), F.lit(False).alias("done"), same(x["label"])))
         new = F.coalesce(F.array_distinct(scored).cast(LABELLED), F.array().cast(LABELLED))
@@ -132,12 +146,12 @@ def labelled(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, wi
 def sharded(queries: DataFrame, base: DataFrame, shards: int, degree: int, width: int, k: int, metric: str = "l2") -> DataFrame:
     """One-shot search over a graph per shard: (qid, rank, id, dist, n_dist) of the best over all shards.
 
-    Rows are dealt over shards by hash; a shard's graph joins its own rows alone and is entered at its
+    Rows are dealt over shards by id; a shard's graph joins its own rows alone and is entered at its
     least id. Every query visits every shard, so no graph or walk needs more than a shard's share.
     """
     from .exact import knn
 
-    dealt = written(base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "shards")
+    dealt = written(base.withColumn("shard", F.pmod("id", F.lit(shards)).cast("int")), "shards")
     asked = dealt.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "shard")
     edges = knn(dealt, asked, degree, exclude_self=True, match="shard").select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("id").alias("dst"))
     entries = dealt.groupBy("shard").agg(F.min("id").alias("entry"))
@@ -225,7 +239,8 @@ def _best_first(runs: DataFrame, adj: DataFrame, base: DataFrame, entry: int, k:
             break
         asked = state.select("qid", "qvec", F.explode(F.slice("front", 1, AHEAD)["id"]).alias("src"))
         near = F.transform("near", lambda x: F.struct(x["pos"].alias("pos"), x["id"].alias("id"), squared_l2(F.col("qvec"), x["vec"]).alias("dist")))
-        got = asked.join(adj, "src").groupBy("qid").agg(F.collect_list(F.struct("src", near.alias("near"))).alias("got"))
+        near_by = adj if parts else F.broadcast(adj.where(F.col("src") == entry))  # all ask for the entry first: one row
+        got = asked.join(near_by, "src").groupBy("qid").agg(F.collect_list(F.struct("src", near.alias("near"))).alias("got"))
         state = written(state.join(got, "qid", "left").mapInArrow(advance, schema), "search")
         parts.append(state)
     end = ended[0]

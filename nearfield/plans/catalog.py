@@ -467,6 +467,33 @@ def level_beam_3_rerank(spark, sf_dir):
     return rounded(S.reranked(level_found(spark, sf_dir).select("qid", "id", "pos"), rows, asked, 4), "dist")
 
 
+_MIPS = "0.0 - list_inner_product({0}, {1})"
+NEAR = "adj AS MATERIALIZED (SELECT src, list({'id': dst, 'v': v, 'label': label} ORDER BY pos) AS near FROM edges JOIN base ON dst = id GROUP BY src)"
+ASKED = f"asked AS (SELECT id AS qid, v AS qv, label AS ql, {ENTRY}::BIGINT AS entry FROM base WHERE id % 10 = 0)"
+
+
+def _oneshot_sql(name: str, width: int, dist: str = L2, own_k: int = 0, asked: str = "asked", rows: str = "base", adj: str = "adj") -> str:
+    """A recursive table ``name``_w (qid, qv, ql, cand, seen, n), one row per query and expansion, and ``name`` of the last ones; cand holds (d, id, done, own)."""
+    kth = f"list_filter(list_transform(a, lambda c, i: CASE WHEN c.own THEN i END), lambda i: i IS NOT NULL)[{own_k}]"
+    keep = f"greatest({width}, coalesce({kth}, len(a)))" if own_k else str(width)
+    at = "list_filter(cand, lambda c: NOT c.done)[1].id"
+    return f"""{name}_w AS (SELECT qid, qv, ql, [{{'d': {dist.format("qv", "v")}, 'id': entry, 'done': FALSE, 'own': coalesce(label = ql, FALSE)}}] AS cand, [entry] AS seen, 0::BIGINT AS n FROM {asked} JOIN {rows} ON id = entry
+UNION ALL SELECT qid, qv, ql, list_slice(a, 1, {keep}), list_concat(seen, list_transform(fresh, lambda x: x.id)), n + 1 FROM (
+  SELECT *, list_sort(list_concat(list_transform(cand, lambda c: {{'d': c.d, 'id': c.id, 'done': c.done OR c.id = node, 'own': c.own}}), fresh)) AS a FROM (
+    SELECT *, list_transform(list_filter(coalesce(near, []), lambda x: NOT list_contains(seen, x.id)), lambda x: {{'d': {dist.format("qv", "x.v")}, 'id': x.id, 'done': FALSE, 'own': coalesce(x.label = ql, FALSE)}}) AS fresh
+    FROM (SELECT *, {at} AS node FROM {name}_w) LEFT JOIN {adj} ON src = node WHERE node IS NOT NULL))),
+{name} AS (SELECT * FROM {name}_w WHERE {at} IS NULL)"""
+
+
+def _found_sql(name: str, k: int = K, which: str = "cand") -> str:
+    """(qid, rank, id, dist, n_dist, n_expand) of table ``name``."""
+    return f"SELECT qid, unnest(range(1, least({k}, len({which})) + 1))::INT AS rank, unnest(list_slice({which}, 1, {k})).id AS id, unnest(list_slice({which}, 1, {k})).d AS dist, len(seen)::BIGINT AS n_dist, n AS n_expand FROM {name}"
+
+
+_SEARCH = f"WITH RECURSIVE {BASE}, {graph_sql()}, {NEAR}, {ASKED}"
+_SEARCH8 = f"WITH RECURSIVE {BASE}, {graph_sql(8)}, {NEAR}, {ASKED}"
+
+
 def oneshot(spark, sf_dir, width: int = 20, degree: int = DEGREE, iters: int | None = None, metric: str = "l2") -> DataFrame:
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
@@ -474,17 +501,17 @@ def oneshot(spark, sf_dir, width: int = 20, degree: int = DEGREE, iters: int | N
     return S.greedy(asked, adj, rows, ENTRY, width, K, metric, iters)
 
 
-@query()
+@query(f"{_SEARCH}, {_oneshot_sql('s', 20)} SELECT * REPLACE (round(dist, 6) AS dist) FROM ({_found_sql('s')})")
 def oneshot_search(spark, sf_dir):
     return rounded(oneshot(spark, sf_dir), "dist")
 
 
-@query()
+@query(f"{_SEARCH}, {_oneshot_sql('s', 20, _MIPS)} SELECT * REPLACE (round(dist, 6) AS dist) FROM ({_found_sql('s')})")
 def oneshot_search_mips(spark, sf_dir):
     return rounded(oneshot(spark, sf_dir, metric="mips"), "dist")
 
 
-@query()
+@query(f"{_SEARCH}, {_oneshot_sql('s', 40, own_k=K)}, o AS (SELECT * REPLACE (list_filter(cand, lambda c: c.own) AS cand) FROM s) SELECT qid, rank, id, round(dist, 6) AS dist, label FROM ({_found_sql('o')}) JOIN (SELECT id AS qid, label FROM base) USING (qid)")
 def label_filtered_search(spark, sf_dir):
     """Graph search for the nearest rows with the query's label, tested as candidates are admitted."""
     rows, asked = load(spark, sf_dir)
@@ -495,7 +522,13 @@ def label_filtered_search(spark, sf_dir):
     return rounded(found.join(labels, "qid").select("qid", "rank", "id", "dist", "label"), "dist")
 
 
-@query()
+_LADDER = f"{_SEARCH8}, gt AS ({knn_sql(K)}), " + ", ".join(_oneshot_sql(f"s{w}", w) for w in (10, 20, 40))
+_LADDER += ", f AS (" + " UNION ALL ".join(f"SELECT *, {w} AS width FROM ({_found_sql(f's{w}')})" for w in (10, 20, 40)) + ")"
+_LADDER += f", r AS (SELECT g.qid, width, (SELECT count(*) FROM f JOIN gt USING (qid, id) WHERE f.qid = g.qid AND f.width = g.width) / {K} AS recall FROM (SELECT DISTINCT qid, width FROM f) g)"
+_LADDER += ", l AS (SELECT width::INT AS width, round(avg(recall), 6) AS recall, (SELECT round(avg(n_dist), 3) FROM f WHERE f.width = r.width) AS mean_dist FROM r GROUP BY width)"
+
+
+@query(f"{_LADDER} SELECT * FROM l")
 def oneshot_recall_ladder(spark, sf_dir):
     """Mean recall and distances computed for growing candidate lists on a graph of degree 8."""
     rows, asked = load(spark, sf_dir)
@@ -510,13 +543,16 @@ def oneshot_recall_ladder(spark, sf_dir):
     return M.recall(steps, truth, K, "width").groupBy("width").agg(F.round(F.avg("recall"), DIGITS).alias("recall")).join(cost, "width")
 
 
-@query()
+@query(f"{_LADDER} SELECT min(width) AS width FROM l WHERE recall >= 0.9")
 def ladder_first_enough(spark, sf_dir):
     """The smallest candidate list whose mean recall reaches 0.9."""
     return M.first_enough(oneshot_recall_ladder(spark, sf_dir), 0.9)
 
 
-@query()
+_CODED = f"{_SEARCH}, {CODES}, crows AS (SELECT id, code AS v, label FROM codes JOIN base USING (id)), casked AS (SELECT id AS qid, v AS qv, label AS ql, {ENTRY}::BIGINT AS entry FROM crows WHERE id % 10 = 0), cadj AS MATERIALIZED (SELECT src, list({{'id': dst, 'v': v, 'label': label}} ORDER BY pos) AS near FROM edges JOIN crows ON dst = id GROUP BY src)"
+
+
+@query(f"{_CODED}, {_oneshot_sql('s', 40, CODE_D, asked='casked', rows='crows', adj='cadj')}, c AS (SELECT qid, id FROM ({_found_sql('s', 40)})), r AS (SELECT qid, row_number() OVER w AS rank, c.id, {L2.format('q.v', 'b.v')} AS dist FROM c JOIN base q ON q.id = qid JOIN base b ON b.id = c.id WINDOW w AS (PARTITION BY qid ORDER BY {L2.format('q.v', 'b.v')}, c.id)) SELECT qid, rank::INT AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {K}")
 def oneshot_search_coded(spark, sf_dir):
     """Search that walks by codes and scores what it found at full precision."""
     rows, asked = load(spark, sf_dir)
@@ -527,25 +563,50 @@ def oneshot_search_coded(spark, sf_dir):
     return rounded(S.reranked(found.select("qid", "id"), rows, asked, K), "dist")
 
 
-@query()
+_SHARD_EDGES = f"edges AS (SELECT a.id AS src, row_number() OVER w AS pos, b.id AS dst FROM base a JOIN base b ON a.id <> b.id AND a.id % 4 = b.id % 4 WINDOW w AS (PARTITION BY a.id ORDER BY {L2.format('a.v', 'b.v')}, b.id) QUALIFY row_number() OVER w <= 8)"
+_SHARD_ASKED = "asked AS (SELECT q.id * 4 + s.shard AS qid, v AS qv, label AS ql, entry FROM base q, (SELECT id % 4 AS shard, min(id) AS entry FROM base GROUP BY id % 4) s WHERE q.id % 10 = 0)"
+
+
+@query(f"WITH RECURSIVE {BASE}, {_SHARD_EDGES}, {NEAR}, {_SHARD_ASKED}, {_oneshot_sql('s', 20)}, f AS ({_found_sql('s')}), c AS (SELECT qid // 4 AS qid, sum(n_dist)::BIGINT AS n_dist FROM f WHERE rank = 1 GROUP BY qid // 4), b AS (SELECT qid // 4 AS qid, row_number() OVER w AS rank, id, dist FROM f WINDOW w AS (PARTITION BY qid // 4 ORDER BY dist, id)) SELECT qid, rank::INT AS rank, id, round(dist, 6) AS dist, n_dist FROM b JOIN c USING (qid) WHERE rank <= {K}")
 def sharded_search(spark, sf_dir):
     """Four shards with a graph each, every query over all of them."""
     rows, asked = load(spark, sf_dir)
     return rounded(S.sharded(asked, rows, 4, 8, 20, K), "dist")
 
 
+def _hops_sql(name: str, limits: list[tuple[int, int]]) -> str:
+    """A recursive table ``name``_w, one row per query, (beam, hops) and hop, and ``name`` of the last ones; node is the one that the hop expanded."""
+    runs = ", ".join(f"({b}, {h})" for b, h in limits)
+    return f"""{name}_w AS (SELECT qid, qv, beam, hops, 0 AS hop, NULL::BIGINT AS node, [{{'d': {L2.format("qv", "v")}, 'id': entry}}] AS best, [{{'d': {L2.format("qv", "v")}, 'id': entry}}] AS front, [entry] AS seen FROM asked JOIN base ON id = entry, (VALUES {runs}) AS r(beam, hops)
+UNION ALL SELECT qid, qv, beam, hops, hop + 1, front[1].id, list_slice(list_sort(list_concat(best, admitted)), 1, beam), list_sort(list_concat(front[2:], admitted)), list_concat(seen, list_transform(fresh, lambda x: x.id)) FROM (
+  SELECT *, list_filter(fresh, lambda x, i: len(list_filter(best, lambda y: y.d <= x.d)) + len(list_filter(fresh[:i - 1], lambda y: y.d <= x.d)) < beam) AS admitted FROM (
+    SELECT s.*, list_transform(list_filter(coalesce(near, []), lambda x: NOT list_contains(seen, x.id)), lambda x: {{'d': {L2.format("qv", "x.v")}, 'id': x.id}}) AS fresh
+    FROM {name}_w s LEFT JOIN adj ON src = front[1].id WHERE len(front) > 0 AND hop < hops))),
+{name} AS (SELECT * FROM {name}_w WHERE len(front) = 0 OR hop = hops)"""
+
+
+def _best_sql(name: str) -> str:
+    return f"SELECT qid, beam, unnest(range(1, least({K}, len(best)) + 1))::INT AS rank, unnest(list_slice(best, 1, {K})).id AS id, unnest(list_slice(best, 1, {K})).d AS dist FROM {name}"
+
+
+_HOPS = f"{_SEARCH8}, {_hops_sql('s', [(16, HOPS)])}, tr AS (SELECT qid, src, dst AS id FROM s_w JOIN edges ON src = node)"
+BEAMS = [(beam, HOPS) for beam in (4, 8, 16)]
+EFS = [(ef, ef) for ef in (100, 200, 400, 800, 1600)]
+_SWEEP_RECALL = "gt AS (" + knn_sql(K) + "), f AS (" + _best_sql("s") + f"), r AS (SELECT qid, beam, count(gt.id) / {K} AS recall FROM f LEFT JOIN gt USING (qid, id) GROUP BY qid, beam)"
+
+
 def hop_limited(spark, sf_dir, beam: int = 16, hops: int = HOPS):
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
     return S.best_first(asked, S.adjacency(graph(rows, 8), rows), rows, ENTRY, beam, hops, K)
 
 
-@query()
+@query(f"{_HOPS} SELECT qid, rank, id, round(dist, 6) AS dist FROM ({_best_sql('s')})")
 def best_first_search(spark, sf_dir):
     return rounded(hop_limited(spark, sf_dir)[0], "dist")
 
 
-@query()
+@query(f"{_HOPS} SELECT qid, count(*) AS fetches, count(DISTINCT id) AS unique_ids, count(DISTINCT src) AS expanded FROM tr GROUP BY qid")
 def best_first_trace(spark, sf_dir):
     """Fetches per query: every neighbour of every expanded node."""
     trace = hop_limited(spark, sf_dir)[1]
@@ -560,20 +621,20 @@ def recall_variants(spark, sf_dir):
     return rounded(M.recall(found, truth, 4).select("qid", "recall").join(of, "qid").join(rep, "qid"), "recall", "recall_of_results", "recall_with_repeats")
 
 
-@query()
+@query(f"{_SEARCH8}, {_hops_sql('s', BEAMS)}, {_SWEEP_RECALL}, c AS (SELECT beam, count(*) + (SELECT count(*) FROM asked) AS fetches FROM s_w JOIN edges ON src = node GROUP BY beam), a AS (SELECT beam, avg(recall) AS recall, count(*) AS n FROM r GROUP BY beam) SELECT beam::INT AS beam, round(recall, 6) AS recall, fetches, round(recall * n / (fetches / 1000.0), 6) AS recall_per_kio FROM a JOIN c USING (beam)")
 def beam_sweep(spark, sf_dir):
     """Recall, fetches and recall per thousand fetches of hop-limited search as the beam grows."""
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
     adj, truth = S.adjacency(graph(rows, 8), rows), written(knn(rows, asked, K), "truth")
-    results, reads = S.best_first_sweep(asked, adj, rows, ENTRY, [(beam, HOPS) for beam in (4, 8, 16)], K, "beam")
+    results, reads = S.best_first_sweep(asked, adj, rows, ENTRY, BEAMS, K, "beam")
     per = M.recall(written(results, "sweep"), truth, K, "beam").groupBy("beam").agg(F.avg("recall").alias("recall"), F.count(F.lit(1)).alias("n"))
     cost = reads.groupBy("beam").agg(F.count(F.lit(1)).alias("fetches"))
     joined = per.join(cost, "beam").withColumn("fetches", F.col("fetches") + F.col("n"))  # and the entry, once a query
     return joined.select("beam", F.round("recall", DIGITS).alias("recall"), "fetches", F.round(F.col("recall") * F.col("n") / (F.col("fetches") / 1000.0), DIGITS).alias("recall_per_kio"))
 
 
-@query()
+@query(f"{_HOPS}, h AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 20) SELECT qid, count(*) AS fetches, count(h.id) AS hits, round(count(h.id) * 100.0 / count(*), 6) AS hit_pct FROM tr LEFT JOIN h USING (id) GROUP BY qid")
 def best_first_pinned(spark, sf_dir):
     """Of a hop-limited search's fetches, those that the 20 largest hubs would have answered from a pinned set."""
     rows = base(spark, sf_dir)
@@ -587,7 +648,7 @@ def ef_sweep(spark, sf_dir):
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
     adj, truth = S.adjacency(graph(rows, 8), rows), written(knn(rows, asked, K), "truth")
-    out = S.best_first_sweep(asked, adj, rows, ENTRY, [(ef, ef) for ef in (100, 200, 400, 800, 1600)], K, "ef")[0]
+    out = S.best_first_sweep(asked, adj, rows, ENTRY, EFS, K, "ef")[0]
     return M.recall(written(out, "sweep"), truth, K, "ef").groupBy("ef").agg(F.round(F.avg("recall"), DIGITS).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
 
 
@@ -717,7 +778,7 @@ def path_breakdown(spark, sf_dir):
     return rounded(sums.withColumn("share_pct", F.col("us") * 100 / F.sum("us").over(Window.partitionBy())), "us", "share_pct")
 
 
-@query()
+@query(f"{_SEARCH}, gt AS ({knn_sql(K)}), {_oneshot_sql('s', 20)}, f AS ({_found_sql('s')}) SELECT qid, count(gt.id) AS hits, round(count(gt.id) / {K}, 6) AS recall, any_value(n_dist) AS n_dist, any_value(n_expand) AS n_expand FROM f LEFT JOIN gt USING (qid, id) GROUP BY qid")
 def flagship(spark, sf_dir):
     """One-shot graph search held against exact neighbours: recall and cost of every query."""
     found = written(oneshot(spark, sf_dir), "found")
