@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pages import page_span, spans_meet
+from ..functions.vectors import squared_l2
 from ..sources.tables import written
 from .exact import knn, top_rows
 from .ordering import numbered
@@ -38,9 +39,10 @@ def padded(nbrs: Column, src: Column, degree: int) -> Column:
 
 def medoid(base: DataFrame) -> DataFrame:
     """(id, dist) of the row nearest to the mean vector."""
-    flat = base.select("id", F.posexplode("vec").alias("i", "x"))
+    flat = base.select(F.posexplode("vec").alias("i", "x"))
     mean = flat.groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    far = flat.join(F.broadcast(mean), "i").groupBy("id").agg(F.sum((F.col("x").cast("double") - F.col("m")) * (F.col("x").cast("double") - F.col("m"))).alias("dist"))
+    center = mean.agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select(F.col("c.m").alias("center"), F.lit(0).alias("one"))
+    far = base.withColumn("one", F.lit(0)).join(F.broadcast(center), "one").select("id", squared_l2(F.col("center"), F.col("vec")).alias("dist"))  # one row
     return far.orderBy(F.round("dist", 9), "id").limit(1)
 
 
@@ -145,3 +147,10 @@ def cover_ranked(ids: DataFrame, page_of: Column, budget_pages: int) -> DataFram
     pages = ids.select("qid", page_of.alias("page")).groupBy("qid", "page").agg(F.count(F.lit(1)).alias("cover"))
     order = Window.partitionBy("qid").orderBy(F.col("cover").desc(), "page")
     return pages.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget_pages).select("qid", "rank", "page", "cover")
+
+
+def entry_pins(order: DataFrame, edges: DataFrame, base: DataFrame, vectors: int = 256) -> DataFrame:
+    """(id, part, bytes) that a search keeps at hand: of the entry nodes ``order`` (id, ord), all neighbour lists and the first ``vectors`` vectors."""
+    lists = edges.join(order, F.col("src") == F.col("id")).groupBy("id").agg((F.count(F.lit(1)) * 4).alias("bytes"))
+    near = order.where(F.col("ord") < vectors).join(base.select("id", "vec"), "id")
+    return lists.select("id", F.lit("neighbours").alias("part"), "bytes").unionByName(near.select("id", F.lit("vector").alias("part"), (F.size("vec").cast("long") * 4).alias("bytes")))

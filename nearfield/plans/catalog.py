@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import search as S
 from ..operators import traces as T
 from ..operators.exact import knn, top_rows
+from ..sources import layout
 from ..sources.tables import base, queries, written
 
 K = 10
@@ -199,13 +200,7 @@ d AS (SELECT *, {_ALIGN('off_vectors + n * dim * 4')} AS off_pivots FROM c)
 SELECT n, dim, off_codes, off_graph, off_vectors, off_pivots, {_ALIGN('off_pivots + 65536')} AS bytes, xor(xor(xor(n, dim), {DEGREE}), n * dim * 4) AS checksum FROM d""")
 def layout_offsets(spark, sf_dir):
     """Where the sections of a laid-out index start, for a header of 160 bytes."""
-    m = base(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).cast("long").alias("dim"))
-    m = m.withColumn("off_codes", P.align_up(F.lit(160), P.PAGE))
-    m = m.withColumn("off_graph", P.align_up(F.col("off_codes") + F.col("n") * CODE_BYTES, P.PAGE))
-    m = m.withColumn("off_vectors", P.align_up(F.col("off_graph") + F.col("n") * (DEGREE * 4), P.PAGE))
-    m = m.withColumn("off_pivots", P.align_up(F.col("off_vectors") + F.col("n") * F.col("dim") * 4, P.PAGE))
-    m = m.withColumn("bytes", P.align_up(F.col("off_pivots") + 65536, P.PAGE))
-    return m.withColumn("checksum", F.col("n").bitwiseXOR(F.col("dim")).bitwiseXOR(F.lit(DEGREE)).bitwiseXOR(F.col("n") * F.col("dim") * 4))
+    return layout.header(base(spark, sf_dir), DEGREE, CODE_BYTES)
 
 
 @query("""
@@ -362,6 +357,24 @@ def entry_subgraph(spark, sf_dir):
     return G.breadth_first(graph(base(spark, sf_dir), 8), ENTRY, nodes=64).select("id", "ord")
 
 
+@query(f"{_bfs_sql(4)}, f AS (SELECT id, ord FROM o4 WHERE ord < 64) SELECT id, 'neighbours' AS part, (SELECT count(*) * 4 FROM edges WHERE src = f.id)::BIGINT AS bytes FROM f UNION ALL SELECT id, 'vector' AS part, (len(v) * 4)::BIGINT AS bytes FROM f JOIN base USING (id) WHERE ord < 32")
+def entry_pin_set(spark, sf_dir):
+    """What is pinned of the first 64 nodes found from the entry: their neighbour lists, and the vectors of the first 32."""
+    rows = base(spark, sf_dir)
+    edges = graph(rows, 8)
+    return G.entry_pins(G.breadth_first(edges, ENTRY, nodes=64), edges, rows, 32)
+
+
+_STAR = f"WITH RECURSIVE {BASE}, {graph_sql(8)}, nb AS MATERIALIZED (SELECT src, list(dst ORDER BY pos) AS near FROM edges GROUP BY src), q AS (SELECT [{ENTRY}::BIGINT] AS queue, 1 AS head UNION ALL SELECT list_concat(queue, list_filter(coalesce(near, []), lambda x: NOT list_contains(queue, x))), head + 1 FROM q LEFT JOIN nb ON src = queue[head] WHERE head <= len(queue)), d AS (SELECT queue FROM q ORDER BY head DESC LIMIT 1), f AS (SELECT unnest(queue) AS old_id, unnest(range(len(queue))) AS new_id FROM d)"
+
+
+@query(f"{_STAR} SELECT new_id, old_id FROM f UNION ALL SELECT (SELECT count(*) FROM f) + row_number() OVER (ORDER BY id) - 1 AS new_id, id AS old_id FROM base WHERE id NOT IN (SELECT old_id FROM f)")
+def star_pack_map(spark, sf_dir):
+    """The whole permutation: nodes in order of discovery from the entry, then the others ascending."""
+    rows = base(spark, sf_dir)
+    return G.permutation(G.breadth_first(graph(rows, 8), ENTRY), rows.select("id")).select("new_id", "old_id")
+
+
 def by_norm_order(rows: DataFrame) -> DataFrame:
     """A permutation given by formula: ids in descending order of id * 7919 mod 10007."""
     from ..operators.ordering import numbered
@@ -590,7 +603,7 @@ def _best_sql(name: str) -> str:
 
 
 _HOPS = f"{_SEARCH8}, {_hops_sql('s', [(16, HOPS)])}, tr AS (SELECT qid, src, dst AS id FROM s_w JOIN edges ON src = node)"
-BEAMS = [(beam, HOPS) for beam in (4, 8, 16)]
+BEAMS = [(beam, HOPS) for beam in (4, 8, 16, 32, 64)]
 EFS = [(ef, ef) for ef in (100, 200, 400, 800, 1600)]
 _SWEEP_RECALL = "gt AS (" + knn_sql(K) + "), f AS (" + _best_sql("s") + f"), r AS (SELECT qid, beam, count(gt.id) / {K} AS recall FROM f LEFT JOIN gt USING (qid, id) GROUP BY qid, beam)"
 
@@ -642,7 +655,7 @@ def best_first_pinned(spark, sf_dir):
     return rounded(T.pinned_hits(steps, G.hubs(graph(rows, 8), 20)), "hit_pct")
 
 
-@query()
+@query(f"{_SEARCH8}, {_hops_sql('s', EFS)}, {_SWEEP_RECALL} SELECT beam::INT AS ef, round(avg(recall), 6) AS recall, count(*) AS n_queries FROM r GROUP BY beam")
 def ef_sweep(spark, sf_dir):
     """Recall of hop-limited search as hops and beam grow together."""
     rows, asked = load(spark, sf_dir)
@@ -652,6 +665,31 @@ def ef_sweep(spark, sf_dir):
     return M.recall(written(out, "sweep"), truth, K, "ef").groupBy("ef").agg(F.round(F.avg("recall"), DIGITS).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
 
 
+_RUNS = [("vectors", 20), ("vectors", 40), ("codes", 20), ("codes", 40)]
+_MATRIX = f"{_CODED}, gt AS ({knn_sql(K)}), " + ", ".join(_oneshot_sql(f"{walk}{width}", width, *((CODE_D, 0, "casked", "crows", "cadj") if walk == "codes" else ())) for walk, width in _RUNS)
+_MATRIX += ", f AS (" + " UNION ALL ".join(f"SELECT '{walk}' AS walk, {width} AS width, qid, id, n_dist, n_expand FROM ({_found_sql(f'{walk}{width}', width)})" for walk, width in _RUNS) + ")"
+_MATRIX += f", r AS (SELECT walk, width, qid, f.id, n_dist, n_expand, row_number() OVER (PARTITION BY walk, width, qid ORDER BY {L2.format('q.v', 'b.v')}, f.id) AS rank FROM f JOIN base q ON q.id = qid JOIN base b ON b.id = f.id)"
+
+
+@query(f"{_MATRIX} SELECT walk, width::INT AS width, count(DISTINCT qid) AS n_queries, round(count(gt.id) / (count(DISTINCT qid) * {K}), 6) AS recall, round(avg(n_dist) FILTER (r.rank = 1), 3) AS mean_dist, round(avg(n_expand) FILTER (r.rank = 1), 3) AS mean_expand FROM r LEFT JOIN gt ON gt.qid = r.qid AND gt.id = r.id WHERE r.rank <= {K} GROUP BY walk, width".replace("count(DISTINCT qid)", "count(DISTINCT r.qid)"))
+def search_matrix(spark, sf_dir):
+    """A result row per run of a parameter table: what is walked (vectors, or codes with a rerank) by the candidate list's width."""
+    rows, asked = load(spark, sf_dir)
+    rows, edges = written(rows, "rows"), graph(rows)
+    codes = written(coded(rows).select("id", F.col("code").cast("array<float>").alias("vec")), "codes")
+    of = asked.select("qid").join(codes, F.col("qid") == F.col("id")).select("qid", F.col("vec").alias("qvec"))
+    walks = {"vectors": (asked, S.adjacency(edges, rows), rows), "codes": (of, S.adjacency(edges, codes), codes)}
+    truth, out = written(knn(rows, asked, K), "truth"), None
+    for walk, width in _RUNS:
+        queries_, adj, points = walks[walk]
+        found = written(S.greedy(queries_, adj, points, ENTRY, width, width), "found")
+        cost = found.where("rank = 1").agg(F.round(F.avg("n_dist"), 3).alias("mean_dist"), F.round(F.avg("n_expand"), 3).alias("mean_expand"))
+        per = M.recall(S.reranked(found.select("qid", "id"), rows, asked, K), truth, K).agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), DIGITS).alias("recall"))
+        row = per.withColumn("one", F.lit(1)).join(cost.withColumn("one", F.lit(1)), "one").select(F.lit(walk).alias("walk"), F.lit(width).alias("width"), "n_queries", "recall", "mean_dist", "mean_expand")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- traces: the exact neighbours in order are a query's accesses -------------------------------------
 
 _TRACE = f"{EXACT}, tr AS (SELECT qid, qid // 10 * {K} + rank - 1 AS seq, id FROM gt)"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +26,31 @@ def queries(rows: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where none is set."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="nearfield-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where it is unset, one of our own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="nearfield-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "state") -> DataFrame:
-    """Write once to the shared folder (spark.checkpoint.dir) and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+#: Intermediates that may be removed: (path, name of its table or None), oldest first.
+_KEPT: list[tuple[str, str | None]] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _KEPT.append((path, None))
+    return path
+
+
+def written(df: DataFrame, name: str = "state", path: str | None = None) -> DataFrame:
+    """Write once to the shared folder, or to ``path``, and read back: cuts lineage, survives lost executors."""
+    path = path or new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, key: str, name: str = "buckets") -> DataFrame:
@@ -43,5 +58,21 @@ def bucketed(df: DataFrame, key: str, name: str = "buckets") -> DataFrame:
     spark = df.sparkSession
     n, label = int(spark.conf.get("spark.sql.shuffle.partitions")), f"nearfield_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{label}"
+    _KEPT.append((path, label))
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(label)
     return spark.table(label)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediates that are written inside; what is computed from them must be written or collected by the end."""
+    before = len(_KEPT)
+    try:
+        yield
+    finally:
+        for path, label in _KEPT[before:]:
+            if label:
+                spark.sql(f"DROP TABLE IF EXISTS {label}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _KEPT[before:]

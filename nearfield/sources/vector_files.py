@@ -8,6 +8,7 @@ register(spark) adds the formats; ``spark.read.format(name).load(path)`` and
     raw_f32, raw_u32   rows of option 'dim' numbers, without a header   id long, vec | nbrs
     id_column          u32 per row (option 'header': u32s to skip)      ord long, id long
     memory_graph       u64 size, u32 degree, u32 start, u64 frozen; per node u32 k, u32[k]   src long, nbrs
+    entry_nodes  u32 n, u32 k, u32 entry; u32[n] ids; then n rows of u32[k]   ord long, id long, nbrs (option 'entry' when written)
     numpy_rows         a two-dimensional .npy of f2, f4 or f8           id long, vec array<float>
 
 A reader takes a file or a folder of parts and splits it by ranges of rows ('rows_a_split'); a
@@ -201,6 +202,29 @@ class MemoryGraphReader(DataSourceReader):
                     node, lists = node + len(lists), []
 
 
+class EntryReader(DataSourceReader):
+    """A file of an entry region, which is small: one split a file."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def partitions(self):
+        return [Split(path, 0, 0, 0, 0, "") for path in _files(self.path)]
+
+    def read(self, split):
+        import numpy as np
+        import pyarrow as pa
+
+        store, at = _fs(split.path)
+        with store.open_input_file(at) as f:
+            raw = np.frombuffer(f.read(), "<u4")
+        n, k = int(raw[0]), int(raw[1])
+        if len(raw) != 3 + n + n * k:
+            raise ValueError(f"{split.path} isn't as long as its header says")
+        nbrs = _list_column(raw[3 + n :].reshape(n, k), "i8")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(raw[3 : 3 + n].astype(np.int64)), nbrs], ["ord", "id", "nbrs"])
+
+
 class Part(WriterCommitMessage):
     def __init__(self, name: str, rows: int, size: int):
         self.name, self.rows, self.size = name, rows, size
@@ -271,6 +295,43 @@ class RawListWriter(RowWriter):
     number, column, header = "<u4", "nbrs", False
 
 
+class IdWriter(RowWriter):
+    """Writes the ids of (ord, id) rows in their order."""
+
+    number, column, header = "<u4", "id", False
+
+    def rows(self, batch):
+        return batch.column("id").to_numpy().reshape(-1, 1)
+
+
+class EntryWriter(RowWriter):
+    """Writes (ord, id, nbrs) as one file, so from one partition; option 'entry' is the entry's id."""
+
+    number, column = "<u4", "nbrs"
+
+    def write(self, batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return Part("", 0, 0)
+        if TaskContext.get().partitionId():
+            raise ValueError("an entry file is written from one partition")
+        ids, rows = np.concatenate([b.column("id").to_numpy() for b in held]), np.concatenate([self.rows(b) for b in held])
+        raw = np.concatenate([[*rows.shape, self.entry], ids, rows.ravel()]).astype("<u4").tobytes()
+        name = f"part-00000-{TaskContext.get().taskAttemptId()}"
+        store, at = _fs(f"{self.path}/{name}")
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(at) as f:
+            f.write(raw)
+        return Part(name, len(ids), len(raw))
+
+    def __init__(self, options: dict, overwrite: bool):
+        super().__init__(options, overwrite)
+        self.entry = int(options["entry"])
+
+
 class ListWriter(RowWriter):
     """Writes (qid, ids): a row of ids a query."""
 
@@ -303,7 +364,8 @@ SOURCES = [
     _source("id_lists", LISTS, ListReader, ListWriter),
     _source("raw_f32", VEC, RawReader, RawWriter),
     _source("raw_u32", NBRS, RawListReader, RawListWriter),
-    _source("id_column", IDS, IdReader),
+    _source("id_column", IDS, IdReader, IdWriter),
+    _source("entry_nodes", "ord long, id long, nbrs array<long>", EntryReader, EntryWriter),
     _source("memory_graph", NBRS, MemoryGraphReader),
     _source("numpy_rows", VEC, NumpyReader),
 ]

@@ -347,3 +347,36 @@ def test_shards_together_find_nearly_all(spark, sf_dir):
     found = S.sharded(asked, rows, 3, 8, 20, 10)
     truth = knn(rows, asked, 10)
     assert np.mean([r.recall for r in M.recall(found, truth, 10).collect()]) >= 0.9
+
+
+def test_layout_round_trip(spark, tmp_path):
+    """Vectors, graph, map and entry nodes come back in the new order."""
+    from nearfield.operators import graph as G
+    from nearfield.sources.layout import read_layout, write_layout
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11), 1.0]) for i in range(60)], "id long, vec array<float>")
+    edges = G.knn_graph(rows, 4).select("src", "pos", "dst")
+    id_map = G.checked_map(G.permutation(G.breadth_first(edges, 5), rows.select("id")), 60)
+    write_layout(rows, edges, id_map, 5, 4, 2, str(tmp_path / "layout"), entry_nodes=10, partitions=3)
+    head, vectors, graph, again, entry = read_layout(spark, str(tmp_path / "layout"), 4)
+    new = {r.old_id: r.new_id for r in id_map.collect()}
+    assert {r.old_id: r.new_id for r in again.collect()} == new and new[5] == 0
+    assert {r.id: r.vec for r in vectors.collect()} == {new[r.id]: r.vec for r in rows.collect()}
+    assert {(r.src, r.pos, r.dst) for r in graph.collect()} == {(new[r.src], r.pos, new[r.dst]) for r in edges.collect()}
+    first = {r.ord: r.id for r in G.breadth_first(G.remapped(edges, id_map), 0, nodes=10).collect()}
+    assert {r.ord: r.id for r in entry.collect()} == first
+    h = head.first()
+    assert (h.n, h.dim, h.entry, h.off_codes % 4096, h.off_vectors % 4096) == (60, 3, 0, 0, 0)
+
+
+def test_scratch_removes_intermediates(spark):
+    from pathlib import Path
+
+    from nearfield.sources.tables import bucketed, scratch, shared_dir, written
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    with scratch(spark):
+        kept = written(spark.range(5), "a").join(bucketed(spark.range(3), "id"), "id").count()
+        assert kept == 3 and len(set(folder.iterdir()) - before) == 2
+    assert set(folder.iterdir()) == before
