@@ -1,40 +1,22 @@
-"""Helpers shared by the corpus operators: the shared folder, numbering, and word patterns."""
+"""Helpers shared by the corpus operators: numbering, word patterns, and the shared folder of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path, shared_dir, written  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="nearfield-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and is computed a single time."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand documents to Python ``rows`` at a time at most: Spark's default of 10,000 is meant for narrower rows."""
+    """Hand documents to Python ``rows`` at a time at most: Spark's default of 10,000 is meant for narrower rows.
+
+    It is a setting of the session, read when a plan runs, so it stays set.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
