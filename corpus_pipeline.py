@@ -1,17 +1,21 @@
 """The corpus pipeline: five stages over table documents, each written as Parquet and read back by the next.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. An empty table passes through every stage.
+documents. An empty table passes through every stage. What a stage writes for itself is removed when its
+result is written.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import mixing, near_dup, packing, quality, suffix_dedup
-from nearfield.llm.common import table, written
+from nearfield.llm.common import shared_dir, table, written
 from nearfield.llm.queries import vocabulary
+from nearfield.sources.tables import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over table documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), path=f"{folder}/{name.replace(' ', '-')}")
     return docs
