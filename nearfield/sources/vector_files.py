@@ -8,7 +8,7 @@ register(spark) adds the formats; ``spark.read.format(name).load(path)`` and
     raw_f32, raw_u32   rows of option 'dim' numbers, without a header   id long, vec | nbrs
     id_column          u32 per row (option 'header': u32s to skip)      ord long, id long
     memory_graph       u64 size, u32 degree, u32 start, u64 frozen; per node u32 k, u32[k]   src long, nbrs
-    entry_nodes  u32 n, u32 k, u32 entry; u32[n] ids; then n rows of u32[k]   ord long, id long, nbrs (option 'entry' when written)
+    entry_nodes        u32 n, u32 k, u32 entry; u32[n] ids; n rows of u32[k]   ord long, id long, nbrs (option 'entry' to write)
     numpy_rows         a two-dimensional .npy of f2, f4 or f8           id long, vec array<float>
 
 A reader takes a file or a folder of parts and splits it by ranges of rows ('rows_a_split'); a
