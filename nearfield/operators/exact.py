@@ -40,6 +40,28 @@ def _rough(metric: str, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.where(norms > 0, -dot / norms, np.inf)
 
 
+def matrix(table, column: str) -> np.ndarray:
+    """The vectors of an Arrow table as rows of a matrix of doubles."""
+    return np.array(table.column(column).combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
+
+
+def nearest(metric: str, ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, asked: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(qid, id, dist) of at least the k nearest rows of each query; ties of the k-th come along."""
+    out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for at in range(0, len(qids), 64):
+        rough = _rough(metric, asked[at : at + 64], rows)
+        for j, qid in enumerate(qids[at : at + 64].tolist()):
+            d = rough[j]
+            if exclude_self:
+                d = np.where(ids == qid, np.inf, d)
+            kth = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+            near = np.flatnonzero((d <= kth + NEAR) & (d < np.inf))
+            out[0].append(np.full(len(near), qid))
+            out[1].append(ids[near])
+            out[2].append(_exact(metric, asked[at + j], rows[near]))
+    return np.concatenate(out[0]), np.concatenate(out[1]), np.concatenate(out[2])
+
+
 def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False, match: str | None = None) -> DataFrame:
     """(qid, rank, id, dist) of the k nearest rows of base(id, vec) for queries(qid, qvec).
 
@@ -57,24 +79,14 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude
     def cell(a, b):
         import pyarrow as pa
 
-        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        out = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if a.num_rows and b.num_rows:
             ids, qids = (np.array(t.column(c).to_pylist(), np.int64) for t, c in ((a, "id"), (b, "qid")))
-            rows, asked = (np.array(t.column(c).combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t, c in ((a, "vec"), (b, "qvec")))
+            rows, asked = matrix(a, "vec"), matrix(b, "qvec")
             if rows.shape[1] != asked.shape[1]:
                 raise ValueError("queries and base have vectors of different length")
-            for at in range(0, len(qids), 64):
-                rough = _rough(metric, asked[at : at + 64], rows)
-                for j, qid in enumerate(qids[at : at + 64].tolist()):
-                    d = rough[j]
-                    if exclude_self:
-                        d = np.where(ids == qid, np.inf, d)
-                    kth = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                    near = np.flatnonzero((d <= kth + NEAR) & (d < np.inf))
-                    out[0].append(np.full(len(near), qid))
-                    out[1].append(ids[near])
-                    out[2].append(_exact(metric, asked[at + j], rows[near]))
-        return pa.table([pa.array(np.concatenate(x)) for x in out], ["qid", "id", "dist"])
+            out = nearest(metric, ids, rows, qids, asked, k, exclude_self)
+        return pa.table([pa.array(x) for x in out], ["qid", "id", "dist"])
 
     keys = ["_b", "_q", *extra]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, "qid long, id long, dist double")

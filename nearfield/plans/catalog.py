@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import search as S
 from ..operators import traces as T
 from ..operators.exact import knn, top_rows
+from ..operators.near_graph import near_graph
 from ..sources import layout
 from ..sources.tables import base, queries, written
 
@@ -294,6 +295,11 @@ def knn_graph_edges(spark, sf_dir):
     return rounded(G.knn_graph(base(spark, sf_dir), DEGREE), "dist")
 
 
+@query()  # approximate, so that SQL has no answer to hold it against; tests measure its recall
+def approx_knn_graph(spark, sf_dir):
+    return rounded(near_graph(base(spark, sf_dir), DEGREE), "dist")
+
+
 _THIN = "CASE WHEN src % 11 = 0 THEN 0 WHEN src % 7 = 0 THEN 3 ELSE 12 END"
 
 

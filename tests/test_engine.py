@@ -15,6 +15,7 @@ from nearfield.operators import metrics as M
 from nearfield.operators import search as S
 from nearfield.operators import traces as T
 from nearfield.operators.exact import knn
+from nearfield.operators.near_graph import near_graph
 from nearfield.operators.ordering import numbered
 from nearfield.plans import catalog
 from nearfield.sources import generate, vector_files
@@ -174,6 +175,31 @@ def test_unreached_nodes_follow_in_order(spark):
     assert [r.old_id for r in id_map.orderBy("new_id").collect()] == [3, 1, 0, 2, 4, 5]
 
 
+def test_near_graph_finds_most_neighbours_and_splits_repeats(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(40, 24))
+    spread = [(int(i), (centers[i % 40] + 0.4 * rng.normal(size=24)).tolist(), "x") for i in range(1200)]
+    same = [(5000 + i, [1.0] * 24, "y") for i in range(600)]  # a third of all rows
+    rows = spark.createDataFrame(spread + same, "id long, vec array<float>, dist string")
+    found = near_graph(rows, 8, cell_rows=128).toPandas()
+    assert found.groupby("src").size().eq(8).all() and found.src.nunique() == 1800
+    assert (found.src != found.dst).all() and not found.duplicated(["src", "dst"]).any()
+    assert (found[found.src >= 5000].dist == 0).all()  # which of equal rows are found, cells decide
+    true = G.knn_graph(rows, 8).toPandas()
+    pair = found.merge(true, on=["src", "dst"], suffixes=("", "_true"))
+    assert (pair.dist == pair.dist_true).all()
+    assert (pair.src < 5000).sum() >= 0.9 * 1200 * 8
+
+
+def test_near_graph_of_few_rows_is_exact(spark):
+    rows = spark.createDataFrame([(i, [float(i * i), float(i % 3)]) for i in range(30)], "id long, vec array<float>")
+    key = ["src", "pos", "dst", "dist"]
+    assert near_graph(rows, 4).select(key).orderBy(key).collect() == G.knn_graph(rows, 4).select(key).orderBy(key).collect()
+    assert near_graph(rows.limit(1), 4).count() == 0 == near_graph(rows.where("id < 0"), 4).count()
+    assert near_graph(rows.where("id < 3"), 4).count() == 6
+    assert near_graph(rows, 4, "cosine", cell_rows=8).where("dist = double('infinity') or isnan(dist)").count() == 0
+
+
 def test_padding(spark):
     rows = spark.createDataFrame([(1, [7]), (5, []), (6, [1, 2, 3, 4])], "src long, nbrs array<long>")
     got = {r.src: r.p for r in rows.select("src", G.padded(F.col("nbrs"), F.col("src"), 3).alias("p")).collect()}
