@@ -1,12 +1,14 @@
 """Operators on documents against brute force, with odd rows and empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.llm import licenses, mixing, near_dup, packing, quality, sharding, suffix_dedup, token_file
 from nearfield.llm.common import new_path, table
@@ -572,3 +574,34 @@ def test_near_dup_cells_with_small_blocks(spark, monkeypatch):
         docs.append((i, " ".join(own)))
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in rows(near_dup.linked(spark.createDataFrame(docs, "doc_id long, text string")))}
     assert got == brute_near(docs)
+
+
+def test_components_of_hubs_and_paths(spark):
+    """A hub at the least, the greatest and a middle node, a path, a ring, loops, repeats and null ends, against a search."""
+    from nearfield.llm import components as C
+
+    rng = random.Random(3)
+    edges = [(0, k) for k in range(1, 400)] + [(2_000, k) for k in range(1_000, 1_400)] + [(3_200, k) for k in range(3_000, 3_400)]
+    edges += [(k, k + 1) for k in range(5_000, 5_040)] + [(6_000 + k, 6_000 + (k + 1) % 9) for k in range(9)]
+    edges += [(rng.randrange(7_000, 7_300), rng.randrange(7_000, 7_300)) for _ in range(200)] + [(9_000, 9_000), (-5, 8_000), (-5, 8_000), (8_000, -5)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    expected = {}
+    for node in sorted(near):
+        if node not in expected:
+            todo = [node]
+            while todo:
+                at = todo.pop()
+                if at not in expected:
+                    expected[at] = node
+                    todo += near[at]
+    table = spark.createDataFrame([*edges, (None, 4), (4, None)], "a long, b long")
+    assert sorted(map(tuple, C.components(table).collect())) == sorted(expected.items())
+    assert C.components(table.limit(0)).count() == 0
+    # a hub's edges come back with their least, and are joined over many cells
+    least = C._with_least(table.where("a is not null and b is not null"), 64)
+    assert {r.m for r in least.where("a = 2000").collect()} == {1_000} and least.count() == len(edges)
+    assert least.where("a = 2000").select(F.pmod(F.xxhash64("b"), F.lit(64))).distinct().count() > 32
