@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, html_main, licenses, mixing, near_dup, packing, quality, sharding, suffix_dedup, token_file
+from pyspark.sql import functions as F
+
+from . import ann, automaton_dedup, conversation_trie, html_main, licenses, mixing, near_dup, packing, quality, sharding, suffix_dedup, token_file, vector_codes
 from .common import new_path, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,8 +35,6 @@ def op4_near_dup(spark, sf_dir):
 
 
 def op5_sharding(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
@@ -61,7 +61,23 @@ def op10_licenses(spark, sf_dir):
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op3_html_main, op4_near_dup, op5_sharding, op6_nearest, op7_suffix_dedup, op8_quality, op9_mixing, op10_licenses)}
+def op11_conversation_trie(spark, sf_dir):
+    turns = conversation_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.spliced(turns))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.coded(table(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_automaton_dedup(spark, sf_dir):
+    return automaton_dedup.removed(table(spark, sf_dir, "documents"), rewrite=False).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_token_file, op3_html_main, op4_near_dup, op5_sharding, op6_nearest, op7_suffix_dedup, op8_quality, op9_mixing, op10_licenses, op11_conversation_trie, op12_vector_codes, op13_automaton_dedup)
+}
 
 
 def _quality_sql() -> str:
@@ -164,7 +180,62 @@ t AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
 
 
+_TRIE = """
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(k := k, b := strlen(text)) ORDER BY turn NULLS FIRST, k) AS l FROM t GROUP BY conv_id),
+x AS (SELECT o.conv_id, o.l, coalesce(h.l, []) AS lead, {crc} % 9 AS h FROM o LEFT JOIN o h ON h.conv_id = o.conv_id - o.conv_id % 5),
+c AS (SELECT conv_id, list_concat(lead[1:h], l[h + 1:]) AS l FROM x),
+p AS (SELECT conv_id, d, len(l) AS n, md5(array_to_string(list_transform(l[1:d], lambda e: e.k), ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(list_transform(l[1:d - 1], lambda e: e.k), ',')) END AS up, CASE WHEN d > 0 THEN l[d].b ELSE 0 END AS b
+  FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM c)),
+n AS (SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM p GROUP BY d, k),
+m AS (SELECT n.*, (SELECT count(*) FROM n y WHERE y.d = n.d + 1 AND y.up = n.k) AS n_children FROM n),
+a AS (SELECT m.n_children, (m.n_convs - 1) * m.b AS own, p.d, p.k FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d),
+s AS (SELECT d, k, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved FROM a GROUP BY d, k)
+SELECT m.conv_id::BIGINT AS conv_id, m.d::BIGINT AS depth, u.conv_id::BIGINT AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (d, k) LEFT JOIN n u ON u.d = m.d - 1 AND u.k = m.up"""
+
+
+#: CRC-32 of decimal conv_id, bit by bit.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, strlen(o.conv_id::VARCHAR) + 1), lambda i: ascii(substr(o.conv_id::VARCHAR, i, 1))::BIGINT)),
+  lambda a, c: list_reduce(list_concat([xor(a, c)], range(8)), lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)), 4294967295)"""
+
+
+def _codes_sql() -> str:
+    """Every assignment in full: each part against all entries of its book."""
+    scale, parts, entries = vector_codes.SCALE, vector_codes.PARTS, vector_codes.ENTRIES
+    floored = "((s - ((s % n) + n) % n) // n)"
+    assign = lambda r: f"""a{r} AS MATERIALIZED (SELECT x.r, x.p, x.v, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{r} b USING (p)
+  QUALIFY row_number() OVER (PARTITION BY x.r, x.p ORDER BY d, b.e) = 1)"""
+    move = lambda r: f"""m{r} AS (SELECT p, e, i, sum(v[i])::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY p, e, i),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(c.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT p, e, list({floored} ORDER BY i) AS v FROM m{r} GROUP BY p, e) c USING (p, e))"""
+    rounds = ",\n".join(f"{assign(r)},\n{move(r)}" for r in range(vector_codes.ROUNDS))
+    last = vector_codes.ROUNDS
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM (SELECT r, v, unnest(range({parts})) AS p FROM k)),
+b0 AS MATERIALIZED (SELECT p, r AS e, v FROM x WHERE r < {entries}),
+{rounds},
+{assign(last)},
+c AS (SELECT r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY r),
+h AS (SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(v, ',') AS t FROM b{last}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"""
+
+
+_WINDOWS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, p, array_to_string(w[p:p + 49], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT k, min(doc_id) AS f FROM g GROUP BY k),
+c AS (SELECT DISTINCT r, q FROM (SELECT r, unnest(range(p, p + 50)) AS q FROM g JOIN f USING (k) WHERE f < doc_id)),
+e AS (SELECT r, list(q) AS gone FROM c GROUP BY r),
+k AS (SELECT d.r, string_agg(w[p], ' ' ORDER BY p) AS kept FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d) d LEFT JOIN c ON c.r = d.r AND c.q = d.p WHERE c.q IS NULL GROUP BY d.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN e USING (r) LEFT JOIN k USING (r)"""
+
+
 ORACLES = {
+    "op11_conversation_trie": _TRIE.replace("{crc}", _CRC32),
+    "op12_vector_codes": _codes_sql(),
+    "op13_automaton_dedup": _WINDOWS,
     "op7_suffix_dedup": _SUFFIX,
     "op6_nearest": _NEAREST,
     "op4_near_dup": _NEAR_DUP,
