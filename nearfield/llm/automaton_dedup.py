@@ -245,7 +245,8 @@ def runs_of(texts: DataFrame, split: bool = False) -> DataFrame:
 def shared(runs: DataFrame) -> DataFrame:
     """The runs whose key several documents have."""
     several = runs.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    return runs.join(several, "key", "left_semi").select("doc", "k", "pos", "n", "key", "content")
+    # written, so that the join meets two plain exchanges: Spark can then split a key that a third of all runs have
+    return runs.join(written(several, "several"), "key", "left_semi").select("doc", "k", "pos", "n", "key", "content")
 
 
 def first_runs(runs: DataFrame) -> DataFrame:
