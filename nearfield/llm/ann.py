@@ -19,8 +19,9 @@ table. Equal vectors are one point of a tree with its k + 1 least ids.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
 nor do rows with a null id; vectors are only compared with vectors of their own length; rows that
-repeat the query's id are not its neighbours; with fewer than k candidates all are returned; an empty
-table gives an empty result. Equal scores go to the smaller id.
+repeat the query's id are not its neighbours; an id is a neighbour once, with the nearest of its vectors, however
+often it comes; with fewer than k candidate ids all are returned; an empty table gives an empty result. Equal
+scores go to the smaller id.
 """
 
 from __future__ import annotations
@@ -100,11 +101,11 @@ def kd_leaves(points: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
 class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         distinct, inverse = np.unique(vectors, axis=0, return_inverse=True)
-        inverse = inverse.ravel()
-        by = np.lexsort((ids, inverse))
-        first = np.searchsorted(inverse[by], np.arange(len(distinct)))
-        ends = np.append(first[1:], len(by))
-        self.ids = [ids[by[a : min(b, a + k + 1)]] for a, b in zip(first.tolist(), ends.tolist())]
+        pairs = np.unique(np.stack([inverse.ravel(), ids]), axis=1)  # a row of one id and vector counts once
+        first = np.searchsorted(pairs[0], np.arange(len(distinct)))
+        ends = np.append(first[1:], pairs.shape[1])
+        # k + 1 different ids: one may be the query's own
+        self.ids = [pairs[1, a : min(b, a + k + 1)].tolist() for a, b in zip(first.tolist(), ends.tolist())]
         self.raw = distinct.astype(np.float64)
         self.unit = self.raw / np.sqrt((self.raw**2).sum(1))[:, None]
         self.basis = directions(vectors.shape[1])
@@ -133,11 +134,10 @@ class Shard:
             batch = self.order[waiting[ready]]
             waiting, waiting_d = waiting[~ready], waiting_d[~ready]
             found, cos = np.concatenate([found, batch]), np.concatenate([cos, self.unit[batch] @ unit])
-            best = np.argsort(-cos, kind="stable")[: k + 1]
-            rows, kth = 0, known
-            for j in best.tolist():
-                rows += len(self.ids[found[j]]) - int(own_id in self.ids[found[j]])
-                if rows >= k:
+            rows, kth = {own_id}, known
+            for j in np.argsort(-cos, kind="stable").tolist():
+                rows.update(self.ids[found[j]])
+                if len(rows) > k:
                     kth = cos[j] if known is None else max(cos[j], known)
                     break
             if kth is not None:
@@ -210,7 +210,7 @@ def searched(base: DataFrame, asked: DataFrame, cells: DataFrame, k: int, stop:
             for own, query, known in zip(right.column("id").to_pylist(), matrix(right.column("vec")).astype(np.float64), right.column("known").to_pylist()):
                 for j in shard.search(own, query, k, stop, known):
                     score = exact_cosine(query, shard.raw[j])
-                    for i in [x for x in shard.ids[j].tolist() if x != own]:
+                    for i in [x for x in shard.ids[j] if x != own]:
                         for column, value in zip(out, (own, i, score)):
                             column.append(value)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
@@ -221,12 +221,14 @@ def searched(base: DataFrame, asked: DataFrame, cells: DataFrame, k: int, stop:
 
 def best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id may have several vectors
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", stop: float = STOP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row of ``queries``, itself left out."""
-    base, asked = usable(rows, id_col, vec_col), usable(queries, id_col, vec_col)
+    # a row that repeats goes before cells are made: copies of one id would all meet in one part
+    base, asked = (written(usable(x, id_col, vec_col).dropDuplicates(["id", "vec"]), "rows") for x in (rows, queries))
     n = base.count()
     sample = base.where(F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(max(1, n // SAMPLE_ROWS))) == 0).limit(2 * SAMPLE_ROWS).select("dim", "vec").toArrow()
     leaves, trees = min(MOST_CELLS, 1 + n // SHARD_ROWS), {}

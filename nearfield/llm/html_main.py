@@ -16,6 +16,9 @@ Pages are dealt by range of (host, path), so that a host of any size spreads ove
 gets the page just before it and the page just after it, so that pairs don't depend on the ranges. The
 ends of the ranges come from a bounded sample of keys and bear on nothing but the spread.
 
+An element is hidden by an attribute hidden, by aria-hidden="true" or by display:none in its style, and by no other word in its
+tag; body and html never are. A tag with an unbalanced quote ends at its first ">".
+
 Defined cases: null or empty html gives ''; a null or odd URL has an empty host and is paired among
 such; truncated markup ends with its last complete text; repeated rows are pages of their own (two
 equal pages delete each other's open lines); an empty table gives an empty result.
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,9 +50,12 @@ OUTER = r"(?:side|notices?|alert|masthead|related|search|skip)"
 SUFFIXES = r"(?:[-_](?:area|banner|bar|block|body|box|buttons?|container|content|form|inner|item|links?|list|notice|outer|panel|section|slot|unit|wrap|wrapper|\d+))*"
 NAMED = re.compile(rf"(?:^|\s){PARTS}{SUFFIXES}(?:\s|$)", re.I)
 NAMED_OUTSIDE = re.compile(rf"(?:^|\s)(?:{PARTS}|{OUTER}){SUFFIXES}(?:\s|$)", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<!--|<[!?]")
+PLAIN = re.compile(r"[^>\"']*")
+VALUE_FOLLOWS = re.compile(r"=\s*$")
+AFTER_VALUE = re.compile(r"[\s/>]|$")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 SPACE = re.compile(r"\s+")
 #: End tags that HTML lets authors leave out: an opening tag closes these.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -56,12 +63,60 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 TEXT, OPEN, TEMPLATE = "text", "open", "template"
 
 
+def attributes(inside: str) -> dict[str, str]:
+    """Names (lower case) and values of a tag's attributes; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(inside):
+        found.setdefault(m[1].lower(), m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "")
+    return found
+
+
+def hidden(said: dict[str, str]) -> bool:
+    """Whether an element's own attributes hide it."""
+    return "hidden" in said and said["hidden"].lower() != "until-found" or said.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(said.get("style", "")))
+
+
+class Quotes:
+    """Ends of tags of a page, in one pass over its quotes."""
+
+    def __init__(self, page: str):
+        self.page, self.next = page, {'"': -1, "'": -1}
+
+    def _close(self, quote: str, at: int) -> int:
+        """Place of the next ``quote`` from ``at`` on, or the page's length; asked for ascending places."""
+        if self.next[quote] < at:
+            found = self.page.find(quote, at)
+            self.next[quote] = found if found >= 0 else len(self.page)
+        return self.next[quote]
+
+    def end(self, at: int) -> int:
+        """Place of the ">" that ends the tag whose name ends at ``at``, or the page's length.
+
+        A value in quotes may hold ">", if a quote closes it where a value can end; otherwise the tag ends at the first ">".
+        """
+        start = at
+        while True:
+            at = PLAIN.match(self.page, at).end()
+            if at == len(self.page) or self.page[at] == ">":
+                return at
+            quote = self.page[at]
+            if VALUE_FOLLOWS.search(self.page, max(start, at - 8), at):
+                close = self._close(quote, at + 1)
+                if close == len(self.page) or not AFTER_VALUE.match(self.page, close + 1):
+                    found = self.page.find(">", at)
+                    return found if found >= 0 else len(self.page)
+                at = close
+            at += 1
+
+
 def page_lines(page: str | None) -> list[tuple[str, str]]:
     """[(zone, line)] of a page in order, template lines left out; zone is TEXT or OPEN."""
     lines: list[tuple[str, str]] = []
     buffer: list[str] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()  # names on the stack
     zone, page, at = OPEN, page or "", 0
+    quotes = Quotes(page)
 
     def flush() -> None:
         if buffer:
@@ -70,54 +125,65 @@ def page_lines(page: str | None) -> list[tuple[str, str]]:
                 lines.append((zone, line))
             buffer.clear()
 
+    def pop() -> str:
+        name, before = stack.pop()
+        opened[name] -= 1
+        return before
+
     while True:
-        m = TAG.search(page, at)
+        m = TOKEN.search(page, at)
         if not m:
             buffer.append(page[at:])
             break
         if m.start() > at:
             buffer.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if not m[2]:
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = page.find(mark, m.end())
+            at = end + len(mark) if end >= 0 else len(page)
             continue
+        name, end = m[2].lower(), quotes.end(m.end())
+        if end == len(page):  # the page ends within a tag
+            break
+        inside, at = page[m.end() : end], end + 1
         if name == "br":
             buffer.append(" ")
             continue
-        if m[4] != ">" and m.end() == len(page):  # the page ends within a tag
-            break
         if m[1]:
             if name in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    flush_needed = stack[k][1] != zone
-                    if flush_needed:
-                        flush()
-                    zone = stack[k][1]
-                    del stack[k:]
-                    break
+            if opened[name]:
+                while stack[-1][0] != name:
+                    pop()
+                before = stack[-1][1]
+                if before != zone:
+                    flush()
+                pop()
+                zone = before
             continue
-        if name in RAW and not m[3].endswith("/"):
+        if name in RAW and not inside.endswith("/"):
             if name in BLOCKS:
                 flush()
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = close.end() if close else len(page)
             continue
         if name in BLOCKS:
             flush()
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or inside.endswith("/"):
             continue
         for closed in CLOSES.get(name, ()):
             if stack and stack[-1][0] == closed:
-                zone = stack.pop()[1]
+                zone = pop()
         stack.append((name, zone))
+        opened[name] += 1
         inner = zone
         if zone != TEMPLATE:
-            said = " ".join(x for g in NAMES.findall(m[3]) for x in g if x)
-            if name in DROPPED or name == "header" and zone != TEXT or said and name not in MAIN and name not in ("body", "html") and (NAMED if zone == TEXT else NAMED_OUTSIDE).search(said) or m[3] and HIDDEN.search(m[3]):
+            said = attributes(inside) if inside else {}
+            names = " ".join(said[x] for x in ("class", "id", "role") if said.get(x))
+            whole = name in ("body", "html")  # never hidden as such: scripts show such pages
+            if name in DROPPED or name == "header" and zone != TEXT or names and name not in MAIN and not whole and (NAMED if zone == TEXT else NAMED_OUTSIDE).search(names) or said and not whole and hidden(said):
                 inner = TEMPLATE
-            elif name in MAIN or "main" == said.lower():
+            elif name in MAIN or "main" == names.lower():
                 inner = TEXT
         if inner != zone:
             flush()
@@ -175,7 +241,7 @@ def _prefix(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-KEYS = ["host", "path", "url", "page_id"]
+KEYS = ["host", "path", "url", "page_id", "mark"]
 SAMPLE_A_RANGE = 64
 
 
@@ -210,6 +276,7 @@ def extract(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "url", "html",
         F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host"),
         F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
+        F.xxhash64("html").alias("mark"),  # rows may share all else
     )
     bounded_batches(pages.sparkSession)
     n = 2 * parallelism(pages.sparkSession)

@@ -1,5 +1,7 @@
 """Page extraction and approximate nearest neighbours."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -26,6 +28,30 @@ def test_article_keeps_what_only_sounds_like_a_template():
     assert lines("<div class='alert'>no</div><div class='related links'>no</div><div class='alerting'>yes</div>") == ["yes"]
 
 
+def test_elements_are_hidden_by_their_own_attributes_alone():
+    for tag in ("<article class='overflow-hidden'>", "<p style='overflow:hidden'>", "<p title='a hidden place'>", "<p data-state='hidden'>", "<p hidden=until-found>", "<p aria-hidden=false>", "<p data-style='display:none'>", "<p style='x-display:none'>"):
+        assert lines(f"<body class='overflow-hidden'>{tag}text</body>") == ["text"], tag
+    for tag in ("<p hidden>", "<p class=x HIDDEN=''>", "<p aria-hidden='true'>", "<p style='color:red; display : none'>", "<p/hidden>"):
+        assert lines(f"<body hidden style='display:none'><div>text</div>{tag}no</p></body>") == ["text"], tag
+
+
+def test_quotes_in_tags():
+    assert lines('<p><a title="x>two</a> three') == ["two three"]
+    assert lines('<p><a title="x>two</a> three <b class="y">four</b>') == ["two three four"]
+    assert lines("<p><a title='a > b' href=x>two</a> it's</p><p>don't") == ["two it's", "don't"]
+    assert lines('<p><a onclick="if (a<b) c(\'>\')">two</a>') == ["two"]
+    assert lines("<p it's>one</p><p \"odd>two</p>") == ["one", "two"]
+    assert lines('<p class="x') == [] and lines("<p>one</p><p class='") == ["one"]
+    assert html_main.attributes(""" A=1 b = 'two' C="x > y" a=3 d""") == {"a": "1", "b": "two", "c": "x > y", "d": ""}
+
+
+@pytest.mark.parametrize("page", ["<span>" * 100_000 + "</b>" * 100_000 + "x", "<div>" * 100_000 + "x" + "</div>" * 100_000, "<a title=\">x" * 100_000, "<a b='" * 100_000 + "<p>x", "<p" * 100_000 + ">x", "<!--" * 100_000])
+def test_time_grows_with_the_page_alone(page):
+    began = time.process_time()
+    html_main.page_lines(page)
+    assert time.process_time() - began < 2
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for n in range(200):
@@ -172,6 +198,30 @@ def test_nearest_small_and_empty(spark):
     assert ann.nearest(df.where("false"), df, 5).count() == 0 and ann.nearest(df, df.where("false"), 5).count() == 0
 
 
+@pytest.mark.parametrize("case", ["twice", "eight times", "table twice", "own id nine times", "several vectors"])
+def test_repeated_rows_take_no_places(spark, case):
+    rng = np.random.default_rng(9)
+    vectors = {i: rng.standard_normal(8).astype(np.float32).tolist() for i in range(41)}
+    rows = list(vectors.items())
+    query = vectors[0]
+    if case == "own id nine times":
+        rows = [(0, query)] * 9 + [(1, query), (2, query)]
+    elif case == "several vectors":
+        rows += [(7, [float(x) + 0.001 * j for x in query]) for j in range(9)]  # one id, nine vectors by the query
+    else:
+        near = min(range(1, 41), key=lambda i: -ann.exact_cosine(np.array(query), np.array(vectors[i])))
+        rows += {"twice": [(near, vectors[near])], "eight times": [(near, vectors[near])] * 7, "table twice": rows}[case]
+    scores = {}
+    for i, v in rows:
+        if i:
+            s = ann.exact_cosine(np.array(query, np.float64), np.array(np.array(v, np.float32), np.float64))
+            scores[i] = max(scores.get(i, -2.0), s)
+    want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == want
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
