@@ -29,7 +29,19 @@ def _exact(metric: str, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.where(norms > 0, 0.0 - total(rows * q) / norms, np.inf)
 
 
-def _rough(metric: str, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def paired(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of ``a`` to those of ``b`` at the same place, summed as in the exact search."""
+    total = lambda x: np.add.accumulate(x, axis=1)[:, -1]
+    if metric == "l2":
+        return total((b - a) * (b - a))
+    if metric == "mips":
+        return 0.0 - total(b * a)
+    norms = np.sqrt(total(b * b)) * np.sqrt(total(a * a))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norms > 0, 0.0 - total(b * a) / norms, np.inf)
+
+
+def rough(metric: str, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     dot = q @ rows.T
     if metric == "l2":
         return (q * q).sum(1)[:, None] + (rows * rows).sum(1)[None, :] - 2 * dot
@@ -49,9 +61,9 @@ def nearest(metric: str, ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, as
     """(qid, id, dist) of at least the k nearest rows of each query; ties of the k-th come along."""
     out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for at in range(0, len(qids), 64):
-        rough = _rough(metric, asked[at : at + 64], rows)
+        far = rough(metric, asked[at : at + 64], rows)
         for j, qid in enumerate(qids[at : at + 64].tolist()):
-            d = rough[j]
+            d = far[j]
             if exclude_self:
                 d = np.where(ids == qid, np.inf, d)
             kth = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
@@ -66,15 +78,18 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude
     """(qid, rank, id, dist) of the k nearest rows of base(id, vec) for queries(qid, qvec).
 
     metric is 'l2' (squared), 'mips' (minus the inner product) or 'cosine' (minus the cosine). With
-    ``match``, only rows with an equal value in that column, which both tables have, are compared.
+    ``match``, only rows with an equal value in that column, which both tables have, are compared; null
+    equals nothing. Vectors are only compared with vectors of their own length.
     """
     extra = [match] if match else []
+    if match:
+        base, queries = base.where(F.col(match).isNotNull()), queries.where(F.col(match).isNotNull())
     n, m = base.count(), queries.count()
     blocks, columns = 1 + n // BASE_ROWS, 1 + m // QUERY_ROWS
     deal = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    left = base.select(F.col("id").cast("long").alias("id"), "vec", *extra, deal(F.col("id"), blocks).alias("_b"), every(columns).alias("_q"))
-    right = queries.select(F.col("qid").cast("long").alias("qid"), "qvec", *extra, every(blocks).alias("_b"), deal(F.col("qid"), columns).alias("_q"))
+    left = base.select(F.col("id").cast("long").alias("id"), "vec", F.size("vec").alias("_dim"), *extra, deal(F.col("id"), blocks).alias("_b"), every(columns).alias("_q"))
+    right = queries.select(F.col("qid").cast("long").alias("qid"), "qvec", F.size("qvec").alias("_dim"), *extra, every(blocks).alias("_b"), deal(F.col("qid"), columns).alias("_q"))
 
     def cell(a, b):
         import pyarrow as pa
@@ -82,13 +97,10 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude
         out = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if a.num_rows and b.num_rows:
             ids, qids = (np.array(t.column(c).to_pylist(), np.int64) for t, c in ((a, "id"), (b, "qid")))
-            rows, asked = matrix(a, "vec"), matrix(b, "qvec")
-            if rows.shape[1] != asked.shape[1]:
-                raise ValueError("queries and base have vectors of different length")
-            out = nearest(metric, ids, rows, qids, asked, k, exclude_self)
+            out = nearest(metric, ids, matrix(a, "vec"), qids, matrix(b, "qvec"), k, exclude_self)
         return pa.table([pa.array(x) for x in out], ["qid", "id", "dist"])
 
-    keys = ["_b", "_q", *extra]
+    keys = ["_b", "_q", "_dim", *extra]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, "qid long, id long, dist double")
     order = Window.partitionBy("qid").orderBy("dist", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")

@@ -149,6 +149,26 @@ def cover_ranked(ids: DataFrame, page_of: Column, budget_pages: int) -> DataFram
     return pages.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget_pages).select("qid", "rank", "page", "cover")
 
 
+def budgeted(records: DataFrame, budgets: list[int], page: int) -> DataFrame:
+    """(qid, budget, nth, id, charge): the records (qid, nth, id, first, last) that a query fetches in order within ``budgets`` bytes.
+
+    A record is charged the pages of its span that the query doesn't hold yet; one that costs more than is left is passed over, and
+    later ones are still tried. One that is held whole isn't fetched. A query's records are folded in one row: they are bounded by
+    the search that names them.
+    """
+    each = records.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "first", "last"))).alias("of")).withColumn("budget", F.explode(F.array(*[F.lit(b).cast("long") for b in budgets])))
+    start = F.struct(F.col("budget").alias("left"), F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<nth:bigint,id:bigint,charge:bigint>>").alias("took"))
+
+    def step(state: Column, r: Column) -> Column:
+        new = F.array_except(F.sequence(r["first"], r["last"]), state["held"])
+        charge = F.size(new).cast("long") * page
+        took = F.struct(r["nth"].cast("long").alias("nth"), r["id"].alias("id"), charge.alias("charge"))
+        taken = F.struct((state["left"] - charge).alias("left"), F.concat(state["held"], new).alias("held"), F.concat(state["took"], F.array(took)).alias("took"))
+        return F.when((charge > 0) & (charge <= state["left"]), taken).otherwise(state)
+
+    return each.select("qid", "budget", F.inline(F.aggregate("of", start, step)["took"]))
+
+
 def entry_pins(order: DataFrame, edges: DataFrame, base: DataFrame, vectors: int = 256) -> DataFrame:
     """(id, part, bytes) that a search keeps at hand: of the entry nodes ``order`` (id, ord), all neighbour lists and the first ``vectors`` vectors."""
     lists = edges.join(order, F.col("src") == F.col("id")).groupBy("id").agg((F.count(F.lit(1)) * 4).alias("bytes"))

@@ -14,6 +14,7 @@ is one row and is broadcast; queries that are done within a round are spread ove
 from __future__ import annotations
 
 from bisect import insort
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,33 +102,38 @@ def greedy(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int | Non
     return top.select("qid", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("id"), F.col("c.dist").alias("dist"), "n_dist", "n_expand")
 
 
-def labelled(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, width: int, k: int, metric: str = "l2") -> DataFrame:
+def labelled(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, width: int, k: int, metric: str = "l2", most: int = 128, universal: int | None = None, dummy: Callable[[Column], Column] = lambda i: F.lit(False)) -> DataFrame:
     """One-shot search for the ``k`` nearest rows with the query's label: (qid, rank, id, dist, n_dist, n_expand).
 
     Rows of any label are walked. A query's list holds the best ``width``, and where fewer than ``k`` of
-    these have its label, as many more as it takes to hold ``k``; it ends when none is open. So a query gets
-    ``k`` unless fewer with its label can be reached. A null label matches none. ``queries`` holds
-    (qid, qvec, label), ``base`` (id, vec, label), ``adj`` is made with "label".
+    these have its label, as many more as it takes to hold ``k``, up to ``most``; it ends when none is open. Queries
+    that end with fewer than ``k`` are answered by the exact search over the rows they may take, so that a
+    rare label needs no long walk; n_dist and n_expand are those of the walk. A null label matches none, but for
+    rows of the label ``universal``, which every query may take. Rows whose id ``dummy`` holds for
+    are walked and never taken. ``queries`` holds (qid, qvec, label), ``base`` (id, vec, label), ``adj`` is made with "label".
     """
+    from .exact import knn
+
     at = base.where(F.col("id") == entry).select(F.col("id").alias("entry"), F.col("vec").alias("evec"), F.col("label").alias("elabel")).limit(1)
-    same = lambda label: F.coalesce(label == F.col("asked"), F.lit(False)).alias("own")
+    every = (lambda label: F.lit(False)) if universal is None else lambda label: label == universal
+    takes = lambda label, i: (F.coalesce((label == F.col("asked")) | every(label), every(label), F.lit(False)) & ~dummy(i)).alias("own")
     score = lambda vec: METRICS[metric](F.col("qvec"), vec).alias("dist")
     asked = queries.select("qid", "qvec", F.col("label").alias("asked")).withColumn("entry", F.lit(entry).cast("long")).join(F.broadcast(at), "entry")  # one row
-    first = F.array(F.struct(score(F.col("evec")), F.col("entry").alias("id"), F.lit(False).alias("done"), same(F.col("elabel")))).cast(LABELLED)
+    first = F.array(F.struct(score(F.col("evec")), F.col("entry").alias("id"), F.lit(False).alias("done"), takes(F.col("elabel"), F.col("entry")))).cast(LABELLED)
     state = asked.select("qid", "qvec", "asked", first.alias("cand"), F.array("entry").alias("seen"), F.lit(0).cast("long").alias("n_expand"))
     ended = []
     for step in count():
         state = state.withColumn("at", F.get(F.filter("cand", lambda c: ~c["done"]), F.lit(0))["id"])
         joined = _visited(state, adj, entry, step == 0)
         fresh = F.filter("near", lambda x: ~F.array_contains("seen", x["id"]))
-        scored = F.transform(fresh, lambda x: F.struct(score(x["vec"]), x["id"].alias("id"), F.lit(False).alias("done"), same(x["label"])))
+        scored = F.transform(fresh, lambda x: F.struct(score(x["vec"]), x["id"].alias("id"), F.lit(False).alias("done"), takes(x["label"], x["id"])))
         new = F.coalesce(F.array_distinct(scored).cast(LABELLED), F.array().cast(LABELLED))
         old = F.transform("cand", lambda c: c.withField("done", c["done"] | F.coalesce(c["id"] == F.col("at"), F.lit(False)))).cast(LABELLED)
         moved = joined.select("qid", "qvec", "asked", "at", F.array_sort(F.concat(old, new)).alias("all"), F.array_union("seen", new["id"]).alias("seen"), "n_expand")
         # the place of the k-th with the label, or the whole list
         kth = F.get(F.filter(F.transform("all", lambda c, i: F.when(c["own"], i + 1)), lambda i: i.isNotNull()), F.lit(k - 1))
         state = moved.select(
-            "qid", "qvec", "asked", F.slice("all", F.lit(1), F.greatest(F.lit(width), F.coalesce(kth, F.size("all")))).alias("cand"), "seen",
+            "qid", "qvec", "asked", F.slice("all", F.lit(1), F.greatest(F.lit(width), F.least(F.lit(most), F.coalesce(kth, F.size("all"))))).alias("cand"), "seen",
             (F.col("n_expand") + F.when(F.col("at").isNotNull(), 1).otherwise(0)).alias("n_expand"),
         )
         if step % STEPS_A_WRITE == STEPS_A_WRITE - 1:
@@ -139,8 +145,19 @@ def labelled(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, wi
     for part in ended:
         state = state.unionByName(part)
     own = F.slice(F.filter("cand", lambda c: c["own"]), 1, k)
-    top = state.select("qid", F.posexplode(own).alias("rank", "c"), F.size("seen").cast("long").alias("n_dist"), "n_expand")
-    return top.select("qid", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("id"), F.col("c.dist").alias("dist"), "n_dist", "n_expand")
+    state = written(state.select("qid", "asked", "qvec", own.alias("own"), F.size("seen").cast("long").alias("n_dist"), "n_expand"), "search")
+    top = state.where(F.size("own") == k).select("qid", F.posexplode("own").alias("rank", "c"), "n_dist", "n_expand")
+    top = top.select("qid", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("id"), F.col("c.dist").alias("dist"), "n_dist", "n_expand")
+    short = written(state.where(F.size("own") < k).select("qid", "qvec", F.col("asked").alias("label"), "n_dist", "n_expand"), "short")
+    if short.isEmpty():
+        return top
+    real = base.where(~dummy(F.col("id"))).select("id", "vec", "label")
+    rest = knn(real.where(~F.coalesce(every(F.col("label")), F.lit(False))), short, k, metric, match="label")
+    if universal is not None:
+        rest = rest.unionByName(knn(real.where(every(F.col("label"))), short, k, metric))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id"))
+    rest = rest.withColumn("rank", nth).where(F.col("rank") <= k).join(short.select("qid", "n_dist", "n_expand"), "qid")
+    return top.unionByName(rest.select(*top.columns))
 
 
 def sharded(queries: DataFrame, base: DataFrame, shards: int, degree: int, width: int, k: int, metric: str = "l2") -> DataFrame:

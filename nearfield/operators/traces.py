@@ -75,6 +75,69 @@ def whole_reuse_distances(trace: DataFrame) -> DataFrame:
     return rows.join(nested, "n", "left").select("seq", "id", distance.cast("long").alias("distance"))
 
 
+def next_hits(trace: DataFrame, capacities: list[int]) -> DataFrame:
+    """(capacity, total, hits, hit_pct): of the neighbours of expanded nodes, those that a cache of the most recently used records holds at the moment of expansion.
+
+    ``trace`` is (qid, hop, src, pos, id), fetched in that order. A neighbour's distance at its own fetch counts the fetches of its
+    expansion before it; those that were last touched before the neighbour was, or never, are taken off again.
+    """
+    ordered = numbered(trace.select("qid", "hop", "pos", "id"), ["qid", "hop", "pos"], "seq")
+    ordered = written(ordered.select("qid", "hop", "pos", "id", "seq"), "fetches")
+    distances = whole_reuse_distances(ordered.select("seq", "id"))
+    before = F.lag("seq").over(Window.partitionBy("id").orderBy("seq"))
+    known = ordered.withColumn("before", before).join(distances.select("seq", "distance"), "seq")
+    # an expansion's fetches in one row, as many as the node has neighbours
+    one = known.groupBy("qid", "hop").agg(F.array_sort(F.collect_list(F.struct("pos", "id", F.coalesce("before", F.lit(-1)).alias("before"), "distance"))).alias("of"))
+    firsts = F.filter("of", lambda x, i: ~F.exists(F.slice("of", F.lit(1), i), lambda y: y["id"] == x["id"]))
+    one = one.withColumn("first", firsts)
+
+    def at_expansion(x: Column) -> Column:
+        of = F.filter("first", lambda y: y["id"] == x["id"])[0]
+        later = F.size(F.filter("first", lambda y: (y["pos"] < of["pos"]) & (y["before"] < of["before"])))
+        return of["distance"] - later
+
+    each = one.select(F.explode(F.transform("of", at_expansion)).alias("distance"))
+    return hit_rates(each, capacities).withColumnRenamed("accesses", "total")
+
+
+def promoted_per_step(trace: DataFrame, edges: DataFrame, entry: int, tops: list[int], block: int = 1 << 16) -> DataFrame:
+    """(top, promoted, used, leftover): neighbours of each expansion's ``top`` nearest neighbours, promoted ahead, and how many are used.
+
+    ``trace`` is (qid, hop, src, pos, id, dist). After an expansion, the neighbours of its ``top`` nearest are promoted, but
+    for those that the query has fetched so far, the entry, and those that wait promoted since their last fetch by any query.
+    A record that is promoted between two of its fetches is promoted once and used by the second. So promotions are the
+    different pairs of a record and the number of its fetches before.
+    """
+    steps = trace.select("qid", "hop").distinct()
+    steps = written(numbered(steps, ["qid", "hop"], "step").select("qid", "hop", "step"), "steps")
+    of = written(trace.join(steps, ["qid", "hop"]), "fetches")
+    rank = F.row_number().over(Window.partitionBy("qid", "hop").orderBy("dist", "id", "pos"))
+    near = of.withColumn("nth", rank).where(F.col("nth") <= max(tops)).select("qid", "hop", "step", "nth", F.col("id").alias("via"))
+    offers = near.join(edges.select(F.col("src").alias("via"), F.col("dst").alias("id")), "via").groupBy("qid", "hop", "step", "id").agg(F.min("nth").alias("nth"))
+    held = of.groupBy("qid", "id").agg(F.min("hop").alias("since"))
+    offers = offers.where(F.col("id") != entry).join(held, ["qid", "id"], "left").where(F.col("since").isNull() | (F.col("since") > F.col("hop")))
+    # how often each record was fetched up to a step: counts by block of steps are carried on, so that no task has all fetches of a record
+    place = lambda c: F.call_function("div", F.col(c), F.lit(block))
+    fetches = of.groupBy("id", "step").agg(F.count(F.lit(1)).alias("n")).withColumn("block", place("step"))
+    sums = fetches.groupBy("id", "block").agg(F.sum("n").alias("n"))
+    carried = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    events = fetches.select("id", "block", "step", "n", F.lit(None).cast("int").alias("nth")).unionByName(offers.select("id", place("step").alias("block"), "step", F.lit(0).cast("long").alias("n"), "nth"))
+    inside = events.withColumn("here", F.sum("n").over(Window.partitionBy("id", "block").orderBy("step").rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("nth is not null")
+    # offers of blocks in which the record isn't fetched take the last block's sum before
+    lasts = Window.partitionBy("id").orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = carried.select("id", "block", F.lit(0).alias("kind"), "before", "n").unionByName(inside.select("id", "block").distinct().join(carried.select("id", "block"), ["id", "block"], "left_anti").select("id", "block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("n")))
+    marks = marks.withColumn("sum", F.coalesce(F.last(F.col("before") + F.col("n"), ignorenulls=True).over(lasts), F.lit(0)))
+    marks = marks.select("id", "block", F.when(F.col("kind") == 0, F.col("before")).otherwise(F.col("sum")).alias("carried"))
+    epochs = inside.join(marks, ["id", "block"]).select("id", "nth", (F.col("here") + F.col("carried")).alias("epoch"))
+    epochs = epochs.groupBy("id", "epoch").agg(F.min("nth").alias("nth"))
+    total = sums.groupBy("id").agg(F.sum("n").alias("total"))
+    used = epochs.join(total, "id", "left").select("nth", F.when(F.col("epoch") < F.col("total"), 1).alias("used"))
+    table = trace.sparkSession.createDataFrame([(t,) for t in tops], "top int")
+    counts = used.groupBy("nth").agg(F.count(F.lit(1)).alias("promoted"), F.count("used").alias("used"))  # a row a rank
+    each = table.join(F.broadcast(counts), F.col("nth") <= F.col("top"), "left").groupBy("top").agg(F.coalesce(F.sum("promoted"), F.lit(0)).alias("promoted"), F.coalesce(F.sum("used"), F.lit(0)).alias("used"))
+    return each.withColumn("leftover", F.col("promoted") - F.col("used"))
+
+
 def hit_rates(distances: DataFrame, capacities: list[int]) -> DataFrame:
     """(capacity, accesses, hits, hit_pct) of a cache that keeps the most recently used records."""
     sized = distances.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities])))

@@ -491,15 +491,19 @@ NEAR = "adj AS MATERIALIZED (SELECT src, list({'id': dst, 'v': v, 'label': label
 ASKED = f"asked AS (SELECT id AS qid, v AS qv, label AS ql, {ENTRY}::BIGINT AS entry FROM base WHERE id % 10 = 0)"
 
 
-def _oneshot_sql(name: str, width: int, dist: str = L2, own_k: int = 0, asked: str = "asked", rows: str = "base", adj: str = "adj") -> str:
+#: Longest list of a search by label.
+MOST = 128
+
+
+def _oneshot_sql(name: str, width: int, dist: str = L2, own_k: int = 0, asked: str = "asked", rows: str = "base", adj: str = "adj", own: str = "coalesce({0} = ql, FALSE)") -> str:
     """A recursive table ``name``_w (qid, qv, ql, cand, seen, n), one row per query and expansion, and ``name`` of the last ones; cand holds (d, id, done, own)."""
     kth = f"list_filter(list_transform(a, lambda c, i: CASE WHEN c.own THEN i END), lambda i: i IS NOT NULL)[{own_k}]"
-    keep = f"greatest({width}, coalesce({kth}, len(a)))" if own_k else str(width)
+    keep = f"greatest({width}, least({MOST}, coalesce({kth}, len(a))))" if own_k else str(width)
     at = "list_filter(cand, lambda c: NOT c.done)[1].id"
-    return f"""{name}_w AS (SELECT qid, qv, ql, [{{'d': {dist.format("qv", "v")}, 'id': entry, 'done': FALSE, 'own': coalesce(label = ql, FALSE)}}] AS cand, [entry] AS seen, 0::BIGINT AS n FROM {asked} JOIN {rows} ON id = entry
+    return f"""{name}_w AS (SELECT qid, qv, ql, [{{'d': {dist.format("qv", "v")}, 'id': entry, 'done': FALSE, 'own': {own.format('label', 'id')}}}] AS cand, [entry] AS seen, 0::BIGINT AS n FROM {asked} JOIN {rows} ON id = entry
 UNION ALL SELECT qid, qv, ql, list_slice(a, 1, {keep}), list_concat(seen, list_transform(fresh, lambda x: x.id)), n + 1 FROM (
   SELECT *, list_sort(list_concat(list_transform(cand, lambda c: {{'d': c.d, 'id': c.id, 'done': c.done OR c.id = node, 'own': c.own}}), fresh)) AS a FROM (
-    SELECT *, list_transform(list_filter(coalesce(near, []), lambda x: NOT list_contains(seen, x.id)), lambda x: {{'d': {dist.format("qv", "x.v")}, 'id': x.id, 'done': FALSE, 'own': coalesce(x.label = ql, FALSE)}}) AS fresh
+    SELECT *, list_transform(list_filter(coalesce(near, []), lambda x: NOT list_contains(seen, x.id)), lambda x: {{'d': {dist.format("qv", "x.v")}, 'id': x.id, 'done': FALSE, 'own': {own.format('x.label', 'x.id')}}}) AS fresh
     FROM (SELECT *, {at} AS node FROM {name}_w) LEFT JOIN {adj} ON src = node WHERE node IS NOT NULL))),
 {name} AS (SELECT * FROM {name}_w WHERE {at} IS NULL)"""
 
@@ -530,17 +534,35 @@ def oneshot_search_mips(spark, sf_dir):
     return rounded(oneshot(spark, sf_dir, metric="mips"), "dist")
 
 
-@query(f"{_SEARCH}, {_oneshot_sql('s', 40, own_k=K)}, o AS (SELECT * REPLACE (list_filter(cand, lambda c: c.own) AS cand) FROM s) SELECT qid, rank, id, round(dist, 6) AS dist, label FROM ({_found_sql('o')}) JOIN (SELECT id AS qid, label FROM base) USING (qid)")
-def label_filtered_search(spark, sf_dir):
-    """Graph search for the nearest rows with the query's label, tested as candidates are admitted."""
+def _labelled_sql(own: str, takes: str) -> str:
+    """Search by label, completed exactly for queries that found fewer than K; ``own`` and ``takes`` say which rows a query may take."""
+    return f"""{_SEARCH}, {_oneshot_sql('s', 40, own_k=K, own=own)}, o AS (SELECT * REPLACE (list_filter(cand, lambda c: c.own) AS cand) FROM s),
+x AS (SELECT qid, row_number() OVER w AS rank, b.id, {L2.format('qv', 'b.v')} AS dist FROM o JOIN base b ON {takes} WHERE len(cand) < {K} WINDOW w AS (PARTITION BY qid ORDER BY {L2.format('qv', 'b.v')}, b.id)),
+f AS (SELECT qid, rank, id, dist FROM ({_found_sql('o')}) WHERE qid IN (SELECT qid FROM o WHERE len(cand) >= {K}) UNION ALL SELECT qid, rank, id, dist FROM x WHERE rank <= {K})
+SELECT qid, rank::INT AS rank, id, round(dist, 6) AS dist, label FROM f JOIN (SELECT id AS qid, label FROM base) USING (qid)"""
+
+
+def label_search(spark, sf_dir, **how) -> DataFrame:
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
     labels = rows.select(F.col("id").alias("qid"), "label")
     asked = asked.join(labels, "qid")
-    found = S.labelled(asked, S.adjacency(graph(rows), rows, "label"), rows, ENTRY, 40, K)
+    found = S.labelled(asked, S.adjacency(graph(rows), rows, "label"), rows, ENTRY, 40, K, most=MOST, **how)
     return rounded(found.join(labels, "qid").select("qid", "rank", "id", "dist", "label"), "dist")
 
 
+@query(_labelled_sql("coalesce({0} = ql, FALSE)", "b.label = ql"))
+def label_filtered_search(spark, sf_dir):
+    """Graph search for the nearest rows with the query's label, tested as candidates are admitted."""
+    return label_search(spark, sf_dir)
+
+
+@query(_labelled_sql("coalesce(({0} = ql OR {0} = 7) AND {1} % 13 <> 0, FALSE)", "(b.label = ql OR b.label = 7) AND b.id % 13 <> 0"))
+def universal_label_search(spark, sf_dir):
+    """Search by label where rows of label 7 answer every query, and rows with ids divisible by 13 are dummies that are only walked."""
+    return label_search(spark, sf_dir, universal=7, dummy=lambda i: i % 13 == 0)
+
+
 _LADDER = f"{_SEARCH8}, gt AS ({knn_sql(K)}), " + ", ".join(_oneshot_sql(f"s{w}", w) for w in (10, 20, 40))
 _LADDER += ", f AS (" + " UNION ALL ".join(f"SELECT *, {w} AS width FROM ({_found_sql(f's{w}')})" for w in (10, 20, 40)) + ")"
 _LADDER += f", r AS (SELECT g.qid, width, (SELECT count(*) FROM f JOIN gt USING (qid, id) WHERE f.qid = g.qid AND f.width = g.width) / {K} AS recall FROM (SELECT DISTINCT qid, width FROM f) g)"
@@ -774,13 +796,15 @@ def target_miss_pinning(spark, sf_dir):
     return rounded(T.target_misses(trace(spark, sf_dir), [10, 25, 50, 75, 90]), "miss_pct")
 
 
-@query(f"""
-WITH RECURSIVE {BASE}, m AS (SELECT row_number() OVER (ORDER BY id) AS n, id AS qid, (id * 37 % 100) / 100.0 AS rate FROM base WHERE id % 10 = 0),
+@query(f"""WITH RECURSIVE {_TRACE.removeprefix("WITH ")}, {_WHOLE.format('', 'id')}, p AS (SELECT qid, avg(CASE WHEN before IS NOT NULL AND n < 128 THEN 0.0 ELSE 1.0 END) AS rate FROM d JOIN tr USING (seq) GROUP BY qid),
+m AS (SELECT row_number() OVER (ORDER BY qid) AS n, qid, rate FROM p),
 r AS (SELECT 0::BIGINT AS n, 0::BIGINT AS qid, 32 AS beam UNION ALL SELECT m.n, m.qid, CASE WHEN rate > 0.45 THEN greatest(4, beam // 2) WHEN rate < 0.25 THEN least(64, beam * 2) ELSE beam END FROM r JOIN m ON m.n = r.n + 1)
 SELECT qid, beam::INT AS beam FROM r WHERE n > 0""")
 def adaptive_beam_replay(spark, sf_dir):
-    """The beam after each query, from miss rates given by formula."""
-    rates = load(spark, sf_dir)[1].select("qid", (F.col("qid") * 37 % 100 / 100.0).alias("rate"))
+    """The beam after each query, from its share of misses in a cache of the 128 most recently used records."""
+    accesses = written(trace(spark, sf_dir), "trace")
+    missed = F.when(F.col("distance") < 128, 0.0).otherwise(1.0)
+    rates = T.whole_reuse_distances(accesses).join(accesses.select("qid", "seq"), "seq").groupBy("qid").agg(F.avg(missed).alias("rate"))
     return T.adaptive_beams(rates, "qid")
 
 
@@ -810,14 +834,19 @@ def page_utility_rank(spark, sf_dir):
     return pages.withColumn("rank", F.row_number().over(order)).where("rank <= 4").select("qid", "rank", "page", "utility")
 
 
-_MS = "CASE WHEN id % 5 = 0 THEN 80.0 + id % 7 WHEN id % 3 = 0 THEN 3.0 ELSE 0.5 END"
+#: Microseconds of an access by what answers it: the record's cache, its page, or the store.
+TIMES = {"record": 0.5, "page": 3.0, "store": 80.0}
+_US = f"CASE WHEN r.before IS NOT NULL AND r.n < 64 THEN {TIMES['record']} WHEN g.before IS NOT NULL AND g.n < 64 THEN {TIMES['page']} ELSE {TIMES['store']} END"
 
 
-@query(f"{_TRACE}, t AS (SELECT {_MS} AS us FROM tr), c AS (SELECT CASE WHEN us >= 20 THEN 'slow' WHEN us >= 2 THEN 'soft' ELSE 'hit' END AS path, us FROM t) SELECT path, count(*) AS n, round(sum(us), 6)::DOUBLE AS us, round(sum(us) * 100 / sum(sum(us)) OVER (), 6) AS share_pct FROM c GROUP BY path")
+@query(f"{_TRACE}, {_WHOLE.format('r', 'id')}, {_WHOLE.format('g', 'id // 4')}, t AS (SELECT {_US} AS us FROM dr r JOIN dg g USING (seq)), c AS (SELECT CASE WHEN us >= 20 THEN 'slow' WHEN us >= 2 THEN 'soft' ELSE 'hit' END AS path, us FROM t) SELECT path, count(*) AS n, round(sum(us), 6)::DOUBLE AS us, round(sum(us) * 100 / sum(sum(us)) OVER (), 6)::DOUBLE AS share_pct FROM c GROUP BY path")
 def path_breakdown(spark, sf_dir):
-    """Accesses and their time by path, told apart by latency at 2 and 20 microseconds; latencies are given by formula."""
-    us = F.when(F.col("id") % 5 == 0, F.lit(80.0) + F.col("id") % 7).when(F.col("id") % 3 == 0, F.lit(3.0)).otherwise(F.lit(0.5))
-    timed = trace(spark, sf_dir).select(us.alias("us")).withColumn("path", F.when(F.col("us") >= 20, "slow").when(F.col("us") >= 2, "soft").otherwise("hit"))
+    """Accesses and their time by path, told apart at 2 and 20 microseconds; an access takes as long as what holds it: the 64 records or the 64 pages used last, or the store."""
+    accesses = trace(spark, sf_dir)
+    records = T.whole_reuse_distances(accesses).select("seq", F.col("distance").alias("record"))
+    pages = T.whole_reuse_distances(accesses.withColumn("id", F.call_function("div", F.col("id"), F.lit(4)))).select("seq", F.col("distance").alias("page"))
+    us = F.when(F.col("record") < 64, TIMES["record"]).when(F.col("page") < 64, TIMES["page"]).otherwise(TIMES["store"])
+    timed = records.join(pages, "seq").select(us.alias("us")).withColumn("path", F.when(F.col("us") >= 20, "slow").when(F.col("us") >= 2, "soft").otherwise("hit"))
     sums = timed.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("us").alias("us"))
     return rounded(sums.withColumn("share_pct", F.col("us") * 100 / F.sum("us").over(Window.partitionBy())), "us", "share_pct")
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Intermediates that may be removed: (path, name of its table or None), oldest first.
-_KEPT: list[tuple[str, str | None]] = []
+#: Intermediates of the innermost ``scratch`` of this thread or task: (path, name of its table or None), oldest first.
+_KEPT: ContextVar[list[tuple[str, str | None]] | None] = ContextVar("kept", default=None)
+
+
+def _keep(path: str, label: str | None = None) -> None:
+    if (kept := _KEPT.get()) is not None:
+        kept.append((path, label))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _KEPT.append((path, None))
+    _keep(path)
     return path
 
 
@@ -58,7 +64,7 @@ def bucketed(df: DataFrame, key: str, name: str = "buckets") -> DataFrame:
     spark = df.sparkSession
     n, label = int(spark.conf.get("spark.sql.shuffle.partitions")), f"nearfield_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{label}"
-    _KEPT.append((path, label))
+    _keep(path, label)
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(label)
     return spark.table(label)
 
@@ -66,13 +72,14 @@ def bucketed(df: DataFrame, key: str, name: str = "buckets") -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove the intermediates that are written inside; what is computed from them must be written or collected by the end."""
-    before = len(_KEPT)
+    kept: list[tuple[str, str | None]] = []
+    outer = _KEPT.set(kept)
     try:
         yield
     finally:
-        for path, label in _KEPT[before:]:
+        _KEPT.reset(outer)
+        for path, label in kept:
             if label:
                 spark.sql(f"DROP TABLE IF EXISTS {label}")
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        del _KEPT[before:]
