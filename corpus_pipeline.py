@@ -7,13 +7,11 @@ result is written.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import mixing, near_dup, packing, quality, suffix_dedup
-from nearfield.llm.common import shared_dir, table, written
+from nearfield.llm.common import new_path, table, written
 from nearfield.llm.queries import vocabulary
 from nearfield.sources.tables import scratch
 
@@ -59,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over table documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")  # goes with the caller's scratch, not with a stage's
     for name, stage in STAGES:
         with scratch(spark):
             docs = written(stage(spark, docs, sf_dir), path=f"{folder}/{name.replace(' ', '-')}")
