@@ -79,12 +79,16 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude
 
     metric is 'l2' (squared), 'mips' (minus the inner product) or 'cosine' (minus the cosine). With
     ``match``, only rows with an equal value in that column, which both tables have, are compared; null
-    equals nothing. Vectors are only compared with vectors of their own length.
+    equals nothing. Vectors are only compared with vectors of their own length; a query of a length that no
+    row has is an error.
     """
     extra = [match] if match else []
     if match:
         base, queries = base.where(F.col(match).isNotNull()), queries.where(F.col(match).isNotNull())
-    n, m = base.count(), queries.count()
+    sizes = [{r["d"]: r["count"] for r in side.groupBy(F.size(c).alias("d")).count().collect()} for side, c in ((base, "vec"), (queries, "qvec"))]  # a row a length
+    if sizes[0] and set(sizes[1]) - set(sizes[0]):
+        raise ValueError("queries and base have vectors of different length")
+    n, m = (sum(x.values()) for x in sizes)
     blocks, columns = 1 + n // BASE_ROWS, 1 + m // QUERY_ROWS
     deal = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))

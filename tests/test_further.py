@@ -80,10 +80,13 @@ def test_near_graph_rounds_find_what_cells_miss(spark):
 
 def test_knn_by_label_and_length(spark):
     base = spark.createDataFrame([(1, [0.0, 0.0], 1), (2, [1.0, 0.0], None), (3, [2.0, 0.0], 1), (4, [1.0], 1)], "id long, vec array<double>, label int")
-    asked = spark.createDataFrame([(10, [0.0, 0.0], 1), (11, [0.0, 0.0], None), (12, [5.0], 1), (13, [1.0, 2.0, 3.0], 1)], "qid long, qvec array<double>, label int")
+    asked = spark.createDataFrame([(10, [0.0, 0.0], 1), (11, [0.0, 0.0], None), (12, [5.0], 1)], "qid long, qvec array<double>, label int")
     pairs = lambda df: sorted((r.qid, r.id) for r in df.collect())
     assert pairs(knn(base, asked, 5, match="label")) == [(10, 1), (10, 3), (12, 4)]
     assert pairs(knn(base, asked, 5)) == [(q, i) for q in (10, 11) for i in (1, 2, 3)] + [(12, 4)]
+    with pytest.raises(ValueError, match="different length"):
+        knn(base, asked.selectExpr("qid", "concat(qvec, qvec, qvec) AS qvec"), 5)
+    assert knn(base.where("false"), asked, 5).count() == 0
 
 
 @pytest.mark.parametrize("most", [8, 400])
