@@ -17,7 +17,7 @@ from bisect import insort
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mips_score, squared_l2
@@ -31,6 +31,29 @@ STEPS_A_WRITE = 8
 AHEAD = 32
 
 
+class Counters:
+    """What a hop-limited search does, observed as its supersteps are written; no second pass over its trace.
+
+    A superstep is observed in the stage that writes it, where Spark counts a task's figures once, when it has succeeded.
+    """
+
+    NAMES = ("queries", "expanded", "distances", "fetches")
+
+    def __init__(self) -> None:
+        self.seen: list[Observation] = []
+
+    def watch(self, df: DataFrame, ends: Column) -> DataFrame:
+        """``df``, a superstep's queries, with its fetches counted, and the hops and distances of those that end with it."""
+        self.seen.append(Observation())
+        over = lambda c: F.sum(F.when(ends, c).otherwise(F.lit(0))).cast("long")
+        return df.observe(self.seen[-1], over(F.lit(1)).alias("queries"), over(F.col("hop")).alias("expanded"), over(F.size("seen")).alias("distances"), F.sum(F.size("steps")).cast("long").alias("fetches"))
+
+    def totals(self) -> dict[str, int]:
+        """Sums over the supersteps written so far; every query that was asked has ended."""
+        found = [o.get for o in self.seen]
+        return {name: sum(f.get(name) or 0 for f in found) for name in self.NAMES}
+
+
 def adjacency(edges: DataFrame, base: DataFrame, *also: str) -> DataFrame:
     """(src, near): each node's neighbours in order with their vectors and columns ``also``; neighbours without a vector are left out.
 
@@ -200,17 +223,18 @@ def _advanced(best: list, front: list, seen: list, hop: int, got: dict, beam: in
     return best, front, seen, hop, steps
 
 
-def best_first(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, beam: int, hops: int, k: int) -> tuple[DataFrame, DataFrame]:
+def best_first(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, beam: int, hops: int, k: int, counters: Counters | None = None) -> tuple[DataFrame, DataFrame]:
     """Hop-limited best-first search with an unbounded frontier and a result set of ``beam``; squared L2.
 
     Every neighbour is fetched at each expansion, seen or not; a neighbour rejected once isn't considered
     again. Returns results (qid, rank, id, dist) and trace (qid, hop, src, pos, id): the fetches in order.
 
     A superstep looks up the AHEAD closest nodes of each frontier and expands, one hop after the other, as
-    long as the next is among them; so the hops are those of a search that looks up one at a time.
+    long as the next is among them; so the hops are those of a search that looks up one at a time. ``counters``
+    gather what the supersteps do while they run.
     """
     runs = queries.select("qid", "qvec", F.lit(beam).alias("beam"), F.lit(hops).alias("hops"))
-    return _best_first(runs, adj, base, entry, k)
+    return _best_first(runs, adj, base, entry, k, counters)
 
 
 def best_first_sweep(queries: DataFrame, adj: DataFrame, base: DataFrame, entry: int, limits: list[tuple[int, int]], k: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -224,12 +248,14 @@ def best_first_sweep(queries: DataFrame, adj: DataFrame, base: DataFrame, entry:
     return back(found), back(trace)
 
 
-def _best_first(runs: DataFrame, adj: DataFrame, base: DataFrame, entry: int, k: int) -> tuple[DataFrame, DataFrame]:
+def _best_first(runs: DataFrame, adj: DataFrame, base: DataFrame, entry: int, k: int, counters: Counters | None = None) -> tuple[DataFrame, DataFrame]:
     pair = "array<struct<dist:double,id:bigint>>"
     schema = f"qid bigint, qvec array<float>, beam int, hops int, hop int, best {pair}, front {pair}, seen array<bigint>, steps array<struct<hop:int,src:bigint,pos:int,id:bigint>>"
     start = _start(runs, base, entry, "l2").select("qid", "qvec", F.transform("cand", lambda c: F.struct(c["dist"].alias("dist"), c["id"].alias("id"))).alias("best"), "seen")
     state = start.join(runs.select("qid", "beam", "hops"), "qid").select("qid", "qvec", "beam", "hops", F.lit(0).alias("hop"), "best", F.col("best").alias("front"), "seen", F.array().cast("array<struct<hop:int,src:bigint,pos:int,id:bigint>>").alias("steps"))
-    state = written(state, "search")
+    more = (F.size("front") > 0) & (F.col("hop") < F.col("hops"))
+    counted = (lambda df: counters.watch(df, ~more)) if counters else (lambda df: df)
+    state = written(counted(state), "search")
     names = state.columns
 
     def advance(batches):
@@ -248,7 +274,6 @@ def _best_first(runs: DataFrame, adj: DataFrame, base: DataFrame, entry: int, k:
             yield pa.RecordBatch.from_pylist(out, pa.schema([types.field(c) for c in names]))
 
     parts, ended = [], []
-    more = (F.size("front") > 0) & (F.col("hop") < F.col("hops"))
     while True:
         ended.append(state.where(~more))
         state = state.where(more)
@@ -258,7 +283,7 @@ def _best_first(runs: DataFrame, adj: DataFrame, base: DataFrame, entry: int, k:
         near = F.transform("near", lambda x: F.struct(x["pos"].alias("pos"), x["id"].alias("id"), squared_l2(F.col("qvec"), x["vec"]).alias("dist")))
         near_by = adj if parts else F.broadcast(adj.where(F.col("src") == entry))  # all ask for the entry first: one row
         got = asked.join(near_by, "src").groupBy("qid").agg(F.collect_list(F.struct("src", near.alias("near"))).alias("got"))
-        state = written(state.join(got, "qid", "left").mapInArrow(advance, schema), "search")
+        state = written(counted(state.join(got, "qid", "left").mapInArrow(advance, schema)), "search")
         parts.append(state)
     end = ended[0]
     for part in ended[1:]:

@@ -12,8 +12,9 @@ from ..operators import search as S
 from ..operators import traces as T
 from ..operators.exact import knn
 from ..operators.near_graph import near_graph
+from ..operators.pruned import knn_pruned
 from ..sources.tables import base, written
-from .catalog import _SEARCH8, _TWO_HOP, ASKED, BASE, DEGREE, DIGITS, ENTRY, K, L2, _found_sql, _hops_sql, _oneshot_sql, graph, graph_sql, knn_sql, load, query, rounded
+from .catalog import _HOPS, _SEARCH8, _SWEEP_RECALL, _TWO_HOP, ASKED, BASE, BEAMS, DEGREE, DIGITS, ENTRY, HOPS, K, L2, ORACLES, _found_sql, _hops_sql, _oneshot_sql, graph, graph_sql, knn_sql, load, query, rounded
 
 WIDTH = 32
 LEVEL = 64
@@ -145,3 +146,58 @@ def promote_per_step(spark, sf_dir):
 
     scored = steps.join(rows.select("id", "vec"), "id").join(asked, "qid").select(*steps.columns, squared_l2(F.col("qvec"), F.col("vec")).alias("dist"))
     return T.promoted_per_step(written(scored, "scored"), edges, ENTRY, TOPS)
+
+
+# --- exact search that skips what bounds exclude
+
+
+@query(ORACLES["exact_knn_l2"])
+def exact_knn_l2_pruned(spark, sf_dir):
+    return rounded(knn_pruned(*load(spark, sf_dir), K)[0], "dist")
+
+
+@query(ORACLES["exact_knn_mips"])
+def exact_knn_mips_pruned(spark, sf_dir):
+    return rounded(knn_pruned(*load(spark, sf_dir), K, "mips")[0], "dist")
+
+
+# --- what a run did, and sweeps by how queries are drawn
+
+
+@query(f"{_HOPS} SELECT (SELECT count(*) FROM s) AS queries, (SELECT sum(hop)::BIGINT FROM s) AS expanded, (SELECT sum(len(seen))::BIGINT FROM s) AS distances, (SELECT count(*) FROM tr) AS fetches, (SELECT count(*) * max(len(v)) * 4 FROM tr, base WHERE base.id = tr.id)::BIGINT AS bytes")
+def search_run_metrics(spark, sf_dir):
+    """One row of a hop-limited run: queries, expansions, distances, fetches and their bytes, counted while it runs."""
+    rows, asked = load(spark, sf_dir)
+    rows, counters = written(rows, "rows"), S.Counters()
+    S.best_first(asked, S.adjacency(graph(rows, 8), rows), rows, ENTRY, 16, HOPS, K, counters)
+    totals = counters.totals()
+    width = rows.agg(F.max(F.size("vec")).cast("long").alias("dim"))
+    return width.select(*[F.lit(v).cast("long").alias(c) for c, v in totals.items()], (F.lit(totals["fetches"]).cast("long") * F.col("dim") * 4).alias("bytes"))
+
+
+#: The nth query, by a count of ten ids, is asked n_queries // (4 * n) times: as often as its rank goes into a quarter of all.
+_DRAWS = "m AS (SELECT count(*) AS m FROM asked), draws AS (SELECT 'uniform' AS dist, qid, 1::BIGINT AS times FROM asked UNION ALL SELECT 'skewed', qid, m // (4 * (qid // 10 + 1)) FROM asked, m WHERE m // (4 * (qid // 10 + 1)) > 0)"
+
+
+@query(f"""{_SEARCH8}, {_hops_sql('s', BEAMS)}, {_SWEEP_RECALL}, {_DRAWS}, tr AS (SELECT beam, qid, dst AS id FROM s_w JOIN edges ON src = node UNION ALL SELECT beam, qid, {ENTRY} FROM s),
+c AS (SELECT dist, beam, sum(times)::BIGINT AS fetches, count(DISTINCT id) AS misses FROM tr JOIN draws USING (qid) GROUP BY ALL), a AS (SELECT dist, beam, sum(times)::BIGINT AS n_queries, sum(recall * times) / sum(times) AS recall FROM r JOIN draws USING (qid) GROUP BY ALL)
+SELECT dist, beam::INT AS beam, n_queries, round(recall, 6) AS recall, fetches, misses, round((fetches - misses) * 100.0 / fetches, 6) AS hit_pct FROM a JOIN c USING (dist, beam)""")
+def beam_sweep_by_draw(spark, sf_dir):
+    """Recall, fetches and first touches of hop-limited search by beam, where each query is asked once, and where few are asked often.
+
+    A query asked again takes the same steps, so each is searched once and counts as often as it is asked. Every
+    record stays held after its first touch.
+    """
+    rows, asked = load(spark, sf_dir)
+    rows = written(rows, "rows")
+    adj, truth = S.adjacency(graph(rows, 8), rows), written(knn(rows, asked, K), "truth")
+    results, reads = S.best_first_sweep(asked, adj, rows, ENTRY, BEAMS, K, "beam")
+    per = M.recall(written(results, "sweep"), truth, K, "beam")
+    m = asked.agg(F.count(F.lit(1)).alias("m"))
+    often = F.floor(F.col("m") / (4 * (F.floor(F.col("qid") / 10) + 1)))
+    skewed = asked.select("qid").crossJoin(F.broadcast(m)).select(F.lit("skewed").alias("dist"), "qid", often.alias("times")).where("times > 0")  # m is one row
+    draws = asked.select(F.lit("uniform").alias("dist"), "qid", F.lit(1).cast("long").alias("times")).unionByName(skewed)
+    touched = reads.select("beam", "qid", "id").unionByName(per.select("beam", "qid", F.lit(ENTRY).cast("long").alias("id")))
+    cost = touched.join(draws, "qid").groupBy("dist", "beam", "id").agg(F.sum("times").alias("times")).groupBy("dist", "beam").agg(F.sum("times").alias("fetches"), F.count(F.lit(1)).alias("misses"))
+    found = per.join(draws, "qid").groupBy("dist", "beam").agg(F.sum("times").alias("n_queries"), F.round(F.sum(F.col("recall") * F.col("times")) / F.sum("times"), DIGITS).alias("recall"))
+    return found.join(cost, ["dist", "beam"]).select("dist", "beam", "n_queries", "recall", "fetches", "misses", F.round((F.col("fetches") - F.col("misses")) * 100.0 / F.col("fetches"), DIGITS).alias("hit_pct"))
