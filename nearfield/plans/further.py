@@ -8,6 +8,7 @@ from ..functions.pages import page_span
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import navigable as N
+from ..operators import parted as P
 from ..operators import search as S
 from ..operators import traces as T
 from ..operators.exact import knn
@@ -201,3 +202,12 @@ def beam_sweep_by_draw(spark, sf_dir):
     cost = touched.join(draws, "qid").groupBy("dist", "beam", "id").agg(F.sum("times").alias("times")).groupBy("dist", "beam").agg(F.sum("times").alias("fetches"), F.count(F.lit(1)).alias("misses"))
     found = per.join(draws, "qid").groupBy("dist", "beam").agg(F.sum("times").alias("n_queries"), F.round(F.sum(F.col("recall") * F.col("times")) / F.sum("times"), DIGITS).alias("recall"))
     return found.join(cost, ["dist", "beam"]).select("dist", "beam", "n_queries", "recall", "fetches", "misses", F.round((F.col("fetches") - F.col("misses")) * 100.0 / F.col("fetches"), DIGITS).alias("hit_pct"))
+
+
+@query(ORACLES["oneshot_search"])
+def partitioned_search(spark, sf_dir):
+    """One-shot search over a graph in parts: vectors once, walks inside parts, whole parts read by range."""
+    rows, asked = load(spark, sf_dir)
+    rows = written(rows, "rows")
+    parts = P.in_parts(rows, graph(rows))
+    return rounded(P.greedy_in_parts(asked, parts, ENTRY, 20, K).drop("trips"), "dist")
