@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.tables import new_path, written
@@ -30,6 +30,7 @@ from ..sources.vector_files import _fs, register
 from .exact import _exact, matrix
 from .near_graph import _coded
 from .ordering import numbered
+from .search import reranked
 
 PART_ROWS = 1024
 FILE_ROWS = 1 << 16
@@ -37,6 +38,8 @@ FILE_ROWS = 1 << 16
 BLOCK = 256
 #: Open candidates whose neighbours are asked for at once, and rows that a walk inside a part expands.
 AHEAD = 12
+#: Pages that one read of a batch may span.
+RUN_PAGES = 64
 
 CAND, KNOWN = "array<struct<dist:double,id:bigint,num:bigint,done:boolean>>", "array<struct<num:bigint,id:bigint,dist:double,nbrs:array<bigint>>>"
 FOUND = "qid bigint, num bigint, id bigint, dist double, nbrs array<bigint>, block bigint"
@@ -236,3 +239,54 @@ def greedy_in_parts(queries: DataFrame, parts: Parts, entry: int, width: int, k:
         state = state.unionByName(part)
     top = state.select("qid", F.posexplode(F.slice("cand", 1, k)).alias("rank", "c"), F.size("seen").cast("long").alias("n_dist"), "n_expand", "trips")
     return top.select("qid", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("id"), F.col("c.dist").alias("dist"), "n_dist", "n_expand", "trips")
+
+
+def in_order(rows: DataFrame) -> RawRows:
+    """Vectors of ``rows`` (num, vec) written as raw rows; ``num`` counts from 0 without gaps."""
+    register(rows.sparkSession)
+    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    path, files = new_path(rows.sparkSession, "vectors"), 1 + shape["n"] // FILE_ROWS
+    moved = rows.repartitionByRange(files, "num").sortWithinPartitions("num")
+    moved.select(F.col("num").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).write.format("raw_f32").mode("append").save(path)
+    return RawRows.of(path, "<f4", shape["dim"] or 1)
+
+
+def fetched(asked: DataFrame, vectors: RawRows, page_rows: int, reads: Observation | None = None) -> DataFrame:
+    """(num, vec) of each different number in ``asked`` (num), every page of ``page_rows`` rows read once, whoever asks for it.
+
+    Pages are dealt in runs, so that neighbouring ones are one read; ``reads`` observes pages and records. Null numbers and
+    numbers beyond the table are left out.
+    """
+    last = vectors.starts[-1]
+
+    def read(run):
+        import pyarrow as pa
+
+        nums = np.sort(run.column("num").to_numpy())
+        pages = np.unique(nums // page_rows)
+        out = {"page": [], "rows": []}
+        for near in np.split(pages, np.flatnonzero(np.diff(pages) > 1) + 1):
+            first = int(near[0]) * page_rows
+            held = vectors.read(first, len(near) * page_rows)
+            for page in near.tolist():
+                own = nums[nums // page_rows == page]
+                out["page"].append(page)
+                out["rows"].append([{"num": n, "vec": held[n - first]} for n in own.tolist()])
+        return pa.table([pa.array(out["page"], pa.int64()), pa.array(out["rows"], pa.list_(pa.struct([("num", pa.int64()), ("vec", pa.list_(pa.float32()))])))], ["page", "rows"])
+
+    runs = asked.where((F.col("num") >= 0) & (F.col("num") < last)).select(F.col("num").cast("long").alias("num")).distinct()
+    runs = runs.withColumn("run", F.floor(F.col("num") / (page_rows * RUN_PAGES)))
+    pages = runs.groupBy("run").applyInArrow(read, "page long, rows array<struct<num:bigint,vec:array<float>>>")
+    if reads is not None:
+        pages = pages.observe(reads, F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(F.size("rows")), F.lit(0)).cast("long").alias("records"))
+    return pages.select(F.inline("rows"))
+
+
+def reranked_by_pages(found: DataFrame, queries: DataFrame, vectors: RawRows, numbers: DataFrame, page_rows: int, k: int) -> tuple[DataFrame, dict[str, int]]:
+    """(qid, rank, id, dist) of candidates ``found`` (qid, id) by squared L2 on vectors read by page, and the pages and records read.
+
+    ``numbers`` holds (id, num). All queries' candidates are fetched together, so that a page is read once.
+    """
+    asked, reads = written(found.select("qid", "id").join(numbers, "id"), "asked"), Observation()
+    vecs = written(fetched(asked, vectors, page_rows, reads), "fetched")
+    return reranked(asked.select("qid", "id"), numbers.join(vecs, "num").select("id", "vec"), queries, k), {n: reads.get.get(n) or 0 for n in ("pages", "records")}

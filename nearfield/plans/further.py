@@ -15,7 +15,7 @@ from ..operators.exact import knn
 from ..operators.near_graph import near_graph
 from ..operators.pruned import knn_pruned
 from ..sources.tables import base, written
-from .catalog import _HOPS, _SEARCH8, _SWEEP_RECALL, _TWO_HOP, ASKED, BASE, BEAMS, DEGREE, DIGITS, ENTRY, HOPS, K, L2, ORACLES, _found_sql, _hops_sql, _oneshot_sql, graph, graph_sql, knn_sql, load, query, rounded
+from .catalog import _CODED, _HOPS, _SEARCH8, _SWEEP_RECALL, _TWO_HOP, _found_sql, _hops_sql, _oneshot_sql, ASKED, BASE, BEAMS, CODE_D, DEGREE, DIGITS, ENTRY, HOPS, K, L2, ORACLES, by_norm_order, coded, graph, graph_sql, knn_sql, load, query, rounded
 
 WIDTH = 32
 LEVEL = 64
@@ -211,3 +211,37 @@ def partitioned_search(spark, sf_dir):
     rows = written(rows, "rows")
     parts = P.in_parts(rows, graph(rows))
     return rounded(P.greedy_in_parts(asked, parts, ENTRY, 20, K).drop("trips"), "dist")
+
+
+PAGE_ROWS = 16
+
+
+def by_pages(spark, sf_dir):
+    """Candidates (qid, id) of a walk by codes, their rerank on vectors read by page in a given order, what was read, and the map (id, num)."""
+    rows, asked = load(spark, sf_dir)
+    rows = written(rows, "rows")
+    codes = written(coded(rows).select("id", F.col("code").cast("array<float>").alias("vec")), "codes")
+    of = asked.select("qid").join(codes, F.col("qid") == F.col("id")).select("qid", F.col("vec").alias("qvec"))
+    found = written(S.greedy(of, S.adjacency(graph(rows), codes), codes, ENTRY, 40, 40).select("qid", "id"), "found")
+    numbers = by_norm_order(rows).select(F.col("old_id").alias("id"), F.col("new_id").alias("num"))
+    vectors = P.in_order(rows.join(numbers, "id"))
+    return found, *P.reranked_by_pages(found, asked, vectors, numbers, PAGE_ROWS, K), numbers
+
+
+@query(ORACLES["oneshot_search_coded"])
+def paged_rerank(spark, sf_dir):
+    """Search by codes whose candidates' vectors are read from pages, each page once for all queries."""
+    return rounded(by_pages(spark, sf_dir)[1], "dist")
+
+
+_PAGED = f"{_CODED}, {_oneshot_sql('s', 40, CODE_D, asked='casked', rows='crows', adj='cadj')}, im AS (SELECT id, row_number() OVER (ORDER BY -(id * 7919 % 10007), id) - 1 AS num FROM base), c AS (SELECT qid, id, num // {PAGE_ROWS} AS page FROM ({_found_sql('s', 40)}) JOIN im USING (id))"
+
+
+@query(f"{_PAGED} SELECT count(DISTINCT qid) AS n_queries, count(*) AS candidates, count(DISTINCT id) AS records, count(DISTINCT page) AS pages, (SELECT count(*) FROM (SELECT DISTINCT qid, page FROM c)) AS pages_apart FROM c")
+def paged_rerank_reads(spark, sf_dir):
+    """Records and pages that the batched rerank reads, counted while it reads, and the pages that its queries would read one by one."""
+    found, _, reads, numbers = by_pages(spark, sf_dir)
+    apart = found.join(numbers, "id").select("qid", F.floor(F.col("num") / PAGE_ROWS).alias("page")).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page").alias("p"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    seen = [F.lit(reads[name]).cast("long").alias(name) for name in ("records", "pages")]
+    return apart.agg(F.count(F.lit(1)).alias("n_queries"), total("n", "candidates"), total("p", "pages_apart")).select("n_queries", "candidates", *seen, "pages_apart")

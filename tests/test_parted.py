@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nearfield.operators import graph as G
@@ -64,3 +65,36 @@ def test_no_entry_no_queries_no_rows_and_no_edges(spark, table):
         P.in_parts(rows.limit(0), G.knn_graph(rows, 3))
     with pytest.raises(ValueError, match="one length"):
         P.in_parts(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, vec array<float>"), G.knn_graph(rows, 3))
+
+
+def in_some_order():
+    return (F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")) - 1).cast("long").alias("num")
+
+
+@pytest.mark.parametrize("page_rows", [1, 7, 1000])
+def test_a_page_is_read_once_for_all_who_ask(spark, table, page_rows, monkeypatch):
+    from pyspark.sql import Observation
+
+    monkeypatch.setattr(P, "FILE_ROWS", 150)
+    monkeypatch.setattr(P, "RUN_PAGES", 3)
+    rows, _ = table
+    numbers = rows.select("id", in_some_order())
+    moved = rows.join(numbers, "id")
+    vectors, reads = P.in_order(moved), Observation()
+    nums = [5, 5, 6, 13, 14, 599, 300, 301, 5, None, -1, 600, 10**12]
+    got = {r.num: r.vec for r in P.fetched(spark.createDataFrame([(n,) for n in nums], "num long"), vectors, page_rows, reads).collect()}
+    wanted = {n for n in nums if n is not None and 0 <= n < 600}
+    want = {r.num: r.vec for r in moved.where(F.col("num").isin(*wanted)).collect()}
+    assert got == want and reads.get == {"pages": len({n // page_rows for n in wanted}), "records": len(wanted)}
+    assert not P.fetched(spark.createDataFrame([], "num long"), vectors, page_rows).collect()
+
+
+def test_rerank_by_pages_is_the_rerank(table):
+    rows, asked = table
+    numbers = rows.select("id", in_some_order())
+    found = asked.join(rows.select("id"), F.pmod(F.xxhash64("qid", "id"), F.lit(13)) == 0).select("qid", "id")
+    got, reads = P.reranked_by_pages(found, asked, P.in_order(rows.join(numbers, "id")), numbers, 16, 5)
+    plain = lambda df: sorted((r.qid, r.rank, r.id, r.dist) for r in df.collect())
+    assert plain(got) == plain(S.reranked(found, rows, asked, 5))
+    assert reads["records"] == found.select("id").distinct().count() and reads["pages"] <= 38
+    assert not P.reranked_by_pages(found.limit(0), asked, P.in_order(rows.join(numbers, "id")), numbers, 16, 5)[0].collect()
