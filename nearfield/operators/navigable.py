@@ -9,17 +9,21 @@ Candidates travel once a pass with their vectors, at most 2 * ``width`` a node,
 pair of rows is compared that doesn't share a candidate list.
 
 A search is better entered near its query. ``entries`` finds the nearest row of a hashed level, whose size
-is bounded whatever the table's, by exact search, so that walks start within the right region.
+is bounded whatever the table's, by exact search, so that walks start within the right region. ``descended`` goes on
+from there through a hierarchy of hashed layers, where the rows between are too many to start from one of a bounded level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
 from .exact import knn, matrix, paired
+from .search import adjacency, greedy
 
 BLOCK_NODES = 256
 ALPHA = 1.2
@@ -93,3 +97,25 @@ def entries(rows: DataFrame, queries: DataFrame, most: int = 1024) -> DataFrame:
     """``queries`` (qid, qvec) with entry: the nearest row of the hashed level."""
     top = written(level(rows.select("id", "vec"), most), "level")
     return queries.join(knn(top, queries, 1).select("qid", F.col("id").alias("entry")), "qid")
+
+
+def descended(rows: DataFrame, queries: DataFrame, build: Callable[[DataFrame], DataFrame], most: int = 1024, ratio: int = 16, width: int = 4, layers: int | None = None) -> DataFrame:
+    """``queries`` (qid, qvec) with entry, and n_expand of the way there: searched layer by layer, each about ``ratio`` times as large.
+
+    The top layer is the ``most`` rows of least hash, of which the nearest is found exactly. A layer holds all rows up to a
+    limit of the hash, so the layers above it too; ``build`` makes its graph (src, pos, dst), and one-shot search with a list of
+    ``width`` goes on from the row found above. There are ``layers`` below the top, or as many as are smaller than the table.
+    No rows, or no queries, give no rows.
+    """
+    rows, key = rows.select("id", "vec"), F.pmod(F.pmod("id", F.lit(MODULUS)) * MULTIPLIER, F.lit(MODULUS))
+    n, top = rows.count(), written(rows.orderBy(key, "id").limit(most), "layer")
+    found = knn(top, queries, 1).select("qid", F.col("id").alias("entry"), F.lit(0).cast("long").alias("n_expand"))
+    least, size, depth = (top.agg(F.max(key)).first()[0] or 0) + 1, most * ratio, 0
+    while n and (size < n if layers is None else depth < layers):
+        layer = written(rows.where(key < max(least, MODULUS * size // n)), "layer")
+        came = written(found, "entries")
+        at = greedy(queries.join(came.select("qid", "entry"), "qid"), adjacency(build(layer), layer), layer, None, width, 1)
+        on = at.select("qid", F.col("id").alias("to"), F.col("n_expand").alias("more"))
+        found = came.join(on, "qid").select("qid", F.col("to").alias("entry"), (F.col("n_expand") + F.col("more")).alias("n_expand"))
+        size, depth = size * ratio, depth + 1
+    return queries.join(found, "qid")

@@ -79,6 +79,35 @@ def navigable_entries(spark, sf_dir):
     return out
 
 
+TOP, RATIO, LAYERS = 16, 4, 2
+
+
+def _layers_sql() -> str:
+    """Tables layer0 (the top) to layer2, the descent through each but the top, d1 and d2, and e2 (.., entry) of the last one's rows."""
+    near = L2.format("a.v", "b.v")
+    sql = f"keyed AS (SELECT id, v, label, ((id % {N.MODULUS}) * {N.MULTIPLIER}) % {N.MODULUS} AS key FROM base), layer0 AS MATERIALIZED (SELECT * FROM keyed ORDER BY key, id LIMIT {TOP})"
+    sql += f", e0 AS (SELECT q.id AS qid, q.v AS qv, q.label AS ql, t.id AS entry FROM base q, layer0 t WHERE q.id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY {L2.format('q.v', 't.v')}, t.id) = 1)"
+    for i in range(1, LAYERS + 1):
+        sql += f", layer{i} AS MATERIALIZED (SELECT * FROM keyed WHERE key < greatest((SELECT max(key) + 1 FROM layer0), {N.MODULUS * TOP * RATIO**i} // (SELECT count(*) FROM base)))"
+        sql += f", le{i} AS (SELECT a.id AS src, row_number() OVER w AS pos, b.id AS dst FROM layer{i} a JOIN layer{i} b ON a.id <> b.id WINDOW w AS (PARTITION BY a.id ORDER BY {near}, b.id) QUALIFY row_number() OVER w <= 8)"
+        sql += f", la{i} AS MATERIALIZED (SELECT src, list({{'id': dst, 'v': v, 'label': label}} ORDER BY pos) AS near FROM le{i} JOIN layer{i} ON dst = id GROUP BY src)"
+        sql += f", {_oneshot_sql(f'd{i}', 4, asked=f'e{i - 1}', rows=f'layer{i}', adj=f'la{i}')}, e{i} AS (SELECT qid, qv, ql, cand[1].id AS entry FROM d{i})"
+    return sql
+
+
+_LAYERED = f"{_NAV}, adj AS MATERIALIZED (SELECT src, list({{'id': dst, 'v': v, 'label': label}} ORDER BY pos) AS near FROM nav JOIN base ON dst = id GROUP BY src), {_layers_sql()}, {_oneshot_sql('s', 20, asked=f'e{LAYERS}')}"
+
+
+@query(f"{_LAYERED} SELECT f.qid, rank, id, round(dist, 6) AS dist, n_dist, n_expand, {' + '.join(f'd{i}.n' for i in range(1, LAYERS + 1))} AS n_descent FROM ({_found_sql('s')}) f {' '.join(f'JOIN d{i} ON d{i}.qid = f.qid' for i in range(1, LAYERS + 1))}")
+def layered_search(spark, sf_dir):
+    """One-shot search over the navigable graph, entered where a descent through hashed layers ends; with the descent's expansions."""
+    rows, asked = load(spark, sf_dir)
+    rows = written(rows, "rows")
+    entered = written(N.descended(rows, asked, lambda layer: graph(layer, 8), TOP, RATIO, layers=LAYERS), "entered")
+    found = S.greedy(entered.drop("n_expand"), S.adjacency(navigable_graph(rows), rows), rows, None, 20, K)
+    return rounded(found.join(entered.select("qid", F.col("n_expand").alias("n_descent")), "qid"), "dist")
+
+
 @query(f"WITH {BASE} SELECT count(*) FILTER (id % 20 = 0) AS n_nodes, TRUE AS reached FROM base")
 def approx_graph_recall(spark, sf_dir):
     """Whether the approximate graph holds 0.9 of the exact neighbours of every 20th row, all rows searched."""

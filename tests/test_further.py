@@ -185,3 +185,34 @@ def test_scratches_of_threads_and_inner_scratches_keep_apart(spark):
         thread.start()
         thread.join()
     assert not Path(outer.removeprefix("file://")).exists() and list(folder.glob("elsewhere-*"))
+
+
+def test_descent_through_layers(spark, cloud):
+    """Every layer holds those above it, and the way down is that of a plain greedy search in each."""
+    rows, vecs = cloud
+    rows, ids = rows.select("id", "vec"), range(len(vecs))
+    asked = rows.where("id % 40 = 3").selectExpr("id AS qid", "vec AS qvec")
+    key = {i: i * N.MULTIPLIER % N.MODULUS for i in ids}
+    made = []
+
+    def build(layer):
+        made.append(sorted(r.id for r in layer.collect()))
+        return G.knn_graph(layer, 5)
+
+    got = {r.qid: (r.entry, r.n_expand) for r in N.descended(rows, asked, build, most=10, ratio=5, width=3).collect()}
+    top = sorted(ids, key=lambda i: (key[i], i))[:10]
+    assert len(made) == 2 and set(top) <= set(made[0]) <= set(made[1]) < set(ids)  # 50, then 250 rows
+    far = lambda q, i: ((vecs[i] - vecs[q]) ** 2).sum()
+    for q in range(3, 400, 40):
+        at, hops = min(top, key=lambda i: (far(q, i), i)), 0
+        for layer in made:
+            near = {i: sorted((x for x in layer if x != i), key=lambda x: (far(i, x), x))[:5] for i in layer}
+            best, seen, done = [(far(q, at), at)], {at}, set()
+            while todo := [i for _, i in best if i not in done]:
+                done.add(todo[0])
+                hops += 1
+                best = sorted(best + [(far(q, x), x) for x in near[todo[0]] if x not in seen])[:3]
+                seen |= set(near[todo[0]])
+            at = best[0][1]
+        assert got[q] == (at, hops)
+    assert N.descended(rows.limit(0), asked, build).count() == 0 and N.descended(rows, asked.limit(0), build, 10, 5).count() == 0
