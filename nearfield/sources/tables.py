@@ -69,6 +69,13 @@ def bucketed(df: DataFrame, key: str, name: str = "buckets") -> DataFrame:
     return spark.table(label)
 
 
+def bounded_batches(spark: SparkSession, rows: int) -> None:
+    """Hand wide rows to Python ``rows`` at a time at most; a setting of the session, read when a plan runs, so it stays set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove the intermediates that are written inside; what is computed from them must be written or collected by the end."""
