@@ -575,11 +575,7 @@ def oneshot_recall_ladder(spark, sf_dir):
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
     adj, truth = S.adjacency(graph(rows, 8), rows), written(knn(rows, asked, K), "truth")
-    steps = None
-    for width in (10, 20, 40):
-        found = S.greedy(asked, adj, rows, ENTRY, width, K).withColumn("width", F.lit(width))
-        steps = found if steps is None else steps.unionByName(found)
-    steps = written(steps, "ladder")
+    steps = written(S.greedy_sweep(asked, adj, rows, ENTRY, [10, 20, 40], K, "width"), "ladder")
     cost = steps.groupBy("width").agg(F.round(F.avg("n_dist"), 3).alias("mean_dist"))
     return M.recall(steps, truth, K, "width").groupBy("width").agg(F.round(F.avg("recall"), DIGITS).alias("recall")).join(cost, "width")
 
