@@ -20,7 +20,8 @@ minimizer), consecutive windows of one key form a run, and
 4. answers go back to all copies of a run: those in a later document are covered whole.
 
 A key of more than MOST_RUNS different runs (a passage in very many surroundings) would make an unbounded
-shard. Its runs are cut into their single windows first, which then collapse by step 2 alone.
+shard. Its windows are dealt again, by minimizers under another hash, up to AGAIN times, which makes a few runs of each. Those
+of keys that are still as wide are cut into their single windows, which then collapse by step 2 alone.
 
 Given a reference that is small by a checked bound (``against``), its automata are broadcast to all tasks.
 
@@ -46,6 +47,7 @@ from .tokens import slices
 DEPTH = 50
 GRAM = 10
 MOST_RUNS = 1024
+AGAIN = 3
 SHARD_WORDS = 1 << 16
 MOST_REFERENCE_WORDS = 1 << 20
 PIECE = 1 << 18
@@ -83,10 +85,10 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, out
 
 
-def window_runs(h: np.ndarray, ok: np.ndarray, split: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(h: np.ndarray, ok: np.ndarray, split: bool = False, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, key, content hash) of the runs among word hashes ``h``; ``ok`` says which words start a window.
 
-    With ``split`` every window is a run, and its key a hash of all its words.
+    With ``split`` every window is a run, and its key a hash of all its words. Another ``salt`` gives other minimizers.
     """
     found: list[list[np.ndarray]] = [[], [], [], []]
     (_, up, down), (_, up2, down2) = _constants(1), _constants(0)
@@ -108,6 +110,8 @@ def window_runs(h: np.ndarray, ok: np.ndarray, split: bool = False) -> tuple[np.
             key = mixed((second[first + DEPTH] - second[first]) * down2[first])
         else:
             grams = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(x) - GRAM + 1])
+            if salt:
+                grams = mixed(grams + odd * np.uint64(salt))
             place = np.uint64((1 << 20) - 1)
             least = grams & ~place | np.arange(len(grams), dtype=np.uint64)
             width, need = 1, DEPTH - GRAM + 1
@@ -211,8 +215,8 @@ def covered(words: int, runs, depth: int = DEPTH) -> np.ndarray:
 RUNS = "doc long, k long, pos int, n int, key long, content long"
 
 
-def runs_of(texts: DataFrame, split: bool = False) -> DataFrame:
-    """(doc, k, pos, n, key, content) of the runs of (doc, k, text); with ``split``, of the windows that ``chosen`` (pos, n) names."""
+def runs_of(texts: DataFrame, split: bool = False, salt: int = 0) -> DataFrame:
+    """(doc, k, pos, n, key, content) of the runs of (doc, k, text); with ``split`` or a ``salt``, of the windows that ``chosen`` (pos, n) names."""
 
     def run(batches):
         import pyarrow as pa
@@ -228,13 +232,13 @@ def runs_of(texts: DataFrame, split: bool = False) -> DataFrame:
                 if len(h) >= DEPTH:
                     ok[: len(h) - DEPTH + 1] = owner[DEPTH - 1 :] == owner[: len(h) - DEPTH + 1]
                 lead = np.searchsorted(owner, np.arange(len(raw)))  # first word of each text
-                if split:
+                if split or salt:
                     asked = np.zeros(len(ok), bool)
                     for k, chosen in enumerate(part.column("chosen").to_pylist()):
                         for r in chosen:
                             asked[lead[k] + r["pos"] : lead[k] + r["pos"] + r["n"]] = True
                     ok &= asked
-                first, n, key, content = window_runs(h, ok, split)
+                first, n, key, content = window_runs(h, ok, split, salt)
                 whose = pa.array(owner[first])
                 values = [part.column("doc").take(whose), part.column("k").take(whose), pa.array((first - lead[owner[first]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(values, ["doc", "k", "pos", "n", "key", "content"])
@@ -318,12 +322,14 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rew
     runs = written(runs_of(known), "runs")
     hot = written(shared(runs), "shared")
     first = written(first_runs(hot), "first")
-    wide = written(first.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > MOST_RUNS).select("key"), "wide")
     dealt = dealt.repartition(parallelism(spark), "k")
-    if wide.limit(1).count():
+    for salt in range(1, AGAIN + 2):
+        wide = written(first.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > MOST_RUNS).select("key"), "wide")
+        if not wide.limit(1).count():
+            break
         cuts = hot.join(wide, "key", "left_semi").groupBy("k").agg(F.collect_set(F.struct("pos", "n")).alias("chosen"))
-        single = written(runs_of(dealt.join(cuts, "k"), split=True), "windows")
-        hot = written(hot.join(wide, "key", "left_anti").unionByName(shared(single)), "shared")
+        again = written(runs_of(dealt.join(cuts, "k"), salt > AGAIN, salt), "windows")
+        hot = written(hot.join(wide, "key", "left_anti").unionByName(shared(again)), "shared")
         first = written(first_runs(hot), "first")
     known_runs = answers(first, dealt).withColumnRenamed("doc", "least")
     whole = F.expr("shiftleft(1L, n) - 1")
