@@ -21,7 +21,9 @@ minimizer), consecutive windows of one key form a run, and
 
 A key of more than MOST_RUNS different runs (a passage in very many surroundings) would make an unbounded
 shard. Its windows are dealt again, by minimizers under another hash, up to AGAIN times, which makes a few runs of each. Those
-of keys that are still as wide are cut into their single windows, which then collapse by step 2 alone.
+of keys that are still as wide are cut into their single windows, which then collapse by step 2 alone. The wide keys, at most
+one for MOST_RUNS different runs and WIDE_KEYS in all (beyond which only wider ones count), are broadcast, and texts are read
+again where they lie: only the runs of wide keys are dealt anew, and neither texts nor the runs that stay are moved for them.
 
 Given a reference that is small by a checked bound (``against``), its automata are broadcast to all tasks.
 
@@ -34,6 +36,7 @@ content); inside a shard, words are compared as such.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -48,6 +51,7 @@ DEPTH = 50
 GRAM = 10
 MOST_RUNS = 1024
 AGAIN = 3
+WIDE_KEYS = 1 << 22
 SHARD_WORDS = 1 << 16
 MOST_REFERENCE_WORDS = 1 << 20
 PIECE = 1 << 18
@@ -215,8 +219,23 @@ def covered(words: int, runs, depth: int = DEPTH) -> np.ndarray:
 RUNS = "doc long, k long, pos int, n int, key long, content long"
 
 
-def runs_of(texts: DataFrame, split: bool = False, salt: int = 0) -> DataFrame:
-    """(doc, k, pos, n, key, content) of the runs of (doc, k, text); with ``split`` or a ``salt``, of the windows that ``chosen`` (pos, n) names."""
+def among(h: np.ndarray, ok: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
+    """Which of the windows ``ok`` have a key among ``keys`` (sorted), dealt by ``salt``."""
+    first, n, key, _ = window_runs(h, ok, salt=salt)
+    held = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+    edge = np.zeros(len(ok) + 1, np.int8)
+    edge[first[held]] += 1
+    edge[(first + n)[held]] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
+def runs_of(texts: DataFrame, wide: list | None = None) -> DataFrame:
+    """(doc, k, pos, n, key, content) of the runs of (doc, k, text).
+
+    ``wide`` has broadcast keys (sorted) for each time that windows were dealt so far: only windows whose keys are among all of them are dealt
+    again, by other minimizers, or each by itself after AGAIN times.
+    """
+    wide = list(wide or [])
 
     def run(batches):
         import pyarrow as pa
@@ -232,13 +251,10 @@ def runs_of(texts: DataFrame, split: bool = False, salt: int = 0) -> DataFrame:
                 if len(h) >= DEPTH:
                     ok[: len(h) - DEPTH + 1] = owner[DEPTH - 1 :] == owner[: len(h) - DEPTH + 1]
                 lead = np.searchsorted(owner, np.arange(len(raw)))  # first word of each text
-                if split or salt:
-                    asked = np.zeros(len(ok), bool)
-                    for k, chosen in enumerate(part.column("chosen").to_pylist()):
-                        for r in chosen:
-                            asked[lead[k] + r["pos"] : lead[k] + r["pos"] + r["n"]] = True
-                    ok &= asked
-                first, n, key, content = window_runs(h, ok, split, salt)
+                for salt, keys in enumerate(wide):
+                    if ok.any():
+                        ok = among(h, ok, keys.value, salt)
+                first, n, key, content = window_runs(h, ok, len(wide) > AGAIN, len(wide))
                 whose = pa.array(owner[first])
                 values = [part.column("doc").take(whose), part.column("k").take(whose), pa.array((first - lead[owner[first]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(values, ["doc", "k", "pos", "n", "key", "content"])
@@ -254,9 +270,9 @@ def shared(runs: DataFrame) -> DataFrame:
 
 
 def first_runs(runs: DataFrame) -> DataFrame:
-    """One row for each (key, content): the least document with it, and where it stands there."""
-    first = F.min(F.struct("doc", "k", "pos", "n")).alias("first")
-    return runs.groupBy("key", "content").agg(first).select("key", "content", "first.*")
+    """One row for each (key, content): the least document with it, where it stands there, and how many different runs its key has."""
+    first = runs.groupBy("key", "content").agg(F.min(F.struct("doc", "k", "pos", "n")).alias("first"))
+    return first.join(first.groupBy("key").agg(F.count(F.lit(1)).alias("different")), "key").select("key", "content", "first.*", "different")
 
 
 def search_shard(table):
@@ -283,10 +299,10 @@ def search_shard(table):
 def answers(first: DataFrame, dealt: DataFrame) -> DataFrame:
     """(key, content, doc, mask) for every (key, content) of ``first``."""
     spark = first.sparkSession
-    alike = first.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum(F.col("n") + DEPTH - 1).alias("words")).where("different > 1")
-    alone = first.join(alike.select("key"), "key", "left_anti").select("key", "content", "doc", F.lit(0).cast("long").alias("mask"))
-    total = alike.agg(F.sum("words")).first()[0] or 0
-    places = first.join(alike.select("key"), "key", "left_semi").groupBy("k").agg(F.collect_list(F.struct("doc", "key", "content", "pos", "n")).alias("runs"))
+    alone = first.where("different = 1").select("key", "content", "doc", F.lit(0).cast("long").alias("mask"))
+    alike = first.where("different > 1")
+    total = alike.agg(F.sum(F.col("n") + DEPTH - 1)).first()[0] or 0
+    places = alike.groupBy("k").agg(F.collect_list(F.struct("doc", "key", "content", "pos", "n")).alias("runs"))
 
     def cut(batches):
         import pyarrow as pa
@@ -319,18 +335,18 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rew
     # k tells texts of one id apart
     dealt = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("k"), F.col(text_col).cast("binary").alias("text"), kept)
     known = dealt.where("doc is not null and length(text) >= 99").select("doc", "k", "text")  # DEPTH words and the gaps between them
-    runs = written(runs_of(known), "runs")
-    hot = written(shared(runs), "shared")
-    first = written(first_runs(hot), "first")
-    dealt = dealt.repartition(parallelism(spark), "k")
-    for salt in range(1, AGAIN + 2):
-        wide = written(first.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > MOST_RUNS).select("key"), "wide")
-        if not wide.limit(1).count():
+    wide, hots, firsts = [], [], []  # a time that windows are dealt: wide keys, runs of shared keys, and the first of each in keys that aren't wide
+    while True:
+        hots.append(written(shared(written(runs_of(known, wide), "runs")), "shared"))
+        first = written(first_runs(hots[-1]), "first")
+        most = max(MOST_RUNS, first.count() // WIDE_KEYS)
+        keys = np.array([] if len(wide) > AGAIN else [r.key for r in first.where(F.col("different") > most).select("key").distinct().collect()], np.int64).view(np.uint64)
+        firsts.append(first.where(F.col("different") <= most) if len(keys) else first)
+        if not len(keys):
             break
-        cuts = hot.join(wide, "key", "left_semi").groupBy("k").agg(F.collect_set(F.struct("pos", "n")).alias("chosen"))
-        again = written(runs_of(dealt.join(cuts, "k"), salt > AGAIN, salt), "windows")
-        hot = written(hot.join(wide, "key", "left_anti").unionByName(shared(again)), "shared")
-        first = written(first_runs(hot), "first")
+        wide.append(spark.sparkContext.broadcast(np.sort(keys)))
+    hot, first = reduce(DataFrame.unionByName, hots), reduce(DataFrame.unionByName, firsts)
+    dealt = dealt.repartition(parallelism(spark), "k")
     known_runs = answers(first, dealt).withColumnRenamed("doc", "least")
     whole = F.expr("shiftleft(1L, n) - 1")
     mask = F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("mask"))

@@ -307,3 +307,27 @@ def test_windows_of_wide_keys_are_few_runs():
         runs.append(len(first))
     assert all(k == keys[0] for k in keys) and max(runs) < 40
     assert keys[0] != np.repeat(*automaton_dedup.window_runs(h, np.arange(len(h)) < len(h) - 49)[2:0:-1])[60:81].tolist()
+
+
+def test_only_runs_of_wide_keys_are_dealt_again(spark, monkeypatch):
+    """Copies whose keys aren't wide are written once, however often the windows of a passage in many surroundings are dealt."""
+    rng = random.Random(10)
+    word = lambda: f"u{rng.randrange(10**6)}"
+    passage = [f"p{k}" for k in range(45)]
+    docs = [(i, " ".join([word() for _ in range(45)] + passage + [word() for _ in range(45)])) for i in range(30)]
+    copies = [" ".join(word() for _ in range(90)) for _ in range(20)]
+    docs += [(100 + i, copies[i % 20]) for i in range(60)]
+    sizes = []
+
+    def counting(df, name="state", path=None):
+        out = written(df, name, path)
+        if name == "shared":
+            sizes.append(out.where("doc >= 100").count())
+        return out
+
+    written = automaton_dedup.written
+    monkeypatch.setattr(automaton_dedup, "written", counting)
+    monkeypatch.setattr(automaton_dedup, "MOST_RUNS", 8)
+    df = spark.createDataFrame([(*d, None, None, None) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert got_windows(df) == brute_windows(docs)
+    assert len(sizes) > 1 and sizes[0] >= 60 and not any(sizes[1:])
