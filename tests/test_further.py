@@ -8,6 +8,7 @@ import pytest
 
 from nearfield.operators import graph as G
 from nearfield.operators import navigable as N
+from nearfield.operators import near_graph as near_graphs
 from nearfield.operators import search as S
 from nearfield.operators import traces as T
 from nearfield.operators.exact import knn
@@ -78,6 +79,41 @@ def test_near_graph_rounds_find_what_cells_miss(spark):
     assert np.mean([len(got[20 * k] & set(w.tolist())) / 8 for k, w in enumerate(want)]) > 0.95
 
 
+def test_near_graph_rounds_move_a_vector_once_a_block(spark):
+    """A round equals a plain one over all neighbourhoods, and brings a block each vector once."""
+    rng = np.random.default_rng(13)
+    n, degree, blocks = 300, 6, 3
+    x = rng.standard_normal((n, 5)).astype(np.float32).astype(np.float64)
+    d = np.array([[np.add.accumulate((b - a) * (b - a))[-1] for b in x] for a in x])
+    lists = {i: sorted((d[i, j], j) for j in rng.permutation(n).tolist() if j != i and rng.random() < 0.3)[: degree - (i % 7 == 0)] for i in range(n)}
+    fresh = {(i, j): bool(rng.random() < 0.1) for i in lists for _, j in lists[i]}
+    edges = spark.createDataFrame([(i, j, float(v), fresh[i, j], k + 1) for i in lists for k, (v, j) in enumerate(lists[i])], "src long, dst long, dist double, new boolean, pos int")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    reach = {i: lists[i][-1][0] if len(lists[i]) == degree else np.inf for i in lists}
+    best = {i: {(v, j) for v, j in lists[i]} for i in lists}
+    slots = 0
+    for u in range(n):
+        new = defaultdict(bool)
+        for _, j in lists[u]:
+            new[j] |= fresh[u, j]
+        for _, i in sorted((v, i) for i in lists for v, j in lists[i] if j == u)[:degree]:
+            new[i] |= fresh[i, u]
+        if any(new.values()):
+            new[u] = False
+            slots += len(new)
+            for i, j in ((i, j) for i in new for j in new if i != j and (new[i] or new[j]) and d[i, j] <= reach[i]):
+                best[i].add((d[i, j], j))
+    more = near_graphs._joined(edges, rows, blocks, degree, "l2").collect()
+    got = {i: set(lists[i]) for i in lists}
+    for r in more:
+        got[r.src].add((r.dist, r.dst))
+    assert all(sorted(got[i])[:degree] == sorted(best[i])[:degree] for i in lists)
+    needed = near_graphs._needed(near_graphs._neighbourhoods(edges, blocks, degree))
+    assert needed.count() == needed.distinct().count() <= blocks * n < slots
+    for size in (10_000, 100_000, 600_000):  # vectors a row that a round moves don't grow with the table while it fits a block
+        assert near_graphs._blocks(size, 64, 64, 12) <= 19
+
+
 def test_knn_by_label_and_length(spark):
     base = spark.createDataFrame([(1, [0.0, 0.0], 1), (2, [1.0, 0.0], None), (3, [2.0, 0.0], 1), (4, [1.0], 1)], "id long, vec array<double>, label int")
     asked = spark.createDataFrame([(10, [0.0, 0.0], 1), (11, [0.0, 0.0], None), (12, [5.0], 1)], "qid long, qvec array<double>, label int")
