@@ -20,12 +20,14 @@ BASE_ROWS = 4096
 QUERY_ROWS = 1024
 #: Rows of a cell of the search of all pairs: at most, and so few that a block isn't cut further.
 MOST_ROWS = 1 << 15
+#: Components of a cell's rows where these may be more than MOST_ROWS.
+MOST_COMPONENTS = 1 << 23
 LEAST_ROWS = 1024
 CELLS_A_CORE = 12
 #: Tiles in a cell, the rows that give the first bound, and the pairs whose distances are summed at once.
-TILE_QUERIES = 256
+TILE_QUERIES = 128
 TILE_ROWS = 4096
-FIRST_ROWS = 1024
+FIRST_ROWS = 4096
 MOST_PAIRS = 1 << 16
 NEAR = 1e-9
 
@@ -125,7 +127,7 @@ def nearest(metric: str, ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, as
         q, room = of[some], slack[some]
         bound = np.full(len(q), np.inf, near.dtype)
         own_place = [(j, r) for j in range(len(q)) for r in place.get(begin + j, ())]
-        at, i, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, near.dtype)
+        at, i, d, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, near.dtype), 0
         for low in range(0, len(ids), TILE_ROWS):
             part = slice(low, low + TILE_ROWS)
             tile = q @ near[part].T
@@ -137,7 +139,9 @@ def nearest(metric: str, ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, as
                 bound = np.partition(few, k - 1, axis=1)[:, k - 1] + room
             a, r = np.divmod(np.flatnonzero(tile <= np.minimum(bound, np.finfo(tile.dtype).max)[:, None]), tile.shape[1])
             at, i, d = np.concatenate([at, a]), np.concatenate([i, r + low]), np.concatenate([d, tile[a, r]])
-            at, i, d = _cut(at, i, d, k, bound, room)
+            if low + TILE_ROWS >= min(2 * cut, len(ids)) or len(at) > MOST_PAIRS:  # between two cuts about k more come up a query
+                at, i, d = _cut(at, i, d, k, bound, room)
+                cut = low + TILE_ROWS
         for low in range(0, len(at), MOST_PAIRS):
             a, r = at[low : low + MOST_PAIRS] + begin, i[low : low + MOST_PAIRS]
             out[0].append(qids[a])
@@ -146,11 +150,11 @@ def nearest(metric: str, ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, as
     return np.concatenate(out[0]), np.concatenate(out[1]), np.concatenate(out[2])
 
 
-def _blocks(n: int, m: int, cores: int) -> tuple[int, int]:
-    """Blocks of ``n`` rows and of ``m`` queries."""
+def _blocks(n: int, m: int, cores: int, dim: int = 0) -> tuple[int, int]:
+    """Blocks of ``n`` rows of ``dim`` components and of ``m`` queries; a query gets k rows of each block of rows, so these are larger if they may."""
     even = (cores * CELLS_A_CORE * max(n, 1) / max(m, 1)) ** 0.5
-    sides = (n, even), (m, cores * CELLS_A_CORE / even)
-    return tuple(max(1 + size // MOST_ROWS, min(math.ceil(want), 1 + size // LEAST_ROWS)) for size, want in sides)
+    sides = (n, even, max(MOST_ROWS, MOST_COMPONENTS // dim) if dim else MOST_ROWS), (m, cores * CELLS_A_CORE / even, MOST_ROWS)
+    return tuple(max(1 + size // most, min(math.ceil(want), 1 + size // LEAST_ROWS)) for size, want, most in sides)
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False, match: str | None = None) -> DataFrame:
@@ -168,7 +172,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude
     if sizes[0] and set(sizes[1]) - set(sizes[0]):
         raise ValueError("queries and base have vectors of different length")
     n, m = (sum(x.values()) for x in sizes)
-    blocks, columns = _blocks(n, m, base.sparkSession.sparkContext.defaultParallelism)
+    blocks, columns = _blocks(n, m, base.sparkSession.sparkContext.defaultParallelism, max((d or 0 for d in sizes[0]), default=0))
     deal = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     left = base.select(F.col("id").cast("long").alias("id"), "vec", F.size("vec").alias("_dim"), *extra, deal(F.col("id"), blocks).alias("_b"), every(columns).alias("_q"))

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
-from .exact import knn, matrix, paired
-from .search import adjacency, greedy
+from .exact import MOST_PAIRS, knn, matrix, paired
+from .search import adjacency, greedy, greedy_held
 
 BLOCK_NODES = 256
 ALPHA = 1.2
@@ -33,17 +33,24 @@ MULTIPLIER, MODULUS = 1103515245, 1 << 31
 
 def kept_by_occlusion(vecs: np.ndarray, dist: np.ndarray, degree: int, alpha: float) -> list[int]:
     """Of candidates in ascending order of distance (squared L2), those that no kept one occludes, at most ``degree``."""
-    alive, kept = np.ones(len(dist), bool), []
+    x = vecs - vecs.mean(axis=0)
+    own = (x * x).sum(1)
+    between, far = own[:, None] + own[None, :] - 2 * (x @ x.T), own[:, None] + own[None, :]
+    slack = 4 * (x.shape[1] + 16) * np.finfo(np.float64).eps * far + 1e-300
+    occludes = alpha * alpha * (between + slack) < dist[None, :]
+    i, j = np.nonzero(~occludes & ~(alpha * alpha * (between - slack) > dist[None, :]))  # too near to tell by products: summed again
+    i, j = i[i < j], j[i < j]
+    for low in range(0, len(i), MOST_PAIRS):
+        a, b = i[low : low + MOST_PAIRS], j[low : low + MOST_PAIRS]
+        occludes[a, b] = alpha * alpha * paired("l2", vecs[a], vecs[b]) <= dist[b]
+    free, alive, kept = ~occludes, np.ones(len(dist), bool), []
     for at in range(len(dist)):
         if not alive[at]:
             continue
         kept.append(at)
         if len(kept) == degree:
             break
-        rest = at + 1 + np.flatnonzero(alive[at + 1 :])
-        if len(rest):
-            between = paired("l2", np.repeat(vecs[at : at + 1], len(rest), 0), vecs[rest])
-            alive[rest[alpha * alpha * between <= dist[rest]]] = False
+        alive &= free[at]
     return kept
 
 
@@ -104,7 +111,7 @@ def descended(rows: DataFrame, queries: DataFrame, build: Callable[[DataFrame],
 
     The top layer is the ``most`` rows of least hash, of which the nearest is found exactly. A layer holds all rows up to a
     limit of the hash, so the layers above it too; ``build`` makes its graph (src, pos, dst), and one-shot search with a list of
-    ``width`` goes on from the row found above. There are ``layers`` below the top, or as many as are smaller than the table.
+    ``width`` goes on from the row found above; a layer that all tasks can hold is walked in one pass. There are ``layers`` below the top, or as many as are smaller than the table.
     No rows, or no queries, give no rows.
     """
     rows, key = rows.select("id", "vec"), F.pmod(F.pmod("id", F.lit(MODULUS)) * MULTIPLIER, F.lit(MODULUS))
@@ -113,9 +120,14 @@ def descended(rows: DataFrame, queries: DataFrame, build: Callable[[DataFrame],
     least, size, depth = (top.agg(F.max(key)).first()[0] or 0) + 1, most * ratio, 0
     while n and (size < n if layers is None else depth < layers):
         layer = written(rows.where(key < max(least, MODULUS * size // n)), "layer")
-        came = written(found, "entries")
-        at = greedy(queries.join(came.select("qid", "entry"), "qid"), adjacency(build(layer), layer), layer, None, width, 1)
-        on = at.select("qid", F.col("id").alias("to"), F.col("n_expand").alias("more"))
-        found = came.join(on, "qid").select("qid", F.col("to").alias("entry"), (F.col("n_expand") + F.col("more")).alias("n_expand"))
+        edges = build(layer)
+        held = greedy_held(queries.join(found, "qid"), edges, layer, width)
+        if held is not None:
+            found = held.select("qid", "entry", "n_expand")
+        else:
+            came = written(found, "entries")
+            at = greedy(queries.join(came.select("qid", "entry"), "qid"), adjacency(edges, layer), layer, None, width, 1)
+            on = at.select("qid", F.col("id").alias("to"), F.col("n_expand").alias("more"))
+            found = came.join(on, "qid").select("qid", F.col("to").alias("entry"), (F.col("n_expand") + F.col("more")).alias("n_expand"))
         size, depth = size * ratio, depth + 1
     return queries.join(found, "qid")

@@ -32,3 +32,9 @@ def test_nearest_against_all_distances(monkeypatch, metric, how):
         mine = found[0] == ids[at]
         got = sorted(zip(found[2][mine], found[1][mine]))[:10]
         assert got == [(far[i], ids[i]) for i in order[:10] if far[i] < np.inf]
+
+
+def test_blocks_of_rows_are_larger_where_their_components_are_bounded():
+    """Each block of rows returns k rows a query, so that many of them shuffle more than the vectors do."""
+    assert X._blocks(615_000, 615_000, 12, 64)[0] <= 12 < X._blocks(615_000, 615_000, 12, 1024)[0]
+    assert all(n / X._blocks(n, n, 12, 64)[0] * 64 <= X.MOST_COMPONENTS for n in (50_000, 200_000, 3_000_000))

@@ -43,3 +43,69 @@ def test_sweep_gives_each_width_its_own_walk(spark):
         alone = S.greedy(twice, adj, base, 0, width, 3).collect()
         assert sorted(tuple(r) for r in alone) == sorted(tuple(r)[:-1] for r in swept if r.width == width)
     assert sum(r.qid == 9 for r in swept) == 2 * (2 + 3)
+
+
+def _cloud(spark, n: int, dim: int):
+    rng = random.Random(n)
+    base = spark.createDataFrame([(i, [rng.random() for _ in range(dim)]) for i in range(n)], "id long, vec array<float>")
+    edges = spark.createDataFrame([(i, p, j) for i in range(n) for p, j in enumerate([(i + 1) % n, (i + 7) % n, rng.randrange(n)], 1)], "src long, pos int, dst long")
+    return base, edges, base.where("id % 17 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+
+
+@pytest.mark.parametrize("entry", [0, None])
+def test_supersteps_that_read_ids_look_hops_ahead_and_walk_alike(spark, monkeypatch, entry):
+    base, edges, asked = _cloud(spark, 200, 4)
+    asked = asked if entry == 0 else asked.withColumn("entry", F.pmod(F.col("qid") * 3, F.lit(200)))
+    adj, supersteps, written = S.adjacency(edges, base), [], S.written
+    monkeypatch.setattr(S, "written", lambda df, name: supersteps.append(name) or written(df, name))
+    found, took = [], []
+    for most in (0, 1 << 14):  # none, and all
+        monkeypatch.setattr(S, "FEW_MET", (most, most))
+        supersteps.clear()
+        found.append(sorted(tuple(r) for r in S.greedy(asked, adj, base, entry, 6, 4).collect()))
+        took.append(len(supersteps))
+    assert found[0] == found[1] and len(found[0]) == 4 * 12
+    assert took[1] < 0.7 * took[0]
+
+
+def test_small_layers_are_walked_in_one_pass(spark, monkeypatch):
+    from nearfield.operators import navigable as N
+
+    base, edges, asked = _cloud(spark, 300, 3)
+    inside = lambda layer: edges.join(layer.select(F.col("id").alias("dst")), "dst").select("src", "pos", "dst")
+    odd = asked.unionByName(spark.createDataFrame([(1000, [0.5, None, 0.5])], "qid long, qvec array<float>"))  # null distances
+
+    def ways():
+        return sorted((r.qid, r.entry, r.n_expand) for r in N.descended(base, asked, inside, most=8, ratio=5, width=3, layers=2).collect())
+
+    def walks(at, held):
+        if held:
+            return sorted((r.qid, r.entry, r.n_expand) for r in S.greedy_held(at.withColumn("n_expand", F.lit(0).cast("long")), edges, base, 3).collect())
+        return sorted((r.qid, r.id, r.n_expand) for r in S.greedy(at, S.adjacency(edges, base), base, None, 3, 1).collect())
+
+    entered = odd.withColumn("entry", F.when(F.col("qid") == 34, 5000).otherwise(F.pmod("qid", F.lit(300))))  # one enters nowhere
+    assert walks(entered, True) == walks(entered, False)
+    with monkeypatch.context() as m:
+        m.setattr(N, "greedy", None)  # no supersteps
+        found = ways()
+    monkeypatch.setattr(S, "HELD_ROWS", 10)
+    assert S.greedy_held(entered.withColumn("n_expand", F.lit(0).cast("long")), edges, base, 3) is None
+    assert ways() == found and len(found) == 18
+
+
+def test_occlusion_is_decided_by_exact_sums():
+    import numpy as np
+
+    from nearfield.operators import navigable as N
+
+    rng = np.random.default_rng(4)
+    for turn in range(200):
+        x = rng.integers(0, 3, (rng.integers(1, 80), 3)).astype(float) + (turn % 3) * 1e7  # ties and copies, far from the origin
+        dist = ((x - x[0]) ** 2).sum(1)
+        order = np.argsort(dist, kind="stable")
+        x, dist = x[order], dist[order]
+        want = []
+        for i in range(len(x)):
+            if len(want) < 5 and all(1.44 * ((x[i] - x[j]) ** 2).sum() > dist[i] for j in want):
+                want.append(i)
+        assert N.kept_by_occlusion(x, dist, 5, 1.2) == want
