@@ -2,7 +2,8 @@
 
 Queries meet base rows in cells: both sides are dealt by hash, replicated over the other side's blocks and
 brought together by cell. A side has about the square root of CELLS_A_CORE cells a core as blocks, so that what is
-shuffled grows with the rows, until blocks reach MOST_ROWS, the most that a cell takes of either side. In a cell matrix
+shuffled grows with the rows, until blocks reach MOST_ROWS, the most that a cell takes of either side, or of the rows as many as hold
+MOST_COMPONENTS components, if these are more. In a cell matrix
 products find the candidates, whose distances are then summed again in double from the first component to the last, so
 that values don't depend on the blocking; a cell returns at most the k nearest of a query. A window limit over what the cells return gives the answer.
 Equal distances go to the smaller id; with fewer than k rows all are returned.
