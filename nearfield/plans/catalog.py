@@ -684,7 +684,7 @@ def ef_sweep(spark, sf_dir):
     """Recall of hop-limited search as hops and beam grow together."""
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
-    adj, truth = S.adjacency(graph(rows, 8), rows), written(knn(rows, asked, K), "truth")
+    adj, truth = S.walkable(graph(rows, 8), rows), written(knn(rows, asked, K), "truth")
     out = S.best_first_sweep(asked, adj, rows, ENTRY, EFS, K, "ef", traced=False)[0]
     return M.recall(written(out, "sweep"), truth, K, "ef").groupBy("ef").agg(F.round(F.avg("recall"), DIGITS).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
 

@@ -52,7 +52,7 @@ casked AS (SELECT q.id AS qid, q.v AS qv, label AS ql, lv.id AS entry FROM base
 def _entered(spark, sf_dir, width: int):
     rows, asked = load(spark, sf_dir)
     rows = written(rows, "rows")
-    adj = S.adjacency(navigable_graph(rows), rows)
+    adj = S.walkable(navigable_graph(rows), rows)
     return rows, asked, adj, S.greedy(N.entries(rows, asked, LEVEL), adj, rows, None, width, K)
 
 

@@ -109,3 +109,47 @@ def test_occlusion_is_decided_by_exact_sums():
             if len(want) < 5 and all(1.44 * ((x[i] - x[j]) ** 2).sum() > dist[i] for j in want):
                 want.append(i)
         assert N.kept_by_occlusion(x, dist, 5, 1.2) == want
+
+
+def test_a_graph_that_tasks_hold_is_walked_without_supersteps(spark, monkeypatch):
+    """Equal to the supersteps, with copies of vectors, ids of any sign, links to rows without a vector, and rows without links."""
+    from nearfield.operators import held as H
+
+    rng = random.Random(8)
+    ids = [rng.randrange(-(1 << 40), 1 << 40) for _ in range(150)]
+    points = {i: [float(rng.randrange(3)) for _ in range(3)] for i in ids}
+    base = spark.createDataFrame(list(points.items()), "id long, vec array<float>")
+    links = [(i, p, j) for i in ids[:140] for p, j in enumerate([*rng.sample(ids, 3), 1 << 50], 1)]
+    edges = spark.createDataFrame(links, "src long, pos int, dst long").repartition(3)
+    asked = base.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    entered = asked.withColumn("entry", F.when(F.col("qid") % 2 == 0, ids[0]).otherwise(F.lit(5)))  # no row has the id 5
+    monkeypatch.setattr(H, "LEAST_QUERIES", 8)
+    monkeypatch.setattr(H, "PACK_ROWS", 20)
+    adj, held, kept = S.adjacency(edges, base), S.walkable(edges, base), lambda df: sorted(tuple(r) for r in df.collect())
+    assert isinstance(held, H.Held)
+    limits = [(3, 5), (8, 30), (200, 200)]
+    for graph, out in ((adj, want := []), (held, got := [])):
+        with monkeypatch.context() as m:
+            if graph is held:
+                m.setattr(S, "written", None)
+            out += [S.greedy_sweep(asked, graph, base, ids[0], [2, 9], 4, "width"), S.greedy(entered, graph, base, None, 5, 4, "mips", 7), S.best_first_sweep(asked, graph, base, ids[0], limits, 4, "ef", traced=False)[0]]
+    assert [kept(df) for df in want] == [kept(df) for df in got] and [df.columns for df in want] == [df.columns for df in got]
+    odd = asked.limit(1).withColumn("qvec", F.expr("array(1f, null, 0f)"))
+    assert kept(S.greedy(odd, held, base, ids[0], 3, 2)) == kept(S.greedy(odd, adj, base, ids[0], 3, 2))  # left to the supersteps
+    for other in (base.unionByName(base.limit(1)), base.withColumn("vec", F.slice("vec", 1, F.pmod("id", F.lit(3)).cast("int") + 1)), base.withColumn("vec", F.col("vec").cast("array<double>"))):
+        assert H.held(edges, other) is None
+    monkeypatch.setattr(H, "HELD_NUMBERS", 150 * 3 + len(links) - 1)
+    assert H.held(edges, base) is None
+
+
+def test_registered_hop_sweep_needs_no_superstep(spark, sf_dir, monkeypatch):
+    from nearfield.plans import catalog
+
+    written = S.written
+
+    def few(df, name):
+        assert name != "search"
+        return written(df, name)
+
+    monkeypatch.setattr(S, "written", few)
+    assert {r.ef for r in catalog.QUERIES["ef_sweep"](spark, sf_dir).collect()} == {100, 200, 400, 800, 1600}
