@@ -114,6 +114,27 @@ def test_near_graph_rounds_move_a_vector_once_a_block(spark):
         assert near_graphs._blocks(size, 64, 64, 12) <= 19
 
 
+def test_near_graph_blocks_gather_a_bounded_number_of_edges(spark, monkeypatch):
+    """Passes over a block's neighbourhoods find what one pass does, and none sorts more edges than a bound."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((240, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    lists = {i: rng.choice([j for j in range(240) if j != i], 8, replace=False).tolist() for i in range(240)}
+    dist = lambda i, j: float(((x[i].astype(np.float64) - x[j]) ** 2).sum())
+    edges = spark.createDataFrame([(i, j, d, True, k) for i in lists for k, (d, j) in enumerate(sorted((dist(i, j), j) for j in lists[i]), 1)], "src long, dst long, dist double, new boolean, pos int")
+    found = lambda: sorted(tuple(r) for r in near_graphs._joined(edges, rows, 2, 8, "l2").collect())
+    whole, best = found(), near_graphs._best
+
+    def bounded(edges, degree):
+        assert len(edges[0]) <= 1000 + 600 + 17 * 17  # what is kept, what is new, and the last neighbourhood
+        return best(edges, degree)
+
+    monkeypatch.setattr(near_graphs, "PASS_MET", 1000)
+    monkeypatch.setattr(near_graphs, "MOST_MET", 600)
+    monkeypatch.setattr(near_graphs, "_best", bounded)
+    assert found() == whole and len(whole) > 2000
+
+
 def test_knn_by_label_and_length(spark):
     base = spark.createDataFrame([(1, [0.0, 0.0], 1), (2, [1.0, 0.0], None), (3, [2.0, 0.0], 1), (4, [1.0], 1)], "id long, vec array<double>, label int")
     asked = spark.createDataFrame([(10, [0.0, 0.0], 1), (11, [0.0, 0.0], None), (12, [5.0], 1)], "qid long, qvec array<double>, label int")
