@@ -153,3 +153,11 @@ def test_registered_hop_sweep_needs_no_superstep(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(S, "written", few)
     assert {r.ef for r in catalog.QUERIES["ef_sweep"](spark, sf_dir).collect()} == {100, 200, 400, 800, 1600}
+
+
+def test_registered_search_from_entries_needs_no_superstep(spark, sf_dir, monkeypatch):
+    from nearfield.plans import further
+
+    monkeypatch.setattr(S, "written", None)  # of this module, supersteps alone write
+    found = {r.entry: r for r in further.navigable_entries(spark, sf_dir).collect()}
+    assert set(found) == {"level", "first"} and all(r.recall > 0.9 and r.n_queries == 50 for r in found.values())
